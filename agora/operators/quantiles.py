@@ -1,87 +1,98 @@
 """Exact quantiles and the interquartile outlier filter on columns of any size.
 
-``percentile`` keeps every distinct value of the column in one task. Here two rounds
-of a small quantile sketch narrow the column to a short stretch around each wanted
-rank, and only the values in that stretch are counted exactly.
+``percentile`` keeps every distinct value of the column in one task. Above a row limit,
+a quantile sketch narrows the column twice to a short stretch around each wanted rank,
+and only the values in that stretch are counted exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Rank error of a sketch is 1/ACCURACY; GRID cuts a stretch into equal shares.
+# Up to this many rows ``percentile`` is used as it is.
+SMALL = 1_000_000
+# Rank error of a sketch is 1/ACCURACY of the rows it saw.
 ACCURACY = 10_000
-GRID = 1_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantile(df: DataFrame, column: str, share: float) -> Column:
-    """The linearly interpolated quantile of a numeric column, as a scalar column.
+def exact_quantiles(
+    df: DataFrame, column: str, shares: Sequence[float], small: int = SMALL
+) -> list[float | None]:
+    """Linearly interpolated quantiles of a numeric column; nulls and NaN are left out.
 
-    Nulls and NaN are left out. The work is three passes over one column; the final
-    ordered count sees a few millionths of the rows, at most.
+    Each step is one aggregation over one column that returns one row. On a large table
+    the last step orders a few millionths of the rows.
     """
     value = F.col("v")
     values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull() & ~F.isnan(value))
+    n = values.count()
+    if n == 0:
+        return [None] * len(shares)
+    if n <= small:
+        return list(values.agg(F.percentile(value, list(shares)).alias("q")).first()["q"])
+    return [_large_quantile(values, n, share) for share in shares]
 
-    ends = [max(share - MARGIN, 0.0), min(share + MARGIN, 1.0)]
-    first = values.agg(
-        F.struct(
-            F.count(value).alias("n"),
+
+def _large_quantile(values: DataFrame, n: int, share: float) -> float:
+    value = F.col("v")
+    position = (n - 1) * share
+    rank = math.floor(position)
+    low, high, below, inside = -math.inf, math.inf, 0, n
+    for _ in range(2):
+        # Shares of the current stretch that surely enclose both neighbouring ranks.
+        first = max((rank - below) / inside - MARGIN, 0.0)
+        last = min((rank + 1 - below) / inside + MARGIN, 1.0)
+        stretch = values.where(value.between(low, high))
+        cuts = stretch.agg(
             F.min(value).alias("min"),
             F.max(value).alias("max"),
-            F.percentile_approx(value, ends, ACCURACY).alias("cuts"),
-        )
-    ).scalar()
-    few = first["n"] <= ACCURACY
-    low = F.when(few, first["min"]).otherwise(first["cuts"][0])
-    high = F.when(few, first["max"]).otherwise(first["cuts"][1])
-    position = (first["n"] - 1) * F.lit(share)
-    rank = F.floor(position)
-
-    inside = value.between(low, high)
-    second = values.agg(
-        F.struct(
-            F.count_if(value < low).alias("below"),
-            F.count_if(inside).alias("n"),
-            F.percentile_approx(
-                F.when(inside, value), [i / GRID for i in range(GRID + 1)], ACCURACY
-            ).alias("grid"),
-        )
-    ).scalar()
-    # The grid cells that hold the wanted rank and the next one, three cells wider on both sides.
-    cell = (rank - second["below"]) / second["n"] * GRID
-    first_cell = F.greatest(F.floor(cell) - 3, F.lit(0)).cast("int")
-    last_cell = F.least(F.ceil(cell + F.lit(2.0 * GRID) / second["n"]) + 3, F.lit(GRID)).cast("int")
-    narrow = second["n"] > ACCURACY
-    low2 = F.when(narrow, F.element_at(second["grid"], first_cell + 1)).otherwise(low)
-    high2 = F.when(narrow, F.element_at(second["grid"], last_cell + 1)).otherwise(high)
-
-    # All values below the stretch fall into one group with a null value, which sorts first.
-    counted = (
-        values.where(value <= high2)
-        .groupBy(F.when(value >= low2, value).alias("v"))
+            F.percentile_approx(value, [first, last], ACCURACY).alias("q"),
+        ).first()
+        low = cuts["q"][0] if first > 0 else cuts["min"]
+        high = cuts["q"][1] if last < 1 else cuts["max"]
+        counts = values.agg(
+            F.count_if(value < low).alias("below"), F.count_if(value.between(low, high)).alias("inside")
+        ).first()
+        below, inside = counts["below"], counts["inside"]
+        if not below <= rank < below + inside:
+            raise RuntimeError("quantile sketch missed its rank")
+        if inside <= ACCURACY:
+            break
+    ordered = (
+        values.where(value.between(low, high))
+        .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.orderBy(F.col("v").asc_nulls_first())))
+        .withColumn("upto", F.sum("n").over(Window.orderBy("v")) + below)
     )
-    lower = F.min(F.when(F.col("upto") > rank, value))
-    upper = F.coalesce(F.min(F.when(F.col("upto") > rank + 1, value)), lower)
-    return counted.agg((lower + (upper - lower) * (position - rank)).alias("q")).scalar()
+    found = ordered.agg(
+        F.min(F.when(F.col("upto") > rank, value)).alias("lower"),
+        F.min(F.when(F.col("upto") > rank + 1, value)).alias("upper"),
+    ).first()
+    upper = found["lower"] if found["upper"] is None else found["upper"]
+    return found["lower"] + (upper - found["lower"]) * (position - rank)
+
+
+def _numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    kinds = dict(df.dtypes)
+    return [c for c in columns if kinds.get(c) in ("double", "float", "bigint", "int")]
 
 
 def drop_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keep rows within 1.5 interquartile ranges of the quartiles, one column after the other.
 
     Later columns see the rows the earlier ones left. Rows with a null in a checked
-    column are dropped; columns that are missing or not numeric are skipped.
+    column are dropped; columns that are missing or not numeric are skipped. The
+    quartiles are computed when this is called; the filter itself stays lazy and, with
+    its literal bounds, can reach the scan.
     """
-    numeric = {"double", "float", "bigint", "int"}
-    for name in columns:
-        if dict(df.dtypes).get(name) not in numeric:
-            continue
-        q1, q3 = exact_quantile(df, name, 0.25), exact_quantile(df, name, 0.75)
+    for name in _numeric(df, columns):
+        q1, q3 = exact_quantiles(df, name, [0.25, 0.75])
+        if q1 is None:
+            return df.where(F.lit(False))
         reach = (q3 - q1) * 1.5
         df = df.where(F.col(name).between(q1 - reach, q3 + reach))
     return df
@@ -89,10 +100,10 @@ def drop_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def drop_outliers_approx(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
     """The same filter with sketched quartiles: one pass per column, rank error 1/accuracy."""
-    for name in columns:
-        if name not in df.columns:
-            continue
-        q = df.agg(F.percentile_approx(name, [0.25, 0.75], accuracy)).scalar()
+    for name in _numeric(df, columns):
+        q = df.agg(F.percentile_approx(name, [0.25, 0.75], accuracy).alias("q")).first()["q"]
+        if q is None:
+            return df.where(F.lit(False))
         reach = (q[1] - q[0]) * 1.5
         df = df.where(F.col(name).between(q[0] - reach, q[1] + reach))
     return df

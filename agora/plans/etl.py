@@ -92,12 +92,13 @@ def rolling_means(df: DataFrame, tie: Sequence[str]) -> DataFrame:
     )
 
 
-def flag_anomalies(df: DataFrame, tie: Sequence[str]) -> DataFrame:
+def flag_anomalies(df: DataFrame, source: DataFrame, tie: Sequence[str]) -> DataFrame:
     """Mark values more than three sample standard deviations from the mean of their metric.
 
-    Mean and deviation come from an aggregation, so no task sees a whole metric.
+    Mean and deviation come from an aggregation of ``source``, the rows ``df`` was made
+    of, so no task sees a whole metric and nothing done to ``df`` is repeated.
     """
-    spread = df.groupBy("metric_name").agg(
+    spread = source.groupBy("metric_name").agg(
         F.avg("metric_value").alias("_mean"), F.stddev_samp("metric_value").alias("_stddev")
     )
     joined = skew.join_small(df, spread, ["metric_name"], salt_on=[*tie, "timestamp"])
@@ -115,7 +116,7 @@ def transform_metrics(df: DataFrame, tie: Sequence[str] = ("component",)) -> Dat
     df = df.withColumns(
         {"minute": F.date_trunc("minute", "timestamp"), "hour": F.date_trunc("hour", "timestamp")}
     )
-    return flag_anomalies(rolling_means(df, tie), tie)
+    return flag_anomalies(rolling_means(df, tie), df, tie)
 
 
 TRANSFORMS = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import signal
 import sys
 import time
 from collections import Counter
@@ -17,6 +18,13 @@ NAMES = (
 ).split()
 
 
+LIMIT_SECONDS = 100
+
+
+def _too_slow(*_):
+    raise TimeoutError(f"more than {LIMIT_SECONDS} s")
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in NAMES:
@@ -58,14 +66,17 @@ def main(folder: str, wanted: list[str]) -> int:
 
     spark, con = local_session(), connect(folder)
     failed = 0
+    signal.signal(signal.SIGALRM, _too_slow)
     for name, run in QUERIES.items():
         if wanted and not any(w in name for w in wanted):
             continue
         started = time.monotonic()
+        signal.alarm(LIMIT_SECONDS)
         try:
             ok, note = compare(spark, con, name, run, ORACLES.get(name), folder)
         except Exception as error:  # noqa: BLE001 - reported per query
             ok, note = False, f"{type(error).__name__}: {str(error)[:600]}"
+        signal.alarm(0)
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.monotonic() - started:.1f}s {note}", flush=True)
     print(f"{failed} failed")

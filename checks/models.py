@@ -1 +1,46 @@
-"""Queries."""
+"""Model queries. Their results depend on training, so they have no SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agora.ml import success, topics
+from agora.operators import ideas as idea_jobs
+from agora.sources.adapter import AS_OF
+from checks.registry import query
+
+
+def metrics_of(t):
+    return idea_jobs.idea_metrics(t.rated_ideas, t.votes, t.comments, AS_OF)
+
+
+@query("idea_clusters", "idea_id:i category:s cluster_id:i vote_count:i average_rating:f")
+def _(t):
+    return topics.cluster_ideas(metrics_of(t)).assignments
+
+
+@query("topic_clusters", "cluster_id:i rank:i term:s weight:f")
+def _(t):
+    return topics.cluster_topics(t.ideas).terms
+
+
+@query("idea_topics", "idea_id:i topic_count:i total_share:f")
+def _(t):
+    mixtures = topics.model_topics(t.ideas).mixtures
+    return mixtures.select(
+        "idea_id",
+        F.size("topic_distribution").alias("topic_count"),
+        F.aggregate("topic_distribution", F.lit(0.0), lambda a, x: a + x).alias("total_share"),
+    )
+
+
+@query("popularity_predictions", "idea_id:i is_successful:f prediction:f")
+def _(t):
+    return success.train_popularity(t.ideas, t.votes).predictions
+
+
+@query("success_predictions", "idea_id:i category:s success_probability:f prediction:f success_likelihood:s")
+def _(t):
+    metrics = metrics_of(t)
+    model = success.train_success(metrics).model
+    return success.predict_success(metrics.where("days_since_created <= 7"), model)

@@ -1,7 +1,7 @@
 """Registration of queries together with their SQL.
 
 A query names its output columns once, as ``name:kind`` words, and both sides are cast
-accordingly. Kinds: i integer, f double (six digits), t time (text), d date (text),
+accordingly. Kinds: i integer, f double (six digits), m large sum (two digits), t time (text), d date (text),
 s string, b boolean, l list of strings joined by ``|``.
 """
 
@@ -25,6 +25,8 @@ def _spark_column(name: str, kind: str) -> Column:
             return column.cast("bigint").alias(name)
         case "f":
             return (F.round(column.cast("double"), 6) + F.lit(0.0)).alias(name)
+        case "m":
+            return F.round(column.cast("double"), 2).alias(name)
         case "t":
             return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(name)
         case "d":
@@ -45,6 +47,8 @@ def _sql_column(name: str, kind: str) -> str:
             return f"CAST({quoted} AS BIGINT) AS {quoted}"
         case "f":
             return f"round(CAST({quoted} AS DOUBLE), 6) + 0.0::DOUBLE AS {quoted}"
+        case "m":
+            return f"round(CAST({quoted} AS DOUBLE), 2) AS {quoted}"
         case "t":
             return f"strftime({quoted}, '%Y-%m-%d %H:%M:%S') AS {quoted}"
         case "d":
