@@ -9,6 +9,9 @@ from agora.functions.scores import ColumnOrName, _c
 # Patterns.
 # White space as Unicode defines it (Java's \s is ASCII only).
 WHITE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+NOT_WHITE_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
+# Runs of white space other than one plain blank.
+UNEVEN_SPACE = rf" {WHITE_SPACE}+|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]{WHITE_SPACE}*"
 URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL_LIKE = r"\S+@\S+"
 NOT_BASIC_TEXT = r"[^a-zA-Z0-9\s.,!?;:]"
@@ -21,7 +24,7 @@ MAX_TAG_LENGTH = 50
 
 def collapse(text: ColumnOrName) -> Column:
     """Runs of white space become one blank; no blanks at the ends."""
-    return F.trim(F.regexp_replace(_c(text), WHITE_SPACE + "+", " "))
+    return F.trim(F.regexp_replace(_c(text), UNEVEN_SPACE, " "))
 
 
 def strip(text: ColumnOrName) -> Column:
@@ -32,12 +35,13 @@ def strip(text: ColumnOrName) -> Column:
 def clean_text(text: ColumnOrName) -> Column:
     """Collapse blanks, then drop URLs, mail addresses and unusual characters.
 
-    Blanks left behind by a removal stay, because collapsing comes first.
+    Blanks left behind by a removal stay, because collapsing comes first. The costly
+    patterns run only on texts that can match them.
     """
     out = collapse(F.coalesce(_c(text), F.lit("")))
-    out = F.regexp_replace(out, URL, "")
-    out = F.regexp_replace(out, EMAIL_LIKE, "")
-    return F.regexp_replace(out, NOT_BASIC_TEXT, "")
+    out = F.when(out.contains("http"), F.regexp_replace(out, URL, "")).otherwise(out)
+    out = F.when(out.contains("@"), F.regexp_replace(out, EMAIL_LIKE, "")).otherwise(out)
+    return F.regexp_replace(out, NOT_BASIC_TEXT + "+", "")
 
 
 def combined_text(*parts: ColumnOrName) -> Column:
@@ -51,8 +55,7 @@ def normalised_text(*parts: ColumnOrName) -> Column:
 
 def word_count(text: ColumnOrName) -> Column:
     """Number of words; 0 for empty or blank text."""
-    body = collapse(F.coalesce(_c(text), F.lit("")))
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, " ")))
+    return F.regexp_count(F.coalesce(_c(text), F.lit("")), F.lit(NOT_WHITE_SPACE + "+"))
 
 
 def token_count(text: ColumnOrName, pattern: str = r"\s+") -> Column:

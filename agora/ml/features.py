@@ -12,13 +12,15 @@ from pyspark.ml.feature import (
     VectorAssembler,
     Word2Vec,
 )
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agora.functions import text, timeparts
 
 SEED = 42
 NUMBERS = ("vote_count", "average_rating", "view_count", "days_since_created", "comment_count")
 TRAIN_TENTHS = 8
+# Word vectors live on the driver and travel to every task: 200,000 words of 100 floats are 80 MB.
+MAX_VECTOR_WORDS = 200_000
 
 
 def word_stages(source: str = "combined_text", words: str = "filtered_words") -> list:
@@ -34,8 +36,33 @@ def tokens(df: DataFrame) -> DataFrame:
     return Pipeline(stages=word_stages()).fit(rows).transform(rows)
 
 
-def text_stages(vocabulary: int = 5000, min_documents: float = 2.0, vector_size: int = 100) -> list:
-    """TF-IDF over the commonest words and averaged word vectors."""
+def vector_min_count(ideas: DataFrame, limit: int = MAX_VECTOR_WORDS) -> int:
+    """The least word frequency that keeps the word vectors within ``limit`` words.
+
+    1 as long as all words fit. The table of frequencies is tiny next to the words.
+    """
+    words = tokens(ideas.select("title", "description")).select(F.explode("filtered_words").alias("word"))
+    frequencies = words.groupBy("word").count().groupBy("count").agg(F.count(F.lit(1)).alias("words"))
+    at_least = Window.orderBy(F.desc("count"))
+    fitting = frequencies.withColumn("upto", F.sum("words").over(at_least)).where(F.col("upto") <= limit)
+    least = fitting.agg(F.min("count").alias("least")).first()["least"]
+    if least is None:
+        return 1
+    total = frequencies.agg(F.sum("words").alias("n")).first()["n"]
+    return 1 if total <= limit else int(least)
+
+
+def text_stages(
+    vocabulary: int = 5000,
+    min_documents: float = 2.0,
+    vector_size: int = 100,
+    min_count: int = 1,
+    partitions: int = 1,
+) -> list:
+    """TF-IDF over the commonest words and averaged word vectors.
+
+    Word vectors are trained on ``partitions`` parts of the text side by side.
+    """
     return [
         *word_stages(),
         CountVectorizer(
@@ -46,7 +73,8 @@ def text_stages(vocabulary: int = 5000, min_documents: float = 2.0, vector_size:
             inputCol="filtered_words",
             outputCol="word2vec_features",
             vectorSize=vector_size,
-            minCount=1,
+            minCount=min_count,
+            numPartitions=partitions,
             seed=SEED,
         ),
     ]

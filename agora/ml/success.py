@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -27,7 +28,7 @@ class Trained:
     name: str
     model: PipelineModel
     accuracy: float
-    auc: float
+    auc: float | None
     importances: dict[str, float]
     seconds: float
     predictions: DataFrame = field(repr=False)
@@ -44,11 +45,17 @@ class Trained:
 
 def _fit(name: str, rows: DataFrame, stages: list, label: str, inputs: tuple[str, ...]) -> Trained:
     started = time.monotonic()
+    # The forest and the evaluators read the rows several times.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = rows.where(features.in_training_set()), rows.where(~features.in_training_set())
     model = Pipeline(stages=stages).fit(train)
     predictions = model.transform(test)
     accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(predictions)
-    auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(predictions)
+    # With a single class in the training rows there is no curve to measure.
+    auc = None
+    if model.stages[-1].numClasses == 2:
+        auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(predictions)
+    rows.unpersist()
     weights = model.stages[-1].featureImportances.toArray()
     # An encoded category fills the tail of the vector; its parts are added up.
     importances = {c: float(weights[i]) for i, c in enumerate(inputs[:-1])}
@@ -71,7 +78,7 @@ def train_popularity(ideas: DataFrame, votes: DataFrame) -> Trained:
         VectorAssembler(inputCols=list(POPULARITY_COLUMNS), outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="is_successful", seed=features.SEED),
     ]
-    rows = popularity_examples(ideas, votes)
+    rows = popularity_examples(ideas, votes).select("idea_id", "title", *POPULARITY_COLUMNS, "is_successful")
     return _fit("idea_popularity", rows, stages, "is_successful", POPULARITY_COLUMNS)
 
 
@@ -95,7 +102,10 @@ def train_success(metrics: DataFrame, trees: int = 100, path: str | None = None)
             featuresCol="features", labelCol="is_successful", numTrees=trees, seed=features.SEED
         ),
     ]
-    trained = _fit("idea_success", success_examples(metrics), stages, "is_successful", SUCCESS_COLUMNS)
+    rows = success_examples(metrics).select(
+        "idea_id", "title", "category", "days_since_created", "title_length", "description_length", "is_successful"
+    )
+    trained = _fit("idea_success", rows, stages, "is_successful", SUCCESS_COLUMNS)
     if path is not None:
         trained.model.write().overwrite().save(path)
     return trained
@@ -109,6 +119,6 @@ def predict_success(ideas: DataFrame, model: PipelineModel | str) -> DataFrame:
         "idea_id",
         "title",
         "category",
-        vector_to_array("probability")[1].alias("success_probability"),
+        F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias("success_probability"),
         "prediction",
     ).withColumn("success_likelihood", scores.success_likelihood("success_probability"))

@@ -34,7 +34,10 @@ def cluster_ideas(ideas: DataFrame, k: int = 10, path: str | None = None) -> Clu
     )
     prepare = Pipeline(
         stages=[
-            *features.text_stages(),
+            *features.text_stages(
+                min_count=features.vector_min_count(ideas),
+                partitions=ideas.sparkSession.sparkContext.defaultParallelism,
+            ),
             *features.number_stages(),
             VectorAssembler(
                 inputCols=["tfidf_features", "word2vec_features", "scaled_numerical_features"],

@@ -252,8 +252,9 @@ def replay(events: DataFrame) -> DataFrame:
     implemented = (kind == STATUS_CHANGED) & (new_status == "implemented")
 
     def newest(condition: Column, value: Column) -> Column:
-        # A null order never wins, so the condition can sit in the order alone.
-        return F.max_by(value, F.when(condition, order))
+        # A null order never wins. The condition guards the value too, so the payload of
+        # an event is parsed only for the attribute it sets.
+        return F.max_by(F.when(condition, value), F.when(condition, order))
 
     return events.groupBy("decision_id").agg(
         newest(is_status, status).alias("status"),

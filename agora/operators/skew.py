@@ -7,7 +7,7 @@ functions here split such a key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -85,25 +85,21 @@ def join_small(
     return split_join(fact, dim, keys, salt_on, how)
 
 
-def with_time_bucket(
-    df: DataFrame, time: str, name: str = "_bucket", rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """Number equal stretches of time so that one holds about ``rows_per_bucket`` rows.
+def time_bucket(df: DataFrame, time: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column | None:
+    """Number of an equal stretch of time that holds about ``rows_per_bucket`` rows.
 
-    The width follows from the count and the time range of the whole table, read by
-    one scalar subquery, so a small table gets a single bucket.
+    The width follows from the count and the time range of the table, read by one small
+    job. ``None`` for a table that one bucket can hold.
     """
     seconds = F.unix_micros(F.col(time)) / F.lit(1e6)
     span = df.agg(
-        F.struct(
-            F.min(seconds).alias("first"),
-            F.greatest(
-                (F.max(seconds) - F.min(seconds)) * rows_per_bucket / F.greatest(F.count(F.lit(1)), F.lit(1)),
-                F.lit(1.0),
-            ).alias("width"),
-        )
-    ).scalar()
-    return df.withColumn(name, F.floor((seconds - span["first"]) / span["width"]))
+        F.count(F.lit(1)).alias("n"), F.min(seconds).alias("first"), F.max(seconds).alias("last")
+    ).first()
+    if span["n"] <= rows_per_bucket or span["first"] is None:
+        return None
+    width = max((span["last"] - span["first"]) * rows_per_bucket / span["n"], 1.0)
+    # Rows without a time sort first, so they belong to the first bucket.
+    return F.coalesce(F.floor((seconds - span["first"]) / width), F.lit(0))
 
 
 def over_history(
@@ -113,44 +109,44 @@ def over_history(
     tie: Sequence[str],
     needs: Sequence[str],
     depth: int,
-    columns,
+    columns: Callable[[WindowSpec], Mapping[str, Column]],
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Window columns that look back at most ``depth`` rows, without one task per key.
 
-    Every key is cut into time buckets. The last ``depth`` rows before a bucket are
+    A large table is cut into time buckets. The last ``depth`` rows before a bucket are
     added to it as lead-in rows, the window runs per (key, bucket), and the lead-in
     rows are dropped again. ``columns(window)`` returns the new columns; they may use
     the columns in ``needs`` only, over ``window``, which is ordered by ``time``, ``tie``.
     """
-    rows = with_time_bucket(df, time, rows_per_bucket=rows_per_bucket)
     order = [time, *tie]
-    carried = list(dict.fromkeys([*order, *needs]))
+    bucket = time_bucket(df, time, rows_per_bucket)
+    if bucket is None:
+        return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*order))))
+    rows = df.withColumn("_bucket", bucket)
+    carried = [c for c in dict.fromkeys([*order, *needs]) if c not in keys]
     latest_first = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        rows.select(*keys, "_bucket", *[c for c in carried if c not in keys])
+        rows.select(*keys, "_bucket", *carried)
         .withColumn("_back", F.row_number().over(latest_first))
         .where(F.col("_back") <= depth)
     )
     # At most ``depth`` rows per bucket are left, so this window per key stays small.
-    record = F.struct(*[F.col(c) for c in carried])
     last_rows = Window.partitionBy(*keys).orderBy("_bucket", *order).rowsBetween(1 - depth, 0)
     carry_out = (
-        tails.withColumn("_lead", F.collect_list(record).over(last_rows))
+        tails.withColumn("_lead", F.collect_list(F.struct(*carried)).over(last_rows))
         .where(F.col("_back") == 1)
         .select(*keys, "_bucket", "_lead")
     )
     per_key = Window.partitionBy(*keys).orderBy("_bucket")
     lead_in = (
         carry_out.withColumn("_lead", F.lag("_lead").over(per_key))
-        .select(*keys, "_bucket", F.explode("_lead").alias("_row"))
-        .select(*keys, "_bucket", *[F.col(f"_row.{c}").alias(c) for c in carried if c not in keys])
+        .select(*keys, "_bucket", F.inline("_lead"))
         .withColumn("_own", F.lit(False))
     )
     window = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     out = rows.withColumn("_own", F.lit(True)).unionByName(lead_in, allowMissingColumns=True)
-    new: Mapping[str, Column] = columns(window)
-    return out.withColumns(dict(new)).where("_own").drop("_own", "_bucket")
+    return out.withColumns(dict(columns(window))).where("_own").drop("_own", "_bucket")
 
 
 def with_running_count(
@@ -162,8 +158,11 @@ def with_running_count(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Position of each row within its key by time, counted per (key, bucket) plus an offset."""
-    rows = with_time_bucket(df, time, rows_per_bucket=rows_per_bucket)
-    earlier: WindowSpec = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucket = time_bucket(df, time, rows_per_bucket)
+    if bucket is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(time, *tie)))
+    rows = df.withColumn("_bucket", bucket)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_rows"))
