@@ -43,13 +43,16 @@ def vector_min_count(ideas: DataFrame, limit: int = MAX_VECTOR_WORDS) -> int:
     """
     words = tokens(ideas.select("title", "description")).select(F.explode("filtered_words").alias("word"))
     frequencies = words.groupBy("word").count().groupBy("count").agg(F.count(F.lit(1)).alias("words"))
-    at_least = Window.orderBy(F.desc("count"))
-    fitting = frequencies.withColumn("upto", F.sum("words").over(at_least)).where(F.col("upto") <= limit)
-    least = fitting.agg(F.min("count").alias("least")).first()["least"]
-    if least is None:
+    ranked = frequencies.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("count"))))
+    found = ranked.agg(
+        F.max("upto").alias("all"),
+        F.max("count").alias("highest"),
+        F.min(F.when(F.col("upto") <= limit, F.col("count"))).alias("least"),
+    ).first()
+    if found["all"] is None or found["all"] <= limit:
         return 1
-    total = frequencies.agg(F.sum("words").alias("n")).first()["n"]
-    return 1 if total <= limit else int(least)
+    # Words that share the highest frequency stay together even above the limit.
+    return int(found["least"] or found["highest"])
 
 
 def text_stages(

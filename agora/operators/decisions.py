@@ -244,8 +244,11 @@ def replay(events: DataFrame) -> DataFrame:
     which combines on the map side, so a long log of one decision needs no sort.
     """
     order = F.struct(*EVENT_ORDER)
-    new_status = F.get_json_object("event_data", "$.new_status")
     kind = F.col("event_type")
+    events = events.withColumn(
+        "_new_status", F.when(kind == STATUS_CHANGED, F.get_json_object("event_data", "$.new_status"))
+    )
+    new_status = F.col("_new_status")
     is_status = (kind == STATUS_CHANGED) | (kind == REVERSED_EVENT)
     status = F.when(kind == REVERSED_EVENT, "reversed").otherwise(new_status)
     approved = (kind == STATUS_CHANGED) & (new_status == "approved")

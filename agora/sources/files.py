@@ -19,25 +19,42 @@ def dataset_kind(path: str) -> str | None:
     return next((kind for kind in KINDS if kind in path), None)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType | None, known: T.StructType | None = None
+) -> DataFrame:
+    """Read by suffix. Without a schema the columns are those of the file.
+
+    A schema adds the columns a file lacks, filled with nulls; later steps treat a
+    missing column differently from an empty one, so it is not imposed by default. CSV
+    columns take their types from ``known`` where it names them.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if path.endswith(".parquet"):
         return reader.parquet(path)
     if path.endswith(".csv"):
+        if schema is None:
+            types = {} if known is None else {f.name: f.dataType for f in known.fields}
+            header = spark.read.option("header", True).csv(path).columns
+            reader = spark.read.schema(
+                T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+            )
         return reader.option("header", True).csv(path)
     if path.endswith((".json", ".jsonl")):
         return reader.json(path)
     raise ValueError(f"unsupported file format: {path}")
 
 
-def read_interactions(spark: SparkSession, path: str, schema: T.StructType | None = schemas.INTERACTIONS) -> DataFrame:
-    """Parquet, CSV with a header, or JSON lines, by suffix. ``schema=None`` infers it."""
-    return _read(spark, path, schema)
+def read_interactions(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet, CSV with a header, or JSON lines, by suffix.
+
+    Give ``schemas.INTERACTIONS`` for large JSON inputs: inferring reads them once more.
+    """
+    return _read(spark, path, schema, schemas.INTERACTIONS)
 
 
-def read_thoughts(spark: SparkSession, path: str, schema: T.StructType | None = schemas.THOUGHTS) -> DataFrame:
+def read_thoughts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON lines; the fields of ``metadata`` become columns, prefixed where a name is taken."""
-    return flatten(_read(spark, path, schema), "metadata")
+    return flatten(_read(spark, path, schema, schemas.THOUGHTS), "metadata")
 
 
 def flatten(df: DataFrame, column: str) -> DataFrame:
