@@ -12,6 +12,10 @@ WHITE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_WHITE_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 # Runs of white space other than one plain blank.
 UNEVEN_SPACE = rf" {WHITE_SPACE}+|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]{WHITE_SPACE}*"
+WHITE_SPACE_CHARACTERS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL_LIKE = r"\S+@\S+"
 NOT_BASIC_TEXT = r"[^a-zA-Z0-9\s.,!?;:]"
@@ -29,7 +33,12 @@ def collapse(text: ColumnOrName) -> Column:
 
 def strip(text: ColumnOrName) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(_c(text), f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    return F.btrim(_c(text), F.lit(WHITE_SPACE_CHARACTERS))
+
+
+def is_blank(text: ColumnOrName) -> Column:
+    """True for text without a single visible character."""
+    return ~_c(text).rlike(NOT_WHITE_SPACE)
 
 
 def clean_text(text: ColumnOrName) -> Column:

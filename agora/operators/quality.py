@@ -99,7 +99,7 @@ def thought_rules() -> list[Rule]:
     return [
         _filled("user_id"),
         _length("thought_text", 1, MAX_TEXT, required=True),
-        Rule("thought_text", "blank", "text must not be blank", text.strip("thought_text") != ""),
+        Rule("thought_text", "blank", "text must not be blank", ~text.is_blank("thought_text")),
         _between("sentiment_score", -1.0, 1.0),
         Rule("tags", "size", f"at most {MAX_TAGS} tags", F.size("tags") <= MAX_TAGS),
     ]
@@ -366,7 +366,7 @@ def _dataset_checks(df: DataFrame, kind: str, as_of: datetime | str) -> dict[str
             checks["future_timestamps"] = F.col("timestamp") > timeparts.moment(as_of)
     if kind == "thoughts":
         if "thought_text" in have:
-            checks["empty_thoughts"] = text.strip("thought_text") == ""
+            checks["empty_thoughts"] = text.is_blank("thought_text")
             checks["long_thoughts"] = F.length("thought_text") > MAX_TEXT
         if "sentiment_score" in have:
             checks["invalid_sentiment"] = ~F.col("sentiment_score").between(-1, 1)

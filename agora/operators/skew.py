@@ -21,13 +21,9 @@ MAX_BROADCAST_ROWS = 200_000
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys holding more than ``1/share`` of all rows (at most ``share - 1`` of them)."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") * share > total)
-        .select(*keys)
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    return counts.where(F.col("_rows") * share > total).select(*keys)
 
 
 def split_join(
@@ -38,16 +34,20 @@ def split_join(
     how: str = "inner",
     slices: int = 64,
     share: int = HOT_SHARE,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join many fact rows to ``dim`` with the hot keys of ``fact`` cut into slices.
 
     Rows of a hot key are spread over ``slices`` by a hash of ``salt_on`` (columns that
     tell rows of one key apart); only the ``dim`` rows of hot keys are repeated, once
     per slice. Every other key joins as usual. ``how`` is ``inner`` or ``left``.
+    ``hot_from`` names a cheaper table with the same hot keys where ``fact`` is itself
+    the result of much work; the result does not depend on it.
     """
     if how not in ("inner", "left"):
         raise ValueError("split_join supports inner and left joins")
-    hot = hot_keys(fact.select(*keys), keys, share).withColumn("_hot", F.lit(True))
+    source = fact if hot_from is None else hot_from
+    hot = hot_keys(source.select(*keys), keys, share).withColumn("_hot", F.lit(True))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agora.functions import scores, timeparts
 from agora.operators import ideas as idea_jobs
@@ -138,7 +138,7 @@ def interaction_edges(ideas: DataFrame, votes: DataFrame, comments: DataFrame) -
     )
     authors = ideas.select("idea_id", F.col("user_id").alias("target"))
     return (
-        skew.split_join(acted, authors, ["idea_id"], salt_on=["source"])
+        skew.split_join(acted, authors, ["idea_id"], salt_on=["source"], hot_from=votes)
         .where(F.col("source") != F.col("target"))
         .groupBy("source", "target")
         .agg(F.sum("n").alias("interactions"))
@@ -147,13 +147,21 @@ def interaction_edges(ideas: DataFrame, votes: DataFrame, comments: DataFrame) -
 
 def influence(edges: DataFrame) -> DataFrame:
     """In- and out-degree and received interactions per user."""
-    given = edges.groupBy(F.col("source").alias("user_id")).agg(
-        F.count(F.lit(1)).alias("out_degree"), F.sum("interactions").alias("given")
-    )
-    received = edges.groupBy(F.col("target").alias("user_id")).agg(
-        F.count(F.lit(1)).alias("in_degree"), F.sum("interactions").alias("received")
+    def end(user: str, out: int) -> Column:
+        n, none = F.col("interactions"), F.lit(0).cast("long")
+        return F.struct(
+            F.col(user).alias("user_id"),
+            F.lit(out).alias("out_degree"),
+            (n if out else none).alias("given"),
+            F.lit(1 - out).alias("in_degree"),
+            (none if out else n).alias("received"),
+        )
+
+    # Both ends of an edge from one pass over the edges.
+    ends = edges.select(F.inline(F.array(end("source", 1), end("target", 0))))
+    return ends.groupBy("user_id").agg(
+        *[F.sum(c).alias(c) for c in ("out_degree", "given", "in_degree", "received")]
     )
-    return given.join(received, "user_id", "full").fillna(0)
 
 
 def interaction_counters(interactions: DataFrame) -> DataFrame:
@@ -169,23 +177,46 @@ def milestones(interactions: DataFrame, every: int = 10, tie: str = "event_id")
     )
 
 
-def user_sessions(interactions: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions split by inactivity: views, interactions and duration. Batch or stream."""
-    kind = F.lower(F.trim("interaction_type"))
-    return (
-        interactions.groupBy(F.session_window("timestamp", gap), "user_id")
-        .agg(
-            F.count_if(kind == "view").alias("page_views"),
-            F.count(F.lit(1)).alias("interactions"),
-            F.min("timestamp").alias("start_time"),
-            F.max("timestamp").alias("end_time"),
+def user_sessions(
+    interactions: DataFrame, gap: str = "30 minutes", rows_per_bucket: int = skew.ROWS_PER_BUCKET
+) -> DataFrame:
+    """Sessions split by inactivity: views, interactions and duration. Batch or stream.
+
+    A session window sends all rows of a user to one task. A large batch is therefore cut
+    into time buckets first; what is left to be merged over the bucket borders is at most
+    one session per gap and user.
+    """
+    bucket = None if interactions.isStreaming else skew.time_bucket(interactions, "timestamp", rows_per_bucket)
+    if bucket is None:
+        sessions = _sessions(interactions, gap, [])
+    else:
+        parts = _sessions(interactions.withColumn("_bucket", bucket), gap, ["_bucket"])
+        by_time = Window.partitionBy("user_id").orderBy("start_time")
+        pause_over = F.col("start_time") > F.lag("end_time").over(by_time) + F.expr(f"INTERVAL {gap}")
+        numbered = parts.withColumn("_new", F.when(F.coalesce(pause_over, F.lit(True)), 1).otherwise(0)).withColumn(
+            "_session", F.sum("_new").over(by_time)
         )
-        .select(
-            "user_id",
-            "start_time",
-            "end_time",
-            "page_views",
-            "interactions",
-            timeparts.whole_seconds_between("start_time", "end_time").alias("duration_seconds"),
+        sessions = numbered.groupBy("user_id", "_session").agg(
+            F.min("start_time").alias("start_time"),
+            F.max("end_time").alias("end_time"),
+            F.sum("page_views").alias("page_views"),
+            F.sum("interactions").alias("interactions"),
         )
+    return sessions.select(
+        "user_id",
+        "start_time",
+        "end_time",
+        "page_views",
+        "interactions",
+        timeparts.whole_seconds_between("start_time", "end_time").alias("duration_seconds"),
+    )
+
+
+def _sessions(interactions: DataFrame, gap: str, extra_keys: list[str]) -> DataFrame:
+    kind = F.lower(F.trim("interaction_type"))
+    return interactions.groupBy(F.session_window("timestamp", gap), "user_id", *extra_keys).agg(
+        F.count_if(kind == "view").alias("page_views"),
+        F.count(F.lit(1)).alias("interactions"),
+        F.min("timestamp").alias("start_time"),
+        F.max("timestamp").alias("end_time"),
     )

@@ -101,3 +101,26 @@ def test_no_values_no_rows(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert quantiles.exact_quantiles(df, "a", [0.5]) == [None]
     assert quantiles.drop_outliers(df, ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_bucket", [10**6, 40])
+def test_sessions_over_buckets(spark, rows_per_bucket):
+    from agora.operators.users import user_sessions
+
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"u{i % 5}", T0 + timedelta(minutes=rng.randrange(20_000)), "view") for i in range(600)]
+    # Pauses of exactly the gap.
+    rows += [("edge", T0 + timedelta(minutes=30 * i), "like") for i in range(4)]
+    table = spark.createDataFrame(rows, "user_id string, timestamp timestamp, interaction_type string")
+    got = {(r.user_id, r.start_time): (r.end_time, r.interactions) for r in user_sessions(table, rows_per_bucket=rows_per_bucket).collect()}
+    expected = {}
+    for user in {r[0] for r in rows}:
+        times = sorted(r[1] for r in rows if r[0] == user)
+        start = last = times[0]
+        count = 0
+        for t in times:
+            if t > last + timedelta(minutes=30):
+                start, count = t, 0
+            last, count = t, count + 1
+            expected[(user, start)] = (last, count)
+    assert got == expected
