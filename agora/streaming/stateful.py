@@ -1,6 +1,6 @@
 """Per-user state that windows cannot express: milestones, vote limits, vote life cycles.
 
-State is kept by ``transformWithStateInPandas``, which needs the RocksDB state store
+State is kept by ``transformWithState``, which needs the RocksDB state store
 (``agora.session.ROCKSDB_PROVIDER``). The Python code per key is a few lines; Spark
 partitions the keys, checkpoints the state and restores it elsewhere if an executor dies.
 """
@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from agora.schemas import VOTE_TYPES
 from agora.session import ROCKSDB_PROVIDER
 
 
@@ -30,7 +31,8 @@ class _Milestones(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.count.get()[0] if self.count.exists() else 0
+        state = self.count.get()
+        before = 0 if state is None else state[0]
         total = before + sum(len(chunk) for chunk in rows)
         self.count.update((total,))
         reached = range(before // self.every + 1, total // self.every + 1)
@@ -67,7 +69,7 @@ class _VoteLimit(StatefulProcessor):
         self.window = handle.getValueState("window", "opened timestamp, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened, count = self.window.get() if self.window.exists() else (None, 0)
+        opened, count = self.window.get() or (None, 0)
         opened = None if opened is None else pd.Timestamp(opened)
         # The votes of one user in one micro-batch.
         votes = pd.concat(rows).sort_values(["timestamp", "event_id"], ignore_index=True)
@@ -106,32 +108,33 @@ def limit_votes(events: DataFrame, limit: int = 10, seconds: float = 60) -> Data
 
 
 class _CurrentVote(StatefulProcessor):
-    """The vote that counts for a user and idea, and the change each new event makes."""
+    """The vote that counts for a user and idea, and the change each new event makes.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.vote = handle.getValueState("vote", "vote_type string, at timestamp")
+    Keys are many and their rows few, so this works on rows rather than on small frames.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old, at = self.vote.get() if self.vote.exists() else (None, None)
-        events = pd.concat(rows).sort_values(["timestamp", "event_id"], ignore_index=True)
-        last = events.iloc[-1]
-        if at is not None and last["timestamp"] < pd.Timestamp(at):
-            return
-        new = None if last["event_type"] == "vote_removed" else last["vote_type"]
-        self.vote.update((new, last["timestamp"].to_pydatetime()))
-
-        def value(kind: str) -> int:
-            return int(new == kind) - int(old == kind)
-
-        yield pd.DataFrame(
-            {
-                "idea_id": [key[0]],
-                "user_id": [key[1]],
-                "upvote_change": [value("upvote")],
-                "downvote_change": [value("downvote")],
-                "rating_change": [value("rating")],
-            }
-        )
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.vote = handle.getValueState("vote", "vote_type string, moment long, event_id string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = max(rows, key=lambda r: (r.moment, r.event_id))
+        state = self.vote.get()
+        old = None
+        if state is not None:
+            old = state[0]
+            if (last.moment, last.event_id) < (state[1], state[2]):
+                return
+        new = None if last.event_type == "vote_removed" else last.vote_type
+        self.vote.update((new, last.moment, last.event_id))
+        changes = [int(new == kind) - int(old == kind) for kind in VOTE_TYPES]
+        if any(changes):
+            yield Row(
+                idea_id=key[0],
+                user_id=key[1],
+                upvote_change=changes[0],
+                downvote_change=changes[1],
+                rating_change=changes[2],
+            )
 
     def close(self) -> None:
         pass
@@ -140,12 +143,15 @@ class _CurrentVote(StatefulProcessor):
 def vote_changes(events: DataFrame) -> DataFrame:
     """Signed changes of an idea's counts from cast, update and remove events.
 
-    The sums of the changes per idea are its current counts.
+    The sums of the changes per idea are its current counts. Nothing is written for an
+    event that changes no count.
     """
     return (
-        events.select("idea_id", "user_id", "event_id", "event_type", "vote_type", "timestamp")
+        events.select(
+            "idea_id", "user_id", "event_id", "event_type", "vote_type", F.unix_micros("timestamp").alias("moment")
+        )
         .groupBy("idea_id", "user_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_CurrentVote(),
             outputStructType="idea_id int, user_id string, upvote_change long,"
             " downvote_change long, rating_change long",
