@@ -14,16 +14,25 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
 # HOT_SHARE hot keys whatever the data: a table of them is small enough to broadcast.
 HOT_SHARE = 1024
+# A hot key is cut into slices of about this many rows; smaller keys stay whole.
+ROWS_PER_SLICE = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
 # Narrow rows: at 100 bytes each this is a broadcast of 20 MB.
 MAX_BROADCAST_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``1/share`` of all rows (at most ``share - 1`` of them)."""
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Keys with more than ``1/share`` of all rows and too many for one slice, with ``_slices``.
+
+    There are at most ``share - 1`` of them.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where(F.col("_rows") * share > total).select(*keys)
+    return counts.where((F.col("_rows") * share > total) & (F.col("_rows") > rows_per_slice)).select(
+        *keys, F.ceil(F.col("_rows") / rows_per_slice).alias("_slices")
+    )
 
 
 def split_join(
@@ -32,39 +41,39 @@ def split_join(
     keys: Sequence[str],
     salt_on: Sequence[str],
     how: str = "inner",
-    slices: int = 64,
     share: int = HOT_SHARE,
+    rows_per_slice: int = ROWS_PER_SLICE,
     hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join many fact rows to ``dim`` with the hot keys of ``fact`` cut into slices.
 
-    Rows of a hot key are spread over ``slices`` by a hash of ``salt_on`` (columns that
-    tell rows of one key apart); only the ``dim`` rows of hot keys are repeated, once
-    per slice. Every other key joins as usual. ``how`` is ``inner`` or ``left``.
-    ``hot_from`` names a cheaper table with the same hot keys where ``fact`` is itself
-    the result of much work; the result does not depend on it.
+    Rows of a hot key are spread by a hash of ``salt_on`` (columns that tell rows of one
+    key apart) over as many slices as its row count asks for; only the ``dim`` rows of
+    hot keys are repeated, once per slice. Every other key joins as usual. ``how`` is
+    ``inner`` or ``left``. ``hot_from`` names a cheaper table with the same hot keys
+    where ``fact`` is itself the result of much work; the result does not depend on it.
     """
     if how not in ("inner", "left"):
         raise ValueError("split_join supports inner and left joins")
     source = fact if hot_from is None else hot_from
-    hot = hot_keys(source.select(*keys), keys, share).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot_keys(source.select(*keys), keys, share, rows_per_slice))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*salt_on), F.lit(slices))
     # Rows without a key match nothing; spread them too, they may be many.
-    left = fact.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_slice", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0).cast("long"))
+    slices = F.when(no_key, F.lit(share).cast("long")).otherwise(F.col("_slices"))
+    left = fact.join(hot, list(keys), "left").withColumn(
+        "_slice",
+        F.when(slices.isNotNull(), F.pmod(F.xxhash64(*salt_on), slices)).otherwise(F.lit(0).cast("long")),
     )
-    right = dim.join(F.broadcast(hot), list(keys), "left").withColumn(
+    first = F.lit(0).cast("long")
+    right = dim.join(hot, list(keys), "left").withColumn(
         "_slice",
         F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).otherwise(
-                F.array(F.lit(0).cast("long"))
-            )
+            F.when(F.col("_slices").isNotNull(), F.sequence(first, F.col("_slices") - 1)).otherwise(F.array(first))
         ),
     )
-    return left.drop("_hot").join(right.drop("_hot"), [*keys, "_slice"], how).drop("_slice")
+    return left.drop("_slices").join(right.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
 
 
 def join_small(

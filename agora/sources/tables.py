@@ -89,9 +89,14 @@ class FileTables:
 
 @dataclass(frozen=True)
 class CatalogTables:
-    """Tables of the session catalogue."""
+    """Tables of the session catalogue.
+
+    ``buckets`` maps a table to (number, column): tables bucketed alike on their join key
+    join and aggregate on it without another shuffle.
+    """
 
     database: str | None = None
+    buckets: dict[str, tuple[int, str]] = field(default_factory=dict)
 
     def name(self, table: str) -> str:
         return table if self.database is None else f"{self.database}.{table}"
@@ -100,7 +105,12 @@ class CatalogTables:
         return spark.table(self.name(table))
 
     def write(self, df: DataFrame, table: str, mode: str = "append") -> None:
-        df.write.mode(mode).saveAsTable(self.name(table))
+        writer = df.write.mode(mode)
+        if table in self.buckets:
+            number, column = self.buckets[table]
+            # One shuffle here, so that every task writes whole buckets and not a file for each.
+            writer = df.repartition(number, column).write.mode(mode).bucketBy(number, column).sortBy(column)
+        writer.saveAsTable(self.name(table))
 
     def exists(self, spark: SparkSession, table: str) -> bool:
         return spark.catalog.tableExists(self.name(table))

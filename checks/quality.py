@@ -259,12 +259,28 @@ def _(t):
 @query(
     "criteria_rule_counts",
     "field:s broken_rows:i",
-    """SELECT unnest(['name', 'min_vote_count', 'min_average_rating', 'max_controversy_score', 'min_days_since_created',
-                      'min_success_probability']) AS field, 0 AS broken_rows FROM (SELECT count(*) FROM nation)""",
-)
-def _(t):
-    wanted = [r for r in jobs.criteria_rules() if r.field not in ("max_days_in_review", "required_cluster_size")]
-    return jobs.rule_counts(t.criteria, wanted)
+    """SELECT 'name' AS field, count(*) FILTER (WHERE length(p_name) NOT BETWEEN 3 AND 100) AS broken_rows FROM part
+       UNION ALL SELECT 'min_vote_count', count(*) FILTER (WHERE p_size - 2 < 0) FROM part
+       UNION ALL SELECT 'min_average_rating', count(*) FILTER (WHERE p_size % 7 NOT BETWEEN 1 AND 5) FROM part
+       UNION ALL SELECT 'max_controversy_score', count(*) FILTER (WHERE p_size % 12 > 10) FROM part
+       UNION ALL SELECT 'min_days_since_created', 0 FROM (SELECT count(*) FROM part)
+       UNION ALL SELECT 'max_days_in_review', count(*) FILTER (WHERE p_size % 5 < 1) FROM part
+       UNION ALL SELECT 'min_success_probability', count(*) FILTER (WHERE p_size % 15 > 10) FROM part
+       UNION ALL SELECT 'required_cluster_size', count(*) FILTER (WHERE p_size % 3 < 1) FROM part""",
+)
+def _(t):
+    size = F.col("p_size")
+    proposed = t.raw("part").select(
+        F.col("p_name").alias("name"),
+        (size - 2).alias("min_vote_count"),
+        (size % 7).cast("double").alias("min_average_rating"),
+        (size % 12 / 10).alias("max_controversy_score"),
+        size.alias("min_days_since_created"),
+        (size % 5).alias("max_days_in_review"),
+        (size % 15 / 10).alias("min_success_probability"),
+        (size % 3).alias("required_cluster_size"),
+    )
+    return jobs.rule_counts(proposed, jobs.criteria_rules())
 
 
 QUALITY = """

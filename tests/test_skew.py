@@ -22,24 +22,25 @@ def log(spark):
 
 
 def test_hot_keys_are_few(log):
-    assert [r.k for r in skew.hot_keys(log, ["k"], share=4).collect()] == ["hot"]
+    assert [r.k for r in skew.hot_keys(log, ["k"], share=4, rows_per_slice=10).collect()] == ["hot"]
+    assert skew.hot_keys(log, ["k"], share=4).count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_split_join_equals_join(spark, log, how):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("other", 3)], "k string, x int")
     fact = log.unionByName(log.limit(5).withColumn("k", F.lit(None).cast("string")))
-    split = skew.split_join(fact, dim, ["k"], salt_on=["i"], how=how, slices=7, share=4)
+    split = skew.split_join(fact, dim, ["k"], salt_on=["i"], how=how, share=4, rows_per_slice=90)
     plain = fact.join(dim, ["k"], how)
     assert sorted(map(str, split.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
 def test_split_join_spreads_the_hot_key(spark, log):
     dim = spark.createDataFrame([("hot", 1)], "k string, x int")
-    hot = F.broadcast(skew.hot_keys(log.select("k"), ["k"], 4))
-    assert hot.count() == 1
-    joined = skew.split_join(log, dim, ["k"], salt_on=["i"], slices=16, share=4)
-    assert joined.count() == log.where("k = 'hot'").count()
+    assert skew.hot_keys(log, ["k"], 4, 90).first()._slices == 12
+    joined = skew.split_join(log, dim, ["k"], salt_on=["i"], share=4, rows_per_slice=90)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan and joined.count() == log.where("k = 'hot'").count()
 
 
 def test_join_small_falls_back(spark, log):

@@ -72,3 +72,13 @@ def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark).rstrip("/").startswith(("file:", "/"))
     one, two = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
     assert one != two and spark.sparkContext.getConf().get("spark.checkpoint.dir").rsplit("/", 1)[-1] in one
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    store = tables.CatalogTables(buckets={"b_votes": (4, "idea_id"), "b_ideas": (4, "idea_id")})
+    rows = spark.range(1000).select((F.col("id") % 50).cast("int").alias("idea_id"), "id")
+    store.write(rows, "b_votes")
+    store.write(rows.select("idea_id").distinct(), "b_ideas")
+    joined = store.read(spark, "b_votes").hint("merge").join(store.read(spark, "b_ideas"), "idea_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 1000
