@@ -396,9 +396,9 @@ def template_usage(decisions: DataFrame, templates: DataFrame) -> DataFrame:
 def prefill(decisions: DataFrame, templates: DataFrame) -> DataFrame:
     """Fill empty summary, rationale and timeline from the template of the decision's type.
 
-    Templates are few; Spark broadcasts them by their size.
+    There are few types, so each is hot: templates are broadcast, or the types are split.
     """
-    filled = decisions.join(templates, "decision_type", "left")
+    filled = skew.join_small(decisions, templates, ["decision_type"], salt_on=["id"])
     return filled.select(
         "id",
         "decision_type",

@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from agora.operators import skew
+
 CRITERIA_PER_BLOCK = 500
 MAX_CRITERIA = 20_000
 
@@ -252,8 +254,9 @@ def metric_alerts(metrics: DataFrame, thresholds: dict[str, float] | None = None
 
 
 def metric_alerts_from_table(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """The same with thresholds from a table; Spark broadcasts it if it is small."""
-    return metrics.join(thresholds, "metric_name").where(F.col("metric_value") > F.col("threshold"))
+    """The same with thresholds from a table. Metrics are few and hot, see ``join_small``."""
+    salt = [c for c in metrics.columns if c != "metric_name"]
+    return skew.join_small(metrics, thresholds, ["metric_name"], salt_on=salt, how="inner").where(F.col("metric_value") > F.col("threshold"))
 
 
 def low_sentiment(thoughts: DataFrame, below: float = LOW_SENTIMENT) -> DataFrame:

@@ -86,11 +86,14 @@ def join_small(
 ) -> DataFrame:
     """Broadcast ``dim`` after counting that it is small; otherwise :func:`split_join`.
 
-    The check runs a job on ``dim``; it pays when ``dim`` is an aggregate that is small
-    in practice but has no bound, and shuffling ``fact`` is what would cost.
+    The check runs a job on ``dim``; it pays when ``dim`` is small in practice but has no
+    bound, and shuffling ``fact`` is what would cost. On a stream a large ``dim`` joins
+    as usual: each micro-batch is small.
     """
     if dim.limit(max_rows + 1).count() <= max_rows:
         return fact.join(F.broadcast(dim), list(keys), how)
+    if fact.isStreaming:
+        return fact.join(dim, list(keys), how)
     return split_join(fact, dim, keys, salt_on, how)
 
 

@@ -245,8 +245,12 @@ def vote_status_of_users(ideas: DataFrame, votes: DataFrame, user_id: str) -> Da
 
 
 def votes_on(votes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Votes on the ideas named by another table (semi join)."""
-    return votes.join(wanted.select("idea_id").distinct(), "idea_id", "left_semi")
+    """Votes on the ideas named by another table.
+
+    Distinct ids make the inner join a semi join that can be broadcast or split.
+    """
+    ids = wanted.select("idea_id").distinct()
+    return skew.join_small(votes, ids, ["idea_id"], salt_on=["vote_id"], how="inner")
 
 
 def weighted_scores(votes: DataFrame, experts: DataFrame, expert_weight: float = 1.5) -> DataFrame:
@@ -257,9 +261,10 @@ def weighted_scores(votes: DataFrame, experts: DataFrame, expert_weight: float =
     per_voter = votes.groupBy("idea_id", "user_id").agg(
         _count(_is("upvote")).alias("up"), _count(_is("downvote")).alias("down")
     )
-    marked = per_voter.join(
-        experts.select("user_id").distinct().withColumn("is_expert", F.lit(True)), "user_id", "left"
-    ).withColumn("weight", scores.vote_weight("is_expert", expert_weight))
+    known = experts.select("user_id").distinct().withColumn("is_expert", F.lit(True))
+    marked = skew.join_small(per_voter, known, ["user_id"], salt_on=["idea_id"]).withColumn(
+        "weight", scores.vote_weight("is_expert", expert_weight)
+    )
     return marked.groupBy("idea_id").agg(
         F.sum((F.col("up") - F.col("down")) * F.col("weight")).alias("weighted_score"),
         F.sum((F.col("up") + F.col("down")) * F.col("weight")).alias("weighted_votes"),

@@ -95,10 +95,13 @@ def read_batch(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[str, Dat
     return datasets, failed
 
 
-def read_ideas_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bulk import of ideas with their original timestamps; unreadable fields become null."""
-    fields = [f for f in schemas.IDEAS.fields if not isinstance(f.dataType, T.ArrayType)]
-    return spark.read.schema(T.StructType(fields)).option("header", True).option("enforceSchema", False).csv(path)
+def read_ideas_csv(spark: SparkSession, path: str, tag_separator: str = ";") -> DataFrame:
+    """Bulk import of ideas with their original timestamps; unreadable values become null."""
+    plain = T.StructType([f for f in schemas.IDEAS.fields if not isinstance(f.dataType, T.ArrayType)])
+    ideas = _read(spark, path, None, plain)
+    if "tags" in ideas.columns:
+        ideas = ideas.withColumn("tags", F.split("tags", tag_separator))
+    return ideas
 
 
 def write_parquet(

@@ -213,3 +213,23 @@ def test_readers(spark, tmp_path):
     nested = spark.createDataFrame([(1, (2, 3))], "a int, m struct<a: int, b: int>")
     assert files.flatten(nested, "m").columns == ["a", "m_a", "b"]
     assert files.with_partitions(spark.range(1000).toDF("i"), 4, 2).rdd.getNumPartitions() == 2
+
+
+def test_bulk_import_keeps_timestamps(spark, tmp_path):
+    with open(tmp_path / "bulk.csv", "w") as out:
+        out.write("title,idea_id,vote_count,tags,created_at\nOne,1,5,a;b,2022-03-04T05:06:07Z\nTwo,x,,,bad\n")
+    one, two = files.read_ideas_csv(spark, str(tmp_path / "bulk.csv")).collect()
+    assert (one.idea_id, one.title, one.tags, one.created_at) == (1, "One", ["a", "b"], datetime(2022, 3, 4, 5, 6, 7))
+    assert (two.idea_id, two.vote_count, two.created_at) == (None, None, None)
+
+
+def test_switches(spark, tmp_path):
+    rows = [("u", T0, "view", 1), ("u", T0, "view", 2), (None, T0, "view", 3)]
+    spark.createDataFrame(rows, "user_id string, timestamp timestamp, interaction_type string, n int").write.parquet(
+        f"{tmp_path}/interactions.parquet"
+    )
+    run = lambda name, **kw: etl.run_etl(spark, [f"{tmp_path}/interactions.parquet"], str(tmp_path / name), "2024-02-01 00:00:00", etl.EtlConfig(**kw))
+    assert run("a").validation_failures == 1
+    assert run("b", enable_validation=False).datasets_loaded == 1
+    once = run("c", enable_validation=False, enable_deduplication=True, deduplicate_on=("user_id", "timestamp"))
+    assert once.records_processed == 2

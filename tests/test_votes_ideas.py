@@ -181,3 +181,22 @@ def test_scans_are_pruned(spark, tables):
     plan = jobs.vote_counts(tables.votes)._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema: ")[1].splitlines()[0]
     assert "ip_address" not in schema and "value" not in schema and "PushedFilters: [" in plan
+
+
+def test_ranks_are_limited_before_the_shuffle(tables):
+    from agora.operators import decisions
+
+    for df in (decisions.actor_recent_actions(tables.decision_events), jobs.leaderboard(tables.ideas, tables.votes)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize(
+    "name", ["decision_suggestions", "interaction_edges", "metric_alerts_from_table", "clean_metrics", "idea_metrics"]
+)
+def test_no_cross_joins_and_no_python_in_plans(spark, name):
+    from checks import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert node not in plan
