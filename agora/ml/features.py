@@ -23,6 +23,14 @@ TRAIN_TENTHS = 8
 MAX_VECTOR_WORDS = 200_000
 
 
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Redistribute a table that lies in few parts before many passes over it.
+
+    ``None`` keeps the partitions of the input, which is right for large tables.
+    """
+    return df if partitions is None else df.repartition(partitions)
+
+
 def word_stages(source: str = "combined_text", words: str = "filtered_words") -> list:
     return [
         Tokenizer(inputCol=source, outputCol="words"),

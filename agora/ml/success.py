@@ -43,10 +43,12 @@ class Trained:
         )
 
 
-def _fit(name: str, rows: DataFrame, stages: list, label: str, inputs: tuple[str, ...]) -> Trained:
+def _fit(
+    name: str, rows: DataFrame, stages: list, label: str, inputs: tuple[str, ...], partitions: int | None
+) -> Trained:
     started = time.monotonic()
     # The forest and the evaluators read the rows several times.
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = features.spread(rows, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = rows.where(features.in_training_set()), rows.where(~features.in_training_set())
     model = Pipeline(stages=stages).fit(train)
     predictions = model.transform(test)
@@ -72,14 +74,14 @@ def popularity_examples(ideas: DataFrame, votes: DataFrame) -> DataFrame:
     )
 
 
-def train_popularity(ideas: DataFrame, votes: DataFrame) -> Trained:
+def train_popularity(ideas: DataFrame, votes: DataFrame, partitions: int | None = None) -> Trained:
     """Predict popularity from the form of an idea (default forest)."""
     stages = [
         VectorAssembler(inputCols=list(POPULARITY_COLUMNS), outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="is_successful", seed=features.SEED),
     ]
     rows = popularity_examples(ideas, votes).select("idea_id", "title", *POPULARITY_COLUMNS, "is_successful")
-    return _fit("idea_popularity", rows, stages, "is_successful", POPULARITY_COLUMNS)
+    return _fit("idea_popularity", rows, stages, "is_successful", POPULARITY_COLUMNS, partitions)
 
 
 def success_examples(metrics: DataFrame) -> DataFrame:
@@ -89,7 +91,9 @@ def success_examples(metrics: DataFrame) -> DataFrame:
     return features.success_features(metrics).withColumn("is_successful", label)
 
 
-def train_success(metrics: DataFrame, trees: int = 100, path: str | None = None) -> Trained:
+def train_success(
+    metrics: DataFrame, trees: int = 100, path: str | None = None, partitions: int | None = None
+) -> Trained:
     """Predict success from age, text lengths and category.
 
     The whole pipeline is stored, so prediction encodes categories as training did.
@@ -105,7 +109,7 @@ def train_success(metrics: DataFrame, trees: int = 100, path: str | None = None)
     rows = success_examples(metrics).select(
         "idea_id", "title", "category", "days_since_created", "title_length", "description_length", "is_successful"
     )
-    trained = _fit("idea_success", rows, stages, "is_successful", SUCCESS_COLUMNS)
+    trained = _fit("idea_success", rows, stages, "is_successful", SUCCESS_COLUMNS, partitions)
     if path is not None:
         trained.model.write().overwrite().save(path)
     return trained

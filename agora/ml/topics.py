@@ -27,8 +27,12 @@ class Clusters:
     model: PipelineModel
 
 
-def cluster_ideas(ideas: DataFrame, k: int = 10, path: str | None = None) -> Clusters:
+def cluster_ideas(
+    ideas: DataFrame, k: int = 10, path: str | None = None, partitions: int | None = None
+) -> Clusters:
     """K-means over TF-IDF, word vectors and scaled idea metrics."""
+    kept = ["idea_id", "title", "description", "category", *features.NUMBERS]
+    ideas = features.spread(ideas.select(*kept), partitions)
     rows = ideas.withColumn("combined_text", text.combined_text("title", "description")).fillna(
         0, list(features.NUMBERS)
     )
@@ -66,13 +70,19 @@ def cluster_ideas(ideas: DataFrame, k: int = 10, path: str | None = None) -> Clu
     return Clusters(assigned, sizes, None, silhouette, model)
 
 
-def cluster_topics(ideas: DataFrame, k: int = 8, vocabulary: int = 1000, top_terms: int = 10) -> Clusters:
+def cluster_topics(
+    ideas: DataFrame,
+    k: int = 8,
+    vocabulary: int = 1000,
+    top_terms: int = 10,
+    partitions: int | None = None,
+) -> Clusters:
     """K-means over word counts, with the strongest terms of every centre.
 
     The ideas of a cluster stay rows of ``assignments``; a list per cluster would pull
     the titles of a large cluster into one record.
     """
-    rows = ideas.select(
+    rows = features.spread(ideas.select("idea_id", "title", "description"), partitions).select(
         "idea_id", "title", text.normalised_text("title", "description").alias("combined_text")
     )
     prepare = Pipeline(
@@ -127,10 +137,15 @@ class Topics:
 
 
 def model_topics(
-    ideas: DataFrame, k: int = 10, iterations: int = 20, vocabulary: int = 5000, path: str | None = None
+    ideas: DataFrame,
+    k: int = 10,
+    iterations: int = 20,
+    vocabulary: int = 5000,
+    path: str | None = None,
+    partitions: int | None = None,
 ) -> Topics:
     """LDA topics over title and description."""
-    rows = ideas.select("idea_id", "title", text.combined_text("title", "description").alias("combined_text"))
+    rows = features.spread(ideas.select("idea_id", "title", "description"), partitions).select("idea_id", "title", text.combined_text("title", "description").alias("combined_text"))
     prepare = Pipeline(
         stages=[
             *features.word_stages(),

@@ -14,19 +14,24 @@ def metrics_of(t):
     return idea_jobs.idea_metrics(t.rated_ideas, t.votes, t.comments, AS_OF)
 
 
+def cores(t):
+    """The test tables lie in one file each; the models are trained on all cores."""
+    return t.spark.sparkContext.defaultParallelism
+
+
 @query("idea_clusters", "idea_id:i category:s cluster_id:i vote_count:i average_rating:f")
 def _(t):
-    return topics.cluster_ideas(metrics_of(t)).assignments
+    return topics.cluster_ideas(metrics_of(t), partitions=cores(t)).assignments
 
 
 @query("topic_clusters", "cluster_id:i rank:i term:s weight:f")
 def _(t):
-    return topics.cluster_topics(t.ideas).terms
+    return topics.cluster_topics(t.ideas, partitions=cores(t)).terms
 
 
 @query("idea_topics", "idea_id:i topic_count:i total_share:f")
 def _(t):
-    mixtures = topics.model_topics(t.ideas).mixtures
+    mixtures = topics.model_topics(t.ideas, partitions=cores(t)).mixtures
     return mixtures.select(
         "idea_id",
         F.size("topic_distribution").alias("topic_count"),
@@ -36,11 +41,11 @@ def _(t):
 
 @query("popularity_predictions", "idea_id:i is_successful:f prediction:f")
 def _(t):
-    return success.train_popularity(t.ideas, t.votes).predictions
+    return success.train_popularity(t.ideas, t.votes, partitions=cores(t)).predictions
 
 
 @query("success_predictions", "idea_id:i category:s success_probability:f prediction:f success_likelihood:s")
 def _(t):
     metrics = metrics_of(t)
-    model = success.train_success(metrics).model
+    model = success.train_success(metrics, partitions=cores(t)).model
     return success.predict_success(metrics.where("days_since_created <= 7"), model)
