@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import mixing, quality
+from agora.llm import binary, decontam, mixing, neardup, quality, tokens
 from agora.llm.common import stored
+from agora.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +35,33 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes from every document."""
     rows = mixing.sized(_table(spark, folder, "documents").select("doc_id", "source", "text")).drop("text")
     return mixing.mix(stored(spark, rows, "mix-sizes")).drop("source", "copies")
+
+
+@_register
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document under the 50k byte-level vocabulary."""
+    return tokens.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_register
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Start, length and checksum of every document, read back from its token files."""
+    return binary_digest(spark, _table(spark, folder, "documents"))
+
+
+def binary_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    files = scratch_path(spark, "token-files")
+    binary.write_tokens(docs, files, public_tokenizers.path("byte_bpe_50k.json"))
+    return binary.read_tokens(spark, files, with_ids=False)
+
+
+@_register
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document at 85 % of shared three-word shingles."""
+    return neardup.near_duplicates(spark, _table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+@_register
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item contained in a document."""
+    return decontam.leaks(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
