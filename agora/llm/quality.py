@@ -232,7 +232,7 @@ def with_distance(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return out.drop(*solved, *[f"m{i}" for i in range(DIMENSIONS)], *[f"c{i}{j}" for i, j in _pairs()])
 
 
-def nearest(rows: DataFrame, share: float = HALF) -> DataFrame:
+def nearest(spark: SparkSession, rows: DataFrame, share: float = HALF) -> DataFrame:
     """Per group, the rows in the distance buckets that hold the nearest ``share`` of it.
 
     Buckets are 1/256 wide in ln(1 + d2), so a group has at most some ten thousand.
@@ -248,20 +248,20 @@ def nearest(rows: DataFrame, share: float = HALF) -> DataFrame:
         .groupBy("group")
         .agg(F.min("bucket").alias("cut"))
     )
+    cuts = stored(spark, cuts, "quality-cuts")  # of known size: one row per group
     return bucketed.join(cuts, "group").where(F.col("bucket") <= F.col("cut")).drop("bucket", "cut")
 
 
 def fit(spark: SparkSession, vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """Parameters per group from rows with ``group, wider, widest, base_failed, x0`` to ``x4``.
 
-    A group in which every document fails the plain limits has its estimate from these.
+    Groups in which every document fails the plain limits have none.
     """
     vectors = vectors.select(*_GROUPS, "base_failed", *[f"x{i}" for i in range(DIMENSIONS)])
-    alone = vectors.groupBy("group").agg(F.min(F.col("base_failed").cast("int")).alias("none"))
-    used = vectors.join(alone, "group").where((F.col("none") == 1) | ~F.col("base_failed")).drop("none")
+    used = vectors.where(~F.col("base_failed"))
     parameters = stored(spark, estimates(moments(used), 1.0), "quality-start")
     for step in range(steps):
-        near = nearest(with_distance(used, parameters))
+        near = nearest(spark, with_distance(used, parameters))
         parameters = stored(spark, estimates(moments(near), CONSISTENCY), f"quality-{step}")
     return parameters
 
@@ -280,8 +280,8 @@ def judged(rows: DataFrame, parameters: DataFrame, cutoff: float = CUTOFF) -> Da
 def quality_verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``distance``, ``kept``.
 
-    A null text counts as empty: no words, so it fails the plain limits. Null languages and
-    sources are values of their own. Equal rows get equal verdicts. No rows give no rows;
+    A null text counts as empty: no words, so it fails the plain limits. ``distance`` is null
+    where no document of the group passes these. Null languages and sources are values of their own. Equal rows get equal verdicts. No rows give no rows;
     other input columns are ignored.
     """
     slim = docs.select("doc_id", "lang", "source", "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import binary, decontam, mixing, neardup, quality, tokens
+from agora.llm import binary, decontam, mixing, neardup, quality, tokens, toxicity
 from agora.llm.common import stored
 from agora.session import scratch_path
 
@@ -65,3 +65,9 @@ def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item contained in a document."""
     return decontam.leaks(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_register
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity_scores(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
