@@ -23,8 +23,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from agora.llm.common import Memo, stored
-from agora.llm.tokens import Coder, whole_tokens
+from agora.llm.common import stored
+from agora.llm.tokens import encoder, whole_tokens
 
 LONGEST = 20
 BLOCK = 1024
@@ -127,22 +127,13 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, whole.value)
-        packed = lambda chunk: np.array(coder.ids(chunk), dtype="<u2").tobytes()
-        first, later = Memo(packed), Memo(lambda chunk: packed(" " + chunk))
+        coded = encoder(path, whole.value)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         stop = np.array([end], dtype="<u2").tobytes()
         for batch in batches:
             rows, ties = [], []
             for text in batch.column(1):
-                parts = []
-                for special, number, chunks in coder.parts(text.as_py()):
-                    if special is not None:
-                        parts.append(np.array([number], dtype="<u2").tobytes())
-                    else:
-                        parts.append(first[chunks[0]])
-                        parts += map(later.__getitem__, chunks[1:])
-                ids = b"".join(parts) + stop
+                ids = coded(text.as_py()) + stop
                 ties.append(zlib.crc32(ids))
                 rows.append(squeeze(ids))
             yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,6 @@ from agora.session import scratch_path
 #: White space between words: space and the ASCII controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
@@ -44,21 +44,29 @@ def bound_columns(frame: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 class Memo(dict):
-    """Values of a pure function by argument, emptied when it has grown to ``most`` entries."""
+    """Values of a pure function by argument, of bounded size.
+
+    When it has grown to ``most`` entries, these become the old generation, which keeps
+    what is asked for again until the next change.
+    """
 
     def __init__(self, compute: Callable, most: int = 300_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 # Odd multipliers of the word positions in a shingle, and of the final mixing (splitmix64).
@@ -93,24 +101,19 @@ def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return mixed(total)
 
 
-def hashed_words(text: str | None, memo: Memo) -> np.ndarray:
-    """Hashes of the words of a text, A-Z lower-cased, in order."""
-    found = _split(text.translate(ASCII_LOWER)) if text else []
-    return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-
-
-def _split(text: str) -> list[str]:
-    # str.split also parts at separators beyond the ASCII white space of GAP.
-    if text.isascii() and not any(mark in text for mark in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [word for word in _GAPS.split(text) if word]
+def lower_words(text: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text, A-Z lower-cased.
 
+    For bytes, ``lower`` and ``split`` know ASCII only: white space is what GAP says.
+    """
+    return text.lower().split() if text else []
 
-import re  # noqa: E402
 
-_GAPS = re.compile(GAP)
+def hashed(words: list[bytes], memo: Memo) -> np.ndarray:
+    """Hashes of words, in order."""
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def split_words(text: str | None) -> list[str]:
-    """The words of a text, unchanged."""
-    return _split(text) if text else []
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """The texts of a string column as bytes."""
+    return column.cast(pa.binary()).to_pylist()

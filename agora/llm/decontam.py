@@ -4,11 +4,11 @@ A short test item inside a long document is contained in it, but hardly similar
 LSH Ensemble, documents are therefore partitioned by the size of their shingle sets, in
 powers of two, and each partition has signatures fit for its sizes. Signatures are
 one-permutation MinHash: a partition of sizes up to ``n`` has ``DENSITY * n`` bins, and keeps
-the minimum of the hashes that fall into each bin. An item has a signature for every
-partition. A shared shingle survives as the minimum of its bin in a document with a
-probability of at least (1 - exp(-1 / DENSITY)) * DENSITY, whatever the size; an item whose
-shared shingles are too few to be seen with near certainty, is looked up by all its shingles
-instead (its partition's signature keeps every hash).
+the minimum of the hashes that fall into each bin. A shared shingle survives as the minimum of its bin in a document with a
+probability of at least (1 - exp(-1 / DENSITY)) * DENSITY, whatever the size. An item is so
+small beside a partition that its own shingles hardly share bins; all their hashes are looked
+up. For items whose shared shingles may be too few to be seen with near certainty, documents
+are searched with all their hashes instead, as with one bin per hash.
 
 Documents that agree with an item in at least one bin are candidates. Candidates are
 verified: the words of the item's shingles are compared with the document's.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm.common import ASCII_LOWER, Memo, mixed, shingle_hashes, split_words, word_hash
+from agora.llm.common import Memo, hashed, lower_words, mixed, shingle_hashes, utf8, word_hash
 
 SHINGLE = 5
 PERCENT = 80
@@ -86,11 +86,11 @@ class Block:
     def __init__(self, items: list[tuple[int, str]], shingle: int, percent: int):
         self.shingle, self.percent = shingle, percent
         memo = Memo(word_hash)
-        self.items: dict[int, tuple[int, list[tuple[str, ...]], np.ndarray]] = {}
+        self.items: dict[int, tuple[int, list[tuple[bytes, ...]], np.ndarray]] = {}
         leads = defaultdict(list)
         for place, (number, text) in enumerate(items):
-            words = split_words((text or "").translate(ASCII_LOWER))
-            hashes = shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), shingle)
+            words = lower_words((text or "").encode())
+            hashes = shingle_hashes(hashed(words, memo), shingle)
             if not len(hashes):
                 continue  # no words: contained in nothing
             length = min(shingle, len(words))
@@ -105,7 +105,7 @@ class Block:
             [any(not seen_by_signature(len(self.items[p][2]), percent) for p in places) for places in self.leads], dtype=bool
         )
 
-    def matches(self, words: list[str], hashes: np.ndarray) -> list[tuple[int, int, int]]:
+    def matches(self, words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, its shingles, shared shingles) of the items that a document contains."""
         distinct = np.unique(hashes)
         if not len(distinct) or not len(self.keys):
@@ -178,9 +178,9 @@ def _against(spark: SparkSession, docs: DataFrame, rows: list[tuple[int, str]],
         for batch in batches:
             block = block or Block(sent.value, shingle, percent)
             rows, found = [], []
-            for row, text in enumerate(batch.column(1)):
-                words = split_words((text.as_py() or "").translate(ASCII_LOWER))
-                hashes = shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), shingle)
+            for row, text in enumerate(utf8(batch.column(1))):
+                words = lower_words(text)
+                hashes = shingle_hashes(hashed(words, memo), shingle)
                 for match in block.matches(words, hashes):
                     rows.append(row)
                     found.append(match)

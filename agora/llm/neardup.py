@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from agora.llm.common import Memo, hashed_words, mixed, shingle_hashes, stored, word_hash
+from agora.llm.common import Memo, hashed, lower_words, mixed, shingle_hashes, stored, utf8, word_hash
 from agora.llm.components import components
 
 HASHES = 192
@@ -78,8 +78,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         memo = Memo(word_hash)
         for batch in batches:
             sizes, digests, bands, bits = [], [], [], []
-            for text in batch.column(1):
-                found = np.unique(shingle_hashes(hashed_words(text.as_py(), memo), shingle))
+            for text in utf8(batch.column(1)):
+                found = np.unique(shingle_hashes(hashed(lower_words(text), memo), shingle))
                 sizes.append(len(found))
                 if len(found):
                     keys, planes = sketch(found)
@@ -110,7 +110,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_hash)
         for batch in batches:
-            sets = [np.unique(shingle_hashes(hashed_words(text.as_py(), memo), shingle)) for text in batch.column(1)]
+            sets = [np.unique(shingle_hashes(hashed(lower_words(text), memo), shingle)) for text in utf8(batch.column(1))]
             arrays = [
                 batch.column(0),
                 pa.array([_digest(found) for found in sets], pa.binary()),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import binary, decontam, mixing, neardup, quality, tokens, toxicity
+from agora.llm import binary, decontam, html, langid, linedup, mixing, neardup, quality, tokens, toxicity
 from agora.llm.common import stored
 from agora.session import scratch_path
 
@@ -71,3 +71,21 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity_scores(spark, _table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Duplicate lines of every document."""
+    return linedup.line_duplicates(spark, _table(spark, folder, "documents"))
+
+
+@_register
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return langid.languages(spark, _table(spark, folder, "documents"))
+
+
+@_register
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extracted(_table(spark, folder, "pages"))

@@ -5,14 +5,16 @@ Many pre-tokens are a token as a whole. Which strings of the vocabulary encode a
 token is proven beforehand with the library, once, on the driver. Pre-tokens that match one
 of them count directly; only the rest is merged, by the library's own merge model.
 
-A text is cut into chunks at single spaces between two other characters, where a pre-token
-always ends, so that results can be remembered per chunk. Chunks with characters whose
-classes differ between Unicode versions are left to the library's own pre-tokenizer.
+A text is cut into chunks at its spaces. A single space between two other characters always
+begins a pre-token, so results can be remembered per chunk. A text with any other space is
+cut again, only where that holds. Chunks with characters whose classes differ between
+Unicode versions are left to the library's own pre-tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +30,13 @@ PRE_TOKENS = regex.compile(
 )
 # Characters below U+0250 have had the same class in every version; U+001C to U+001F are
 # white space to one library and not to the other.
-_PLAIN = re.compile("[\x00-\x1b\x20-ɏ]*")
-_JOINED_GAPS = re.compile(r" \s|\s ")
+_PLAIN = re.compile("[\x00-\x1b\x20-\u024f]*")
+_LAST_PLAIN = "\u024f"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that are a pre-token of their own after a word.
+_STOPS = frozenset(".,;:!?")
+#: Chunks that a worker remembers.
+REMEMBERED = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -79,19 +85,35 @@ class Coder:
         self.specials = re.compile("(" + "|".join(names) + ")") if names else None
 
     def _merged(self, piece: str):
-        return self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.alphabet))
+        text = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+        return self.model.tokenize(text.translate(self.alphabet))
+
+    @staticmethod
+    def _pieces(chunk: str) -> list[str] | None:
+        """The pre-tokens of a chunk; None if they are left to the library."""
+        if chunk.isprintable() and max(chunk, default=" ") <= _LAST_PLAIN:
+            word = chunk[1:] if chunk[:1] == " " else chunk
+            if word.isalpha():
+                return [chunk]
+            if word[-1:] in _STOPS and word[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        elif _PLAIN.fullmatch(chunk) is None:
+            return None
+        return PRE_TOKENS.findall(chunk)
 
     def count(self, chunk: str) -> int:
-        if _PLAIN.fullmatch(chunk) is None:
+        pieces = self._pieces(chunk)
+        if pieces is None:
             return len(self.library.encode(chunk, add_special_tokens=False).ids)
         whole = self.whole
-        return sum(1 if piece in whole else len(self._merged(piece)) for piece in PRE_TOKENS.findall(chunk))
+        return sum(1 if piece in whole else len(self._merged(piece)) for piece in pieces)
 
     def ids(self, chunk: str) -> list[int]:
-        if _PLAIN.fullmatch(chunk) is None:
+        pieces = self._pieces(chunk)
+        if pieces is None:
             return self.library.encode(chunk, add_special_tokens=False).ids
         out: list[int] = []
-        for piece in PRE_TOKENS.findall(chunk):
+        for piece in pieces:
             number = self.whole.get(piece)
             if number is None:
                 out += [token.id for token in self._merged(piece)]
@@ -99,28 +121,71 @@ class Coder:
                 out.append(number)
         return out
 
-    def parts(self, text: str) -> Iterator[tuple[str | None, int, list[str]]]:
-        """(special string or None, its id, chunks) in order; every chunk but the first lacks its leading space."""
-        pieces = self.specials.split(text) if self.specials is not None else [text]
-        for place, piece in enumerate(pieces):
-            if place % 2:
-                yield piece, self.special[piece], []
-            elif piece:
-                yield None, 0, (piece.split(" ") if _JOINED_GAPS.search(piece) is None else _SAFE_CUT.split(piece))
+    def pieces(self, text: str) -> Iterator[tuple[str | None, int]]:
+        """The text between special strings, each with 0, and for each of these None with its id."""
+        if self.specials is None or not any(name in text for name in self.special):
+            yield text, 0
+            return
+        for place, piece in enumerate(self.specials.split(text)):
+            yield (None, self.special[piece]) if place % 2 else (piece, 0)
+
+
+def joins_a_gap(chunk: str) -> bool:
+    """Whether a chunk between two spaces has white space next to one of them."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+
+
+#: The count of a chunk that depends on its neighbours: makes any sum negative.
+_UNKNOWN = -(1 << 50)
 
 
 def counter(path: str, whole: dict[str, int]):
     """A function from a text to its number of tokens."""
     coder = Coder(path, whole)
-    first, later = Memo(coder.count), Memo(lambda chunk: coder.count(" " + chunk))
-
-    def count(text: str) -> int:
-        total = 0
-        for special, _, chunks in coder.parts(text):
-            total += 1 if special is not None else first[chunks[0]] + sum(map(later.__getitem__, chunks[1:]))
+    first = Memo(lambda chunk: _UNKNOWN if joins_a_gap(chunk) else coder.count(chunk), REMEMBERED)
+    later = Memo(lambda chunk: _UNKNOWN if joins_a_gap(chunk) else coder.count(" " + chunk), REMEMBERED)
+
+    def of_piece(piece: str) -> int:
+        chunks = piece.split(" ")
+        total = first[chunks[0]] + sum(map(later.__getitem__, chunks[1:]))
+        if total < 0:
+            begin, *rest = _SAFE_CUT.split(piece)
+            total = coder.count(begin) + sum(coder.count(" " + chunk) for chunk in rest)
         return total
 
-    return count
+    return lambda text: sum(1 if piece is None else of_piece(piece) for piece, _ in coder.pieces(text) if piece != "")
+
+
+def encoder(path: str, whole: dict[str, int]):
+    """A function from a text to its ids, as little-endian two-byte integers."""
+    coder = Coder(path, whole)
+
+    def packed(chunk: str) -> bytes:
+        return array("H", coder.ids(chunk)).tobytes()
+
+    first = Memo(lambda chunk: _NOT_ALONE if joins_a_gap(chunk) else packed(chunk), REMEMBERED)
+    later = Memo(lambda chunk: _NOT_ALONE if joins_a_gap(chunk) else packed(" " + chunk), REMEMBERED)
+
+    def of_piece(piece: str) -> bytes:
+        chunks = piece.split(" ")
+        try:
+            return b"".join([first[chunks[0]], *map(later.__getitem__, chunks[1:])])
+        except TypeError:  # a chunk is not alone
+            begin, *rest = _SAFE_CUT.split(piece)
+            return b"".join([packed(begin), *(packed(" " + chunk) for chunk in rest)])
+
+    def encode(text: str) -> bytes:
+        return b"".join(
+            array("H", [number]).tobytes() if piece is None else of_piece(piece)
+            for piece, number in coder.pieces(text)
+            if piece != ""
+        )
+
+    return encode
+
+
+#: Stands for the ids of a chunk that depends on its neighbours; joining it fails.
+_NOT_ALONE = 0
 
 
 def token_counts(docs: DataFrame, path: str, over: int = OVER) -> DataFrame:

@@ -10,8 +10,10 @@
    to the off-diagonal covariances gives the accuracies, and entries that stand out of the
    fit are the correlated pairs. They are left out and the fit is repeated. The pairs enter
    the posterior as a forest of dependent voters.
-3. A linear classifier over the mined terms and patterns is trained on the posterior labels
-   of the sample, and its margin is scaled to a probability on the sample's labels.
+3. On the sample the given labels are one more voter; its accuracy is how often it agrees
+   with the posterior of the others. A linear classifier over the mined terms and patterns is
+   trained on the posterior labels of the sample, and its margin is scaled to a probability
+   on the sample's labels.
 4. Every text is scored in place by the classifier.
 
 Only bounded things reach the driver: counts per pair of voters, and the chosen terms.
@@ -47,6 +49,10 @@ PREFIXES = (3, 4, 5, 6, 7)
 COUNT_MARKS = {"1": 1, "2": 2, "3": 3, "5": 5}
 SHARE_MARKS = {"1%": 1, "2%": 2, "4%": 4}
 THRESHOLD = 0.7
+#: No voter is trusted to fire less often than this in either class.
+LEAST_RATE = 1 / 500
+#: Accuracy of the given labels, as one more voter on the sample: bounds of its estimate.
+ANNOTATOR = (0.80, 0.99)
 #: Correlation left by the rank-one fit that marks a pair of voters as dependent.
 DEPENDENT = 0.08
 
@@ -249,9 +255,8 @@ class LabelModel:
         self.left = np.where(used, 0.0, covariance - np.outer(offsets, offsets))
         np.fill_diagonal(self.left, 0.0)
         spread = offsets / math.sqrt(self.prior * (1 - self.prior))
-        floor = 1.0 / (number + 10.0)
-        self.toxic = np.clip(rates + (1 - self.prior) * spread, floor, 1 - floor)
-        self.clean = np.clip(rates - self.prior * spread, floor, 1 - floor)
+        self.toxic = np.clip(rates + (1 - self.prior) * spread, LEAST_RATE, 1 - LEAST_RATE)
+        self.clean = np.clip(rates - self.prior * spread, LEAST_RATE, 1 - LEAST_RATE)
         self.parents = self._forest(np.abs(self.left) / np.outer(scale, scale))
 
     @staticmethod
@@ -343,7 +348,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
         return [], np.zeros(len(PATTERNS)), math.log(min(share, 0.5) / (1 - min(share, 0.5))) - 1.0
     lexicon = lexicon_of(ranked)
     model = LabelModel(*vote_moments(docs, terms, lexicon), share)
-    vectors = stored(spark, _vectors(sample, terms, lexicon, model), "toxic-vectors")
+    vectors = with_annotator(stored(spark, _vectors(sample, terms, lexicon, model), "toxic-vectors"))
     # A posterior label is two weighted rows, one of each class.
     twice = vectors.select("features", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("label"), "posterior")
     weighted = twice.withColumn("weight", F.when(F.col("label") == 1.0, F.col("posterior")).otherwise(1.0 - F.col("posterior")))
@@ -353,6 +358,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     return terms, weights * slope, intercept * slope + shift
 
 
+def with_annotator(vectors: DataFrame) -> DataFrame:
+    """Posteriors that take the given label as one more, independent vote."""
+    agrees = (F.col("posterior") >= 0.5) == (F.col("toxic") > 0)
+    found = vectors.agg(F.avg(agrees.cast("double"))).first()[0]
+    accuracy = min(max(found, ANNOTATOR[0]), ANNOTATOR[1])
+    weight = math.log(accuracy / (1 - accuracy))
+    odds = F.col("posterior") / (1.0 - F.col("posterior") + 1e-12)
+    odds = odds * F.when(F.col("toxic") > 0, math.exp(weight)).otherwise(math.exp(-weight))
+    return vectors.withColumn("posterior", odds / (1.0 + odds))
+
+
 def _scaled(vectors: DataFrame, weights: np.ndarray, intercept: float) -> tuple[float, float]:
     """Slope and shift that turn margins into log odds of the labels."""
 
