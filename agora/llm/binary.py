@@ -199,9 +199,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = END) -> Non
                 [docs_here],
                 [[len(ids) for ids in ids_here]],
             ]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(value, type=field.type) for value, field in zip(values, arrow_schema(batch_kind))], arrow_schema(batch_kind)
-            )
+            schema = arrow_schema(batch_kind)
+            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, schema)], schema=schema)
 
         batch_kind = None
         for batch in batches:

@@ -178,11 +178,11 @@ def candidates(spark: SparkSession, docs: DataFrame, edits: int, least: int) ->
         "high", F.max("handle").over(one_key)
     )
     shared = stored(spark, shared.where("low <> high").select("key", "handle", "indexed"), "shared-keys")
-    sizes = shared.where("indexed").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = shared.where("indexed").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     placed = shared.join(sizes, "key")
     index = placed.where("indexed").select("key", F.pmod(F.xxhash64("handle"), F.col("blocks")).alias("block"), F.col("handle").alias("b"))
     probe = placed.where("NOT indexed").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint").alias("block"), F.col("handle").alias("a")
+        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("handle").alias("a")
     )
     return probe.join(index, ["key", "block"]).where("a <> b").select("a", "b").distinct()
 

@@ -24,6 +24,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write the token files of the documents and read them back."""
+    files = scratch_path(spark, "token-files")
+    binary.write_tokens(docs, files, public_tokenizers.path("byte_bpe_50k.json"))
+    return binary.read_tokens(spark, files, with_ids=False)
+
+
 @_register
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
@@ -46,13 +53,7 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_register
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Start, length and checksum of every document, read back from its token files."""
-    return binary_digest(spark, _table(spark, folder, "documents"))
-
-
-def binary_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    files = scratch_path(spark, "token-files")
-    binary.write_tokens(docs, files, public_tokenizers.path("byte_bpe_50k.json"))
-    return binary.read_tokens(spark, files, with_ids=False)
+    return token_digest(spark, _table(spark, folder, "documents"))
 
 
 @_register
