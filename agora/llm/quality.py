@@ -135,7 +135,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     vector = (
         F.log(F.greatest("word_chars", F.lit(1)) / words),
-        F.log1p(F.lit(100.0) * F.col("n_symbols") / words),
+        F.log(F.lit(1.0) + F.lit(100.0) * F.col("n_symbols") / words),
         F.col("n_dup_lines") / lines,
         F.col("n_repeat_words") / words,
         F.sqrt(F.col("n_capitals") / F.greatest("word_chars", F.lit(1))),
@@ -237,7 +237,7 @@ def nearest(spark: SparkSession, rows: DataFrame, share: float = HALF) -> DataFr
 
     Buckets are 1/256 wide in ln(1 + d2), so a group has at most some ten thousand.
     """
-    bucketed = rows.withColumn("bucket", F.floor(F.log1p("d2") * 256))
+    bucketed = rows.withColumn("bucket", F.floor(F.log(F.lit(1.0) + F.col("d2")) * 256))
     counts = bucketed.groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("here"))
     running = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("group")
@@ -280,14 +280,15 @@ def judged(rows: DataFrame, parameters: DataFrame, cutoff: float = CUTOFF) -> Da
 def quality_verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``distance``, ``kept``.
 
-    A null text counts as empty: no words, so it fails the plain limits. ``distance`` is null
-    where no document of the group passes these. Null languages and sources are values of their own. Equal rows get equal verdicts. No rows give no rows;
+    A null text counts as empty: no words, so it fails the plain limits. ``distance``, to six
+    digits, is null where no document of the group passes these. Null languages and sources are values of their own. Equal rows get equal verdicts. No rows give no rows;
     other input columns are ignored.
     """
     slim = docs.select("doc_id", "lang", "source", "text")
     rows = with_groups(with_statistics(slim)).select("doc_id", *_GROUPS, *_COUNTS, "base_failed", *_VECTOR)
     rows = stored(spark, rows, "quality-rows")
-    return judged(rows, fit(spark, rows), cutoff).select("doc_id", *_COUNTS, "base_failed", "distance", "kept")
+    out = judged(rows, fit(spark, rows), cutoff)
+    return out.select("doc_id", *_COUNTS, "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

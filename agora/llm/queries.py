@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import binary, decontam, html, langid, linedup, mixing, neardup, quality, tokens, toxicity
+from agora.llm import binary, decontam, html, langid, linedup, mixing, neardup, oracles, quality, tokens, toxicity
 from agora.llm.common import stored
 from agora.session import scratch_path
 
@@ -90,3 +90,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html.extracted(_table(spark, folder, "pages"))
+
+
+ORACLES.update(
+    op2_quality_rules=oracles.quality_rules(),
+    op4_benchmark_decontamination=oracles.leaks(),
+    op6_minhash_near_dedup=oracles.near_duplicates(shingle=3, percent=85),
+    op7_source_mix=oracles.source_mix(),
+)
