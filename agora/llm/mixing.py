@@ -162,7 +162,8 @@ def mix(
     )
 
 
-def copied(mixed: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes, without the computed columns."""
-    out = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.drop("_copy", "size", "source_size", "target", "copies", "taken")
+def mixed_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row per copy that the mix takes, with the documents' own columns; cases as in :func:`mix`."""
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
+    mixed = mix(sized(packed).drop("text"), **options).where(F.col("copies") > 0)
+    return mixed.select("_doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("_doc.*")

@@ -7,16 +7,18 @@
    probability 2e-8, at 0.8 with 3e-6.
 3. The low four bits of all minima are kept, packed as four bit planes of 192 bits. The share
    of equal values, corrected for the one in sixteen that agree by chance, estimates the
-   similarity of two classes by bit counts. Pairs estimated more than five standard errors
-   below the threshold are not confirmed further.
+   similarity of two classes by bit counts. Pairs estimated five standard errors below the
+   threshold are not confirmed further.
 4. The rest is confirmed on the full sets.
 
 A bucket may hold a third of all rows, so its pairs are never listed. First every class is
 paired with one centre per bucket, the member with the most company in all its buckets. The
 confirmed pairs are merged to components. What remains is to find links between different
-components that meet in a bucket; a condition of the join, evaluated as it reads, drops
-pairs of one component and pairs whose bits rule them out. Large buckets are dealt to blocks
-first. No link between components is lost, and links inside one add nothing.
+components that meet in a bucket. For these classes only, a longer signature (the low two
+bits of 1024 minima) makes the estimate sharp. A condition of the join, evaluated as it reads,
+drops pairs of one component, pairs whose sizes or bits rule them out, and all but the first
+meeting of a pair. Large buckets are dealt to blocks first. No link between components is
+lost, and links inside one add nothing.
 """
 
 from __future__ import annotations
@@ -36,39 +38,49 @@ HASHES = 192
 BANDS = 24
 ROWS = 4
 BITS = 4
-LANES = HASHES // 64
+#: The longer signature of classes in buckets that hold several components.
+FINE_HASHES = 1024
+FINE_BITS = 2
 ERRORS = 5.0
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 1024
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    numbers = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * _SEED)
-    return numbers[:HASHES] | np.uint64(1), numbers[HASHES:]
+def _factors(number: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = mixed(np.arange(1, 2 * number + 1, dtype=np.uint64) * _SEED)
+    return numbers[::2] | np.uint64(1), numbers[1::2]
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over a set of shingle hashes."""
-    multiply, add = _factors()
-    lowest = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingles), 1024):
-        part = shingles[start : start + 1024]
+def minima(shingles: np.ndarray, number: int = HASHES) -> np.ndarray:
+    """The minimum of each hash function over a set of shingle hashes, with mixed bits.
+
+    The low bits of a product depend on few bits of the shingle, so they are mixed at last.
+    """
+    multiply, add = _factors(number)
+    lowest = np.full(number, np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = max(1, (1 << 18) // number)
+    for start in range(0, len(shingles), step):
+        part = shingles[start : start + step]
         values = part[None, :] * multiply[:, None] + add[:, None]
         np.minimum(lowest, values.min(axis=1), out=lowest)
-    return lowest
+    return mixed(lowest)
+
+
+def planes_of(lowest: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of all minima: a plane of bits after the other, in 64-bit words."""
+    planes = [np.packbits(((lowest >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)).view("<i8") for bit in range(bits)]
+    return np.concatenate(planes)
 
 
 def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and the bit planes of the packed low bits (``BITS`` times ``LANES`` words)."""
-    # The low bits of a product depend on few bits of the shingle, so they are mixed first.
-    lowest = mixed(minima(shingles))
+    """Band keys, and the packed low bits."""
+    lowest = minima(shingles)
     bands = lowest[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in range(ROWS):
         keys = mixed(keys ^ bands[:, row])
-    planes = [np.packbits(((lowest >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)).view("<i8") for bit in range(BITS)]
-    return keys.view(np.int64), np.concatenate(planes)
+    return keys.view(np.int64), planes_of(lowest, BITS)
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -125,24 +137,41 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def estimate(left: Column, right: Column) -> Column:
+def fine_signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest, fine): the longer signature of every document with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(word_hash)
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(hashed(lower_words(text), memo), shingle)) for text in utf8(batch.column(1))]
+            arrays = [
+                batch.column(0),
+                pa.array([_digest(found) for found in sets], pa.binary()),
+                pa.array([planes_of(minima(found, FINE_HASHES), FINE_BITS) for found in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "fine"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, fine array<bigint>")
+
+
+def estimate(left: Column, right: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
     """Similarity from two packed signatures, corrected for chance agreement."""
+    lanes = hashes // 64
     unequal = []
-    for lane in range(LANES):
-        planes = [
-            F.get(left, F.lit(bit * LANES + lane)).bitwiseXOR(F.get(right, F.lit(bit * LANES + lane))) for bit in range(BITS)
-        ]
+    for lane in range(lanes):
+        places = [F.lit(bit * lanes + lane) for bit in range(bits)]
+        planes = [F.get(left, place).bitwiseXOR(F.get(right, place)) for place in places]
         unequal.append(F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes)))
-    equal = F.lit(1.0) - reduce(lambda x, y: x + y, unequal) / float(HASHES)
-    chance = 2.0**-BITS
+    equal = F.lit(1.0) - reduce(lambda x, y: x + y, unequal) / float(hashes)
+    chance = 2.0**-bits
     return (equal - chance) / (1.0 - chance)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, hashes: int = HASHES, bits: int = BITS) -> float:
     """The estimate that pairs at the threshold reach but for ``ERRORS`` standard errors."""
-    chance = 2.0**-BITS
+    chance = 2.0**-bits
     equal = percent / 100 + (1 - percent / 100) * chance
-    return percent / 100 - ERRORS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+    return percent / 100 - ERRORS * (equal * (1 - equal) / hashes) ** 0.5 / (1 - chance)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,10 +244,13 @@ def _judged(spark: SparkSession, each: DataFrame, docs: DataFrame, shingle: int,
 
 
 def _classes(each: DataFrame) -> DataFrame:
-    """One row per set that some id has: digest, smallest id, bands, bits."""
+    """One row per set that some id has: digest, smallest id, size, bands, bits."""
     there = each.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     return there.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
+        F.min("doc_id").alias("rep"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
     )
 
 
@@ -253,7 +285,7 @@ def _linked(
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b"))
     links = stored(spark, confirmed(stars, _sets(docs, wanted, shingle), percent), "star-links")
     merged = components(spark, links)
-    more = _between(spark, members, merged, floor)
+    more = _between(spark, members.select("bucket", "rep", "size"), merged, classes, docs, shingle, percent)
     wanted = more.select(F.col("a").alias("doc_id")).union(more.select("b"))
     extra = confirmed(more, _sets(docs, wanted, shingle), percent)
     several = versions.select("doc_id", F.explode(F.array("a", "b")).alias("b")).select(F.col("doc_id").alias("a"), "b")
@@ -266,39 +298,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return shingle_sets(chosen, shingle).dropDuplicates(["doc_id", "digest"])
 
 
-def _between(spark: SparkSession, members: DataFrame, merged: DataFrame, floor: float) -> DataFrame:
+def _between(
+    spark: SparkSession, members: DataFrame, merged: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int
+) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket and may be similar enough."""
     labelled = members.join(merged, members.rep == merged.node, "left").select(
-        "bucket", "rep", "bits", "size", F.coalesce("component", "rep").alias("label")
+        "bucket", "rep", "size", F.coalesce("component", "rep").alias("label")
     )
-    mixed_buckets = (
-        labelled.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low <> high")
-        .select("bucket")
-    )
-    open_rows = stored(spark, labelled.join(mixed_buckets, "bucket", "left_semi"), "open-buckets")
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = several.where("low <> high").select("bucket")
+    opened = stored(spark, labelled.join(several, "bucket", "left_semi"), "open-buckets")
+    wanted = opened.select(F.col("rep").alias("doc_id")).distinct()
+    fine = fine_signatures(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle)
+    known = classes.select(F.col("rep").alias("doc_id"), "digest", "n", "bands")
+    signed = fine.dropDuplicates(["doc_id", "digest"]).join(known, ["doc_id", "digest"])
+    signed = stored(spark, signed.withColumnRenamed("doc_id", "rep").drop("digest"), "fine-signatures")
+    rows = opened.dropDuplicates(["bucket", "rep"]).join(signed, "rep").where(F.array_contains("bands", F.col("bucket")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = open_rows.select(
-        "bucket",
-        F.pmod(F.hash("rep"), blocks).alias("block"),
-        F.col("rep").alias("a"),
-        F.col("bits").alias("bits_a"),
-        F.col("label").alias("label_a"),
-    )
-    right = open_rows.select(
-        "bucket",
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-        F.col("rep").alias("b"),
-        F.col("bits").alias("bits_b"),
-        F.col("label").alias("label_b"),
-    )
-    near = estimate(F.col("bits_a"), F.col("bits_b")) >= floor
-    found = left.join(
-        right,
-        (left.bucket == right.bucket)
-        & (left.block == right.block)
-        & (F.col("label_a") < F.col("label_b"))
-        & near,
-    )
-    return stored(spark, found.select("a", "b").distinct(), "between")
+
+    def side(name: str, block: Column) -> DataFrame:
+        columns = {"rep": name, "label": f"label_{name}", "n": f"n_{name}", "bands": f"bands_{name}", "fine": f"fine_{name}"}
+        return rows.select("bucket", block.alias("block"), *[F.col(c).alias(new) for c, new in columns.items()])
+
+    left = side("a", F.pmod(F.hash("rep"), blocks))
+    right = side("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    near = estimate(F.col("fine_a"), F.col("fine_b"), FINE_HASHES, FINE_BITS) >= least_estimate(percent, FINE_HASHES, FINE_BITS)
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # The first band that both have in common is this bucket's.
+    band = lambda side, k: F.get(F.col(f"bands_{side}"), F.lit(k))
+    first = F.coalesce(*[F.when(band("a", k) == band("b", k), band("a", k)) for k in range(BANDS)]) == left.bucket
+    met = (left.bucket == right.bucket) & (left.block == right.block) & (F.col("label_a") < F.col("label_b"))
+    return stored(spark, left.join(right, met & sizes & near & first).select("a", "b").distinct(), "between")
