@@ -150,8 +150,9 @@ def id_counts(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, expand = np.zeros(MOST_IDS, dtype=np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(expand(value.as_py()), "<u2"), minlength=MOST_IDS)
+            for start in range(0, batch.num_rows, 256):
+                ids = b"".join(expand(value) for value in batch.column(0).slice(start, 256).to_pylist())
+                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=MOST_IDS)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["id", "n"])
 
@@ -246,15 +247,13 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     lengths = np.zeros(MOST_IDS, dtype=np.uint8)
     for row in spark.read.parquet(f"{folder}/code").collect():  # at most MOST_IDS rows
         lengths[row["id"]] = row["length"]
-    code = spark.sparkContext.broadcast(lengths)
+    code = spark.sparkContext.broadcast(decode_table(lengths))  # three bytes for each value of LONGEST bits
     segments = spark.read.parquet(f"{folder}/segments")
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        table = code.value
         for batch in batches:
-            if table is None:
-                table = decode_table(code.value)
             for row in range(batch.num_rows):
                 shard, number, count, payload, offsets = (batch.column(k)[row].as_py() for k in range(5))
                 ids = unpack(payload, np.frombuffer(offsets, "<u4"), count, table)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -33,10 +33,10 @@ PRE_TOKENS = regex.compile(
 _PLAIN = re.compile("[\x00-\x1b\x20-\u024f]*")
 _LAST_PLAIN = "\u024f"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Marks that are a pre-token of their own after a word.
-_STOPS = frozenset(".,;:!?")
+#: A word and marks behind it: two pre-tokens, whatever the word.
+_TAILED = re.compile(r"([a-zA-Zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Chunks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -80,23 +80,22 @@ class Coder:
         self.library = Tokenizer.from_file(path)
         self.model, self.whole = self.library.model, whole
         self.alphabet = byte_alphabet()
+        self.space = self.alphabet[ord(" ")]
         self.special = {t.content: number for number, t in self.library.get_added_tokens_decoder().items()}
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(names) + ")") if names else None
 
     def _merged(self, piece: str):
-        text = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
-        return self.model.tokenize(text.translate(self.alphabet))
+        if piece.isascii() and piece.isprintable():  # only the space has another character
+            return self.model.tokenize(piece.replace(" ", self.space))
+        return self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.alphabet))
 
     @staticmethod
     def _pieces(chunk: str) -> list[str] | None:
         """The pre-tokens of a chunk; None if they are left to the library."""
-        if chunk.isprintable() and max(chunk, default=" ") <= _LAST_PLAIN:
-            word = chunk[1:] if chunk[:1] == " " else chunk
-            if word.isalpha():
+        if chunk.isprintable() and (chunk.isascii() or max(chunk) <= _LAST_PLAIN):
+            if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
                 return [chunk]
-            if word[-1:] in _STOPS and word[:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
         elif _PLAIN.fullmatch(chunk) is None:
             return None
         return PRE_TOKENS.findall(chunk)
@@ -139,11 +138,33 @@ def joins_a_gap(chunk: str) -> bool:
 _UNKNOWN = -(1 << 50)
 
 
+def _remembered(value: Callable, unknown, words: Callable) -> tuple[Memo, Memo]:
+    """What is known of a text's first chunk, and of later ones, which come without their space.
+
+    ``unknown`` stands for a chunk that depends on its neighbours. The marks behind a word are
+    looked up apart from it, so a word is merged once.
+    """
+
+    def of(space: str, own: Callable[[], Memo]):
+        def compute(chunk: str):
+            if chunk.isalpha():
+                return value(space + chunk)
+            tailed = _TAILED.fullmatch(chunk)
+            if tailed is not None:
+                return own()[tailed[1]] + words(tailed[2])
+            return unknown if joins_a_gap(chunk) else value(space + chunk)
+
+        return compute
+
+    first = Memo(of("", lambda: first), REMEMBERED)
+    later = Memo(of(" ", lambda: later), REMEMBERED)
+    return first, later
+
+
 def counter(path: str, whole: dict[str, int]):
     """A function from a text to its number of tokens."""
     coder = Coder(path, whole)
-    first = Memo(lambda chunk: _UNKNOWN if joins_a_gap(chunk) else coder.count(chunk), REMEMBERED)
-    later = Memo(lambda chunk: _UNKNOWN if joins_a_gap(chunk) else coder.count(" " + chunk), REMEMBERED)
+    first, later = _remembered(coder.count, _UNKNOWN, Memo(coder.count).__getitem__)
 
     def of_piece(piece: str) -> int:
         chunks = piece.split(" ")
@@ -163,8 +184,7 @@ def encoder(path: str, whole: dict[str, int]):
     def packed(chunk: str) -> bytes:
         return array("H", coder.ids(chunk)).tobytes()
 
-    first = Memo(lambda chunk: _NOT_ALONE if joins_a_gap(chunk) else packed(chunk), REMEMBERED)
-    later = Memo(lambda chunk: _NOT_ALONE if joins_a_gap(chunk) else packed(" " + chunk), REMEMBERED)
+    first, later = _remembered(packed, _NOT_ALONE, Memo(packed).__getitem__)
 
     def of_piece(piece: str) -> bytes:
         chunks = piece.split(" ")
