@@ -18,6 +18,7 @@ from agora.ml import features
 from agora.operators import votes as vote_jobs
 
 POPULARITY_COLUMNS = ("title_length", "description_length", "has_question_mark", "hour_created")
+FOREST_PARAMETERS = ("numTrees", "maxDepth", "maxBins", "minInstancesPerNode", "subsamplingRate", "impurity", "seed")
 SUCCESS_COLUMNS = ("days_since_created", "title_length", "description_length", "category_encoded")
 
 
@@ -32,14 +33,20 @@ class Trained:
     importances: dict[str, float]
     seconds: float
     predictions: DataFrame = field(repr=False)
+    precision: float = 0.0
+    recall: float = 0.0
+    f1: float = 0.0
+    parameters: dict[str, str] = field(default_factory=dict)
 
     def metrics(self, spark: SparkSession) -> DataFrame:
         """The model record, one row."""
-        row = [(self.name, "1.0", self.accuracy, self.auc, self.seconds, self.importances)]
+        row = [(self.name, "1.0", self.accuracy, self.precision, self.recall, self.f1, self.auc, self.seconds,
+                self.importances, self.parameters)]
         return spark.createDataFrame(
             row,
-            "model_name string, version string, accuracy double, auc_roc double,"
-            " training_time_seconds double, feature_importance map<string,double>",
+            "model_name string, version string, accuracy double, precision double, recall double, f1_score double,"
+            " auc_roc double, training_time_seconds double, feature_importance map<string,double>,"
+            " hyperparameters map<string,string>",
         )
 
 
@@ -52,17 +59,26 @@ def _fit(
     train, test = rows.where(features.in_training_set()), rows.where(~features.in_training_set())
     model = Pipeline(stages=stages).fit(train)
     predictions = model.transform(test)
-    accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(predictions)
+    # Measured on one small table of (label, prediction, probability).
+    measured = predictions.select(label, "prediction", "rawPrediction").persist(StorageLevel.MEMORY_AND_DISK)
+    kinds = ("accuracy", "weightedPrecision", "weightedRecall", "f1")
+    accuracy, precision, recall, f1 = (
+        MulticlassClassificationEvaluator(labelCol=label, metricName=kind).evaluate(measured) for kind in kinds
+    )
     # With a single class in the training rows there is no curve to measure.
     auc = None
     if model.stages[-1].numClasses == 2:
-        auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(predictions)
+        auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(measured)
+    measured.unpersist()
     rows.unpersist()
+    forest = model.stages[-1]
+    parameters = {p.name: str(v) for p, v in forest.extractParamMap().items() if p.name in FOREST_PARAMETERS}
     weights = model.stages[-1].featureImportances.toArray()
     # An encoded category fills the tail of the vector; its parts are added up.
     importances = {c: float(weights[i]) for i, c in enumerate(inputs[:-1])}
     importances[inputs[-1]] = float(weights[len(inputs) - 1 :].sum())
-    return Trained(name, model, accuracy, auc, importances, time.monotonic() - started, predictions)
+    seconds = time.monotonic() - started
+    return Trained(name, model, accuracy, auc, importances, seconds, predictions, precision, recall, f1, parameters)
 
 
 def popularity_examples(ideas: DataFrame, votes: DataFrame) -> DataFrame:

@@ -28,9 +28,13 @@ class Clusters:
 
 
 def cluster_ideas(
-    ideas: DataFrame, k: int = 10, path: str | None = None, partitions: int | None = None
+    ideas: DataFrame, k: int = 10, path: str | None = None, partitions: int | None = None, min_count: int = 1
 ) -> Clusters:
-    """K-means over TF-IDF, word vectors and scaled idea metrics."""
+    """K-means over TF-IDF, word vectors and scaled idea metrics.
+
+    ``min_count`` is the least frequency of a word with a vector. All vectors travel to every
+    task (400 bytes a word), so a corpus with very many rare words wants a higher one.
+    """
     kept = ["idea_id", "title", "description", "category", *features.NUMBERS]
     ideas = features.spread(ideas.select(*kept), partitions)
     rows = ideas.withColumn("combined_text", text.combined_text("title", "description")).fillna(
@@ -39,7 +43,7 @@ def cluster_ideas(
     prepare = Pipeline(
         stages=[
             *features.text_stages(
-                min_count=features.vector_min_count(ideas),
+                min_count=min_count,
                 partitions=ideas.sparkSession.sparkContext.defaultParallelism,
             ),
             *features.number_stages(),

@@ -66,13 +66,14 @@ def decision_with_events(decisions: DataFrame, events: DataFrame) -> DataFrame:
     """Decisions with their events, one row per event (one row for a decision without any).
 
     Rows instead of a nested list: a list would pull all events of a decision into one
-    record. A decision with very many events is split over tasks.
+    record. The adaptive skew join splits a decision with very many events.
     """
     log = events.select(
         F.col("decision_id").alias("id"), "event_id", "event_type", "actor_id", "occurred_at", "sequence"
     )
     head = decisions.select("id", "idea_id", "decision_type", "status")
-    matched = skew.split_join(log, head, ["id"], salt_on=["event_id"])
+    # An inner join, because only there a hot decision's events can be split; the rest is added.
+    matched = log.join(head, "id")
     without = head.join(log.select("id").distinct(), "id", "left_anti")
     return matched.unionByName(without, allowMissingColumns=True)
 
@@ -396,9 +397,9 @@ def template_usage(decisions: DataFrame, templates: DataFrame) -> DataFrame:
 def prefill(decisions: DataFrame, templates: DataFrame) -> DataFrame:
     """Fill empty summary, rationale and timeline from the template of the decision's type.
 
-    There are few types, so each is hot: templates are broadcast, or the types are split.
+    There are few types, so each is hot: Spark broadcasts the templates, or splits the types.
     """
-    filled = skew.join_small(decisions, templates, ["decision_type"], salt_on=["id"])
+    filled = decisions.join(templates, "decision_type", "left")
     return filled.select(
         "id",
         "decision_type",
@@ -411,7 +412,7 @@ def prefill(decisions: DataFrame, templates: DataFrame) -> DataFrame:
 def with_metrics_snapshot(decisions: DataFrame, metrics: DataFrame) -> DataFrame:
     """Decisions with the metrics of their idea as a JSON text.
 
-    Many decisions may concern one idea, so hot ideas are split.
+    Many decisions may concern one idea; the adaptive skew join splits hot ideas.
     """
     snapshot = metrics.select(
         "idea_id",
@@ -419,7 +420,7 @@ def with_metrics_snapshot(decisions: DataFrame, metrics: DataFrame) -> DataFrame
             "metrics_snapshot"
         ),
     )
-    return skew.split_join(decisions, snapshot, ["idea_id"], salt_on=["id"], how="left")
+    return decisions.join(snapshot, "idea_id", "left")
 
 
 def reversal_events(decisions: DataFrame, at: Column, reason: str) -> DataFrame:

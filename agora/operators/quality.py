@@ -160,8 +160,9 @@ def idea_rules() -> list[Rule]:
     ]
 
 
-def attachment_rule() -> Rule:
-    return Rule("attachments", "size", "at most 5 attachments", F.size("attachments") <= 5)
+def submission_rules() -> list[Rule]:
+    """The rules of an idea together with those of its attachments, which only submissions carry."""
+    return [*idea_rules(), Rule("attachments", "size", "at most 5 attachments", F.size("attachments") <= 5)]
 
 
 def comment_rules() -> list[Rule]:
@@ -339,11 +340,16 @@ def event_batches(events: DataFrame, batch: Column | str = "batch_id", limit: in
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], newest: str | None = None) -> DataFrame:
-    """One row per key: any of them, or the newest by a column."""
+    """One row per key: any of them, or the newest by a column.
+
+    Rows without ``newest`` come before all others; ties go to the greatest text of the row.
+    """
     if newest is None:
         return df.dropDuplicates(list(keys))
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(newest)).alias("_row")).select(*keys, "_row.*")
+    order = F.struct(F.col(newest).isNotNull(), F.col(newest), F.to_json(F.struct(*rest)))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return picked.select(*keys, "_row.*").select(*df.columns)
 
 
 # ---------------------------------------------------------------- dataset checks of the ETL

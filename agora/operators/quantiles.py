@@ -1,8 +1,8 @@
 """Exact quantiles and the interquartile outlier filter on columns of any size.
 
-``percentile`` keeps every distinct value of the column in one task. Above a row limit,
-a quantile sketch narrows the column twice to a short stretch around each wanted rank,
-and only the values in that stretch are counted exactly.
+``percentile`` keeps every distinct value of the column in one task. Here one sketch
+narrows the column to a short stretch around each wanted rank, and one more pass counts the
+values in these stretches exactly, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -10,70 +10,85 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this many rows ``percentile`` is used as it is.
-SMALL = 1_000_000
-# Rank error of a sketch is 1/ACCURACY of the rows it saw.
-ACCURACY = 10_000
+# Rank error of a sketch is 1/ACCURACY of the rows it saw; stretches are wider than that.
+ACCURACY = 50_000
 MARGIN = 4.0 / ACCURACY
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, shares: Sequence[float], small: int = SMALL
-) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
     """Linearly interpolated quantiles of a numeric column; nulls and NaN are left out.
 
-    Each step is one aggregation over one column that returns one row. On a large table
-    the last step orders a few millionths of the rows.
+    Two passes over one column for all shares. The second returns the few values next to the
+    wanted ranks; what it orders is the stretches, less than a thousandth of the rows.
     """
     value = F.col("v")
     values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull() & ~F.isnan(value))
-    n = values.count()
-    if n == 0:
+    edges = [min(max(share + side, 0.0), 1.0) for share in shares for side in (-MARGIN, MARGIN)]
+    seen = values.agg(
+        F.count(value).alias("n"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.percentile_approx(value, edges, ACCURACY).alias("q"),
+    ).first()
+    if not seen["n"]:
         return [None] * len(shares)
-    if n <= small:
-        return list(values.agg(F.percentile(value, list(shares)).alias("q")).first()["q"])
-    return [_large_quantile(values, n, share) for share in shares]
-
-
-def _large_quantile(values: DataFrame, n: int, share: float) -> float:
+    stretches = [
+        (seen["min"] if edges[2 * k] == 0.0 else seen["q"][2 * k], seen["max"] if edges[2 * k + 1] == 1.0 else seen["q"][2 * k + 1])
+        for k in range(len(shares))
+    ]
+    positions = [(seen["n"] - 1) * share for share in shares]
+    found = _at_ranks(values, stretches, positions)
+    if found is None:  # a sketch has missed: its error bound holds with high probability only
+        found = _at_ranks(values, [(seen["min"], seen["max"])], positions)
+    return [_between(position, *found[k]) for k, position in enumerate(positions)]
+
+
+def _at_ranks(
+    values: DataFrame, stretches: list[tuple[float, float]], positions: list[float]
+) -> list[tuple[float, float]] | None:
+    """The values at the ranks around each position, or None if one lies outside the stretches.
+
+    Values outside all stretches are counted between their borders, as one value each.
+    """
     value = F.col("v")
-    position = (n - 1) * share
-    rank = math.floor(position)
-    low, high, below, inside = -math.inf, math.inf, 0, n
-    for _ in range(2):
-        # Shares of the current stretch that surely enclose both neighbouring ranks.
-        first = max((rank - below) / inside - MARGIN, 0.0)
-        last = min((rank + 1 - below) / inside + MARGIN, 1.0)
-        stretch = values.where(value.between(low, high))
-        cuts = stretch.agg(
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.percentile_approx(value, [first, last], ACCURACY).alias("q"),
-        ).first()
-        low = cuts["q"][0] if first > 0 else cuts["min"]
-        high = cuts["q"][1] if last < 1 else cuts["max"]
-        counts = values.agg(
-            F.count_if(value < low).alias("below"), F.count_if(value.between(low, high)).alias("inside")
-        ).first()
-        below, inside = counts["below"], counts["inside"]
-        if not below <= rank < below + inside:
-            raise RuntimeError("quantile sketch missed its rank")
-        if inside <= ACCURACY:
-            break
-    ordered = (
-        values.where(value.between(low, high))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.orderBy("v")) + below)
-    )
-    found = ordered.agg(
-        F.min(F.when(F.col("upto") > rank, value)).alias("lower"),
-        F.min(F.when(F.col("upto") > rank + 1, value)).alias("upper"),
+    inside = _any([value.between(low, high) for low, high in stretches])
+    borders = sorted({border for stretch in stretches for border in stretch})
+    gap = F.lit(0)
+    for border in borders:
+        gap = gap + F.when(value > border, 1).otherwise(0)
+    counts = values.groupBy(
+        F.when(inside, value).alias("v"), F.when(~inside, gap).alias("gap"), inside.alias("inside")
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("first"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("first")))
+    wanted = [rank for position in positions for rank in (math.floor(position), math.ceil(position))]
+    # The value at a rank is the first one with more rows up to it than the rank says.
+    row = upto.agg(
+        *[
+            F.min(F.when(F.col("upto") > rank, F.struct("upto", "first", "inside"))).alias(f"r{k}")
+            for k, rank in enumerate(wanted)
+        ]
     ).first()
-    upper = found["lower"] if found["upper"] is None else found["upper"]
-    return found["lower"] + (upper - found["lower"]) * (position - rank)
+    at = [row[f"r{k}"] for k in range(len(wanted))]
+    if not all(one["inside"] for one in at):
+        return None
+    return [(at[2 * k]["first"], at[2 * k + 1]["first"]) for k in range(len(positions))]
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for condition in conditions:
+        out = out | condition
+    return out
+
+
+def _between(position: float, lower: float, upper: float) -> float:
+    """The interpolation of ``percentile``, digit by digit."""
+    floor, ceiling = math.floor(position), math.ceil(position)
+    if floor == ceiling or lower == upper:
+        return lower
+    return (ceiling - position) * lower + (position - floor) * upper
 
 
 def _numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -8,11 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agora.operators import skew
-
-CRITERIA_PER_BLOCK = 500
-MAX_CRITERIA = 20_000
-
 
 @dataclass(frozen=True)
 class Criterion:
@@ -44,11 +39,9 @@ REVIEW_BELOW = 0.8
 
 
 def load_criteria(table: DataFrame) -> list[Criterion]:
-    """Read the criteria configuration, a small table maintained by hand; its size is checked."""
+    """Read a criteria configuration into objects, for editing. Scoring takes the table itself."""
     names = [f.name for f in fields(Criterion)]
-    rows = table.select(*[c for c in names if c in table.columns]).limit(MAX_CRITERIA + 1).collect()
-    if len(rows) > MAX_CRITERIA:
-        raise ValueError(f"more than {MAX_CRITERIA} criteria: not a configuration table")
+    rows = table.select(*[c for c in names if c in table.columns]).collect()
     return [Criterion(**{k: v for k, v in row.asDict().items() if v is not None}) for row in rows]
 
 
@@ -72,6 +65,32 @@ def _literal(c: Criterion) -> Column:
     )
 
 
+def _rules_of(table: DataFrame) -> Column:
+    """The active criteria as one array value, a scalar subquery of the plan, by id.
+
+    Null or missing fields have the stored defaults.
+    """
+    defaults = {f.name: f.default for f in fields(Criterion)}
+
+    def value(name: str, kind: str) -> Column:
+        default = F.lit(None if name in ("criteria_id", "name") else defaults[name]).cast(kind)
+        return F.coalesce(F.col(name).cast(kind), default) if name in table.columns else default
+
+    one = F.struct(
+        value("criteria_id", "int").alias("id"),
+        value("name", "string").alias("name"),
+        value("min_vote_count", "long").alias("votes"),
+        value("min_engagement_score", "double").alias("engagement"),
+        value("min_average_rating", "double").alias("rating"),
+        value("max_controversy_score", "double").alias("controversy"),
+        value("min_days_since_created", "int").alias("age"),
+        value("min_success_probability", "double").alias("success"),
+        value("suggested_decision_type", "string").alias("type"),
+        value("auto_approve", "boolean").alias("auto"),
+    )
+    return table.where(value("is_active", "boolean")).agg(F.sort_array(F.collect_list(one))).scalar()
+
+
 def _checks(rule: Column, metrics: set[str]) -> dict[str, Column]:
     def metric(name: str, default: float) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in metrics else F.lit(default)
@@ -112,34 +131,25 @@ def _evaluate(rule: Column, metrics: set[str]) -> Column:
     )
 
 
-def suggest_decisions(metrics: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
+def suggest_decisions(metrics: DataFrame, criteria: Sequence[Criterion] | DataFrame) -> DataFrame:
     """The best matching criterion of every idea, or a deferral.
 
     ``metrics`` needs ``idea_id`` and may have vote_count, engagement_score,
     average_rating, controversy_score and success_probability; a missing metric counts
-    as 0, controversy as 1. The criteria travel with the plan as array literals, so every
-    idea is scored where it lies: no join and no row per (idea, criterion) pair. The
-    earliest criterion wins a tie.
+    as 0, controversy as 1. A table of criteria becomes one array value that every task
+    gets, so each idea is scored where it lies: no join, no row per (idea, criterion)
+    pair, and a plan of the same size for any number of criteria. Given objects are
+    literals. The earliest criterion wins a tie.
     """
-    active = sorted((c for c in criteria if c.is_active), key=lambda c: c.criteria_id)
     available = set(metrics.columns)
-    scored = metrics
-    blocks = [active[i : i + CRITERIA_PER_BLOCK] for i in range(0, len(active), CRITERIA_PER_BLOCK)]
-    matches: list[Column] = []
-    for block in blocks:
-        rules = F.array(*[_literal(c) for c in block])
-        evaluated = F.transform(rules, lambda r: _evaluate(r, available))
-        matches.append(F.filter(evaluated, lambda e: e["matched"]))
-    found = F.concat(*matches) if matches else F.array()
-    if not matches:
-        return metrics.select(
-            "idea_id",
-            F.lit(DEFAULT_TYPE).alias("suggested_decision_type"),
-            F.lit(DEFAULT_CONFIDENCE).alias("confidence_score"),
-            F.array().cast("array<string>").alias("matching_criteria"),
-            F.lit(False).alias("auto_approve_eligible"),
-            F.lit(True).alias("needs_review"),
-        )
+    if isinstance(criteria, DataFrame):
+        known = _rules_of(criteria)
+    else:
+        active = sorted((c for c in criteria if c.is_active), key=lambda c: c.criteria_id)
+        # A criterion that is filtered out gives the empty array its type.
+        known = F.filter(F.array(*[_literal(c) for c in active or [Criterion(0, "")]]), lambda r: F.lit(bool(active)))
+    scored = metrics.withColumn("_rules", known)
+    found = F.filter(F.transform("_rules", lambda r: _evaluate(r, available)), lambda e: e["matched"])
     scored = scored.withColumn("_found", found).withColumn(
         "_best",
         F.array_max(
@@ -254,9 +264,8 @@ def metric_alerts(metrics: DataFrame, thresholds: dict[str, float] | None = None
 
 
 def metric_alerts_from_table(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """The same with thresholds from a table. Metrics are few and hot, see ``join_small``."""
-    salt = [c for c in metrics.columns if c != "metric_name"]
-    return skew.join_small(metrics, thresholds, ["metric_name"], salt_on=salt, how="inner").where(F.col("metric_value") > F.col("threshold"))
+    """The same with thresholds from a table, which Spark broadcasts if it is small."""
+    return metrics.join(thresholds, "metric_name").where(F.col("metric_value") > F.col("threshold"))
 
 
 def low_sentiment(thoughts: DataFrame, below: float = LOW_SENTIMENT) -> DataFrame:

@@ -1,117 +1,42 @@
-"""Joins and ordered windows that hold when one key owns a large share of the rows.
+"""Ordered windows that hold when one key owns a large share of the rows.
 
-Plain aggregations need none of this: Spark combines on the map side first. A join
-of raw rows and a window over raw rows do send all rows of a key to one task; the
-functions here split such a key.
+Plain aggregations need none of this: Spark combines on the map side first. Joins need
+none either: the session's adaptive skew join splits the partition of a hot key. But a
+window over raw rows sends all rows of a key to one task; the functions here cut time
+into buckets, so that a key is spread over them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
-# HOT_SHARE hot keys whatever the data: a table of them is small enough to broadcast.
-HOT_SHARE = 1024
-# A hot key is cut into slices of about this many rows; smaller keys stay whole.
-ROWS_PER_SLICE = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
-# Narrow rows: at 100 bytes each this is a broadcast of 20 MB.
-MAX_BROADCAST_ROWS = 200_000
+# The borders of the buckets are part of the plan; a larger table gets larger buckets.
+MOST_BUCKETS = 10_000
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Keys with more than ``1/share`` of all rows and too many for one slice, with ``_slices``.
-
-    There are at most ``share - 1`` of them.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where((F.col("_rows") * share > total) & (F.col("_rows") > rows_per_slice)).select(
-        *keys, F.ceil(F.col("_rows") / rows_per_slice).alias("_slices")
-    )
-
-
-def split_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    salt_on: Sequence[str],
-    how: str = "inner",
-    share: int = HOT_SHARE,
-    rows_per_slice: int = ROWS_PER_SLICE,
-    hot_from: DataFrame | None = None,
-) -> DataFrame:
-    """Join many fact rows to ``dim`` with the hot keys of ``fact`` cut into slices.
-
-    Rows of a hot key are spread by a hash of ``salt_on`` (columns that tell rows of one
-    key apart) over as many slices as its row count asks for; only the ``dim`` rows of
-    hot keys are repeated, once per slice. Every other key joins as usual. ``how`` is
-    ``inner`` or ``left``. ``hot_from`` names a cheaper table with the same hot keys
-    where ``fact`` is itself the result of much work; the result does not depend on it.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("split_join supports inner and left joins")
-    source = fact if hot_from is None else hot_from
-    hot = F.broadcast(hot_keys(source.select(*keys), keys, share, rows_per_slice))
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    # Rows without a key match nothing; spread them too, they may be many.
-    slices = F.when(no_key, F.lit(share).cast("long")).otherwise(F.col("_slices"))
-    left = fact.join(hot, list(keys), "left").withColumn(
-        "_slice",
-        F.when(slices.isNotNull(), F.pmod(F.xxhash64(*salt_on), slices)).otherwise(F.lit(0).cast("long")),
-    )
-    first = F.lit(0).cast("long")
-    right = dim.join(hot, list(keys), "left").withColumn(
-        "_slice",
-        F.explode(
-            F.when(F.col("_slices").isNotNull(), F.sequence(first, F.col("_slices") - 1)).otherwise(F.array(first))
-        ),
-    )
-    return left.drop("_slices").join(right.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
-
-
-def join_small(
-    fact: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    salt_on: Sequence[str],
-    how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Broadcast ``dim`` after counting that it is small; otherwise :func:`split_join`.
-
-    The check runs a job on ``dim``; it pays when ``dim`` is small in practice but has no
-    bound, and shuffling ``fact`` is what would cost. On a stream a large ``dim`` joins
-    as usual: each micro-batch is small.
-    """
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return fact.join(F.broadcast(dim), list(keys), how)
-    if fact.isStreaming:
-        return fact.join(dim, list(keys), how)
-    return split_join(fact, dim, keys, salt_on, how)
-
-
-def time_bucket(df: DataFrame, time: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column | None:
-    """Number of an equal stretch of time that holds about ``rows_per_bucket`` rows.
+def with_time_bucket(df: DataFrame, time: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame | None:
+    """Adds ``_bucket``, the number of a stretch of time that holds about ``rows_per_bucket`` rows.
 
-    The width follows from the count and the time range of the table, read by one small
-    job. ``None`` for a table that one bucket can hold.
+    The borders are quantiles of the time, so stray times and bursts don't fill a bucket;
+    only rows of one instant stay together. Rows without a time belong to the first bucket.
+    ``None`` for a table that one bucket can hold.
     """
-    seconds = F.unix_micros(F.col(time)) / F.lit(1e6)
-    span = df.agg(
-        F.count(F.lit(1)).alias("n"), F.min(seconds).alias("first"), F.max(seconds).alias("last")
-    ).first()
-    if span["n"] <= rows_per_bucket or span["first"] is None:
+    rows = df.count()
+    if rows <= rows_per_bucket:
         return None
-    width = max((span["last"] - span["first"]) * rows_per_bucket / span["n"], 1.0)
-    # Rows without a time sort first, so they belong to the first bucket.
-    return F.coalesce(F.floor((seconds - span["first"]) / width), F.lit(0))
+    parts = min(math.ceil(rows / rows_per_bucket), MOST_BUCKETS)
+    micros = F.unix_micros(F.col(time)).cast("double")
+    shares = [k / parts for k in range(1, parts)]
+    borders = df.agg(F.percentile_approx(micros, shares, max(10_000, 20 * parts))).first()[0]
+    splits = [-math.inf, *sorted(set(borders or [])), math.inf]
+    # Times before all borders stand for a missing time.
+    numbered = df.withColumn("_micros", F.coalesce(micros, F.lit(-1e300)))
+    return Bucketizer(splits=splits, inputCol="_micros", outputCol="_bucket").transform(numbered).drop("_micros")
 
 
 def over_history(
@@ -132,10 +57,9 @@ def over_history(
     the columns in ``needs`` only, over ``window``, which is ordered by ``time``, ``tie``.
     """
     order = [time, *tie]
-    bucket = time_bucket(df, time, rows_per_bucket)
-    if bucket is None:
+    rows = with_time_bucket(df, time, rows_per_bucket)
+    if rows is None:
         return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*order))))
-    rows = df.withColumn("_bucket", bucket)
     carried = [c for c in dict.fromkeys([*order, *needs]) if c not in keys]
     latest_first = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(c).desc() for c in order])
     tails = (
@@ -169,21 +93,30 @@ def with_running_count(
     name: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Position of each row within its key by time, counted per (key, bucket) plus an offset."""
-    bucket = time_bucket(df, time, rows_per_bucket)
-    if bucket is None:
+    """Position of each row within its key by time, counted per (key, bucket) plus an offset.
+
+    Rows without a key are a key of their own.
+    """
+    rows = with_time_bucket(df, time, rows_per_bucket)
+    if rows is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(time, *tie)))
-    rows = df.withColumn("_bucket", bucket)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            *[F.col(key).alias(f"_of_{key}") for key in keys],
+            F.col("_bucket").alias("_of_bucket"),
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        )
     )
+    same = F.col("_bucket") == F.col("_of_bucket")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(time, *tie)
     return (
         rows.withColumn("_pos", F.row_number().over(within))
-        .join(offsets, [*keys, "_bucket"])
+        .join(offsets, same)
         .withColumn(name, F.col("_before") + F.col("_pos"))
-        .drop("_before", "_pos", "_bucket")
+        .drop("_before", "_pos", "_bucket", "_of_bucket", *[f"_of_{key}" for key in keys])
     )

@@ -124,8 +124,8 @@ def user_activity(
 def interaction_edges(ideas: DataFrame, votes: DataFrame, comments: DataFrame) -> DataFrame:
     """Who votes or comments on whose ideas, with the number of interactions.
 
-    Actions are counted per (user, idea) before the join with the authors, and a hot
-    idea is split over several tasks.
+    Actions are counted per (user, idea) before the join with the authors; the adaptive
+    skew join splits a hot idea over several tasks.
     """
     def actions(df: DataFrame) -> DataFrame:
         return df.groupBy("idea_id", F.col("user_id").alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -138,7 +138,7 @@ def interaction_edges(ideas: DataFrame, votes: DataFrame, comments: DataFrame) -
     )
     authors = ideas.select("idea_id", F.col("user_id").alias("target"))
     return (
-        skew.split_join(acted, authors, ["idea_id"], salt_on=["source"], hot_from=votes)
+        acted.join(authors, "idea_id")
         .where(F.col("source") != F.col("target"))
         .groupBy("source", "target")
         .agg(F.sum("n").alias("interactions"))
@@ -186,11 +186,11 @@ def user_sessions(
     into time buckets first; what is left to be merged over the bucket borders is at most
     one session per gap and user.
     """
-    bucket = None if interactions.isStreaming else skew.time_bucket(interactions, "timestamp", rows_per_bucket)
-    if bucket is None:
+    bucketed = None if interactions.isStreaming else skew.with_time_bucket(interactions, "timestamp", rows_per_bucket)
+    if bucketed is None:
         sessions = _sessions(interactions, gap, [])
     else:
-        parts = _sessions(interactions.withColumn("_bucket", bucket), gap, ["_bucket"])
+        parts = _sessions(bucketed, gap, ["_bucket"])
         by_time = Window.partitionBy("user_id").orderBy("start_time")
         pause_over = F.col("start_time") > F.lag("end_time").over(by_time) + F.expr(f"INTERVAL {gap}")
         numbered = parts.withColumn("_new", F.when(F.coalesce(pause_over, F.lit(True)), 1).otherwise(0)).withColumn(

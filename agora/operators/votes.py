@@ -247,10 +247,9 @@ def vote_status_of_users(ideas: DataFrame, votes: DataFrame, user_id: str) -> Da
 def votes_on(votes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Votes on the ideas named by another table.
 
-    Distinct ids make the inner join a semi join that can be broadcast or split.
+    Distinct ids make the inner join a semi join that Spark can broadcast or split.
     """
-    ids = wanted.select("idea_id").distinct()
-    return skew.join_small(votes, ids, ["idea_id"], salt_on=["vote_id"], how="inner")
+    return votes.join(wanted.select("idea_id").distinct(), "idea_id")
 
 
 def weighted_scores(votes: DataFrame, experts: DataFrame, expert_weight: float = 1.5) -> DataFrame:
@@ -262,7 +261,7 @@ def weighted_scores(votes: DataFrame, experts: DataFrame, expert_weight: float =
         _count(_is("upvote")).alias("up"), _count(_is("downvote")).alias("down")
     )
     known = experts.select("user_id").distinct().withColumn("is_expert", F.lit(True))
-    marked = skew.join_small(per_voter, known, ["user_id"], salt_on=["idea_id"]).withColumn(
+    marked = per_voter.join(known, "user_id", "left").withColumn(
         "weight", scores.vote_weight("is_expert", expert_weight)
     )
     return marked.groupBy("idea_id").agg(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from agora.functions import text, timeparts
 from agora.operators import quality, skew
@@ -25,12 +27,23 @@ def standard_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.lower().replace(" ", "_") for name in df.columns])
 
 
+class MissingColumn(ValueError):
+    """A dataset lacks a column that its transformation needs."""
+
+
+def _require(df: DataFrame, *names: str) -> None:
+    missing = [name for name in names if name not in df.columns]
+    if missing:
+        raise MissingColumn(f"missing column: {', '.join(missing)}")
+
+
 def transform_interactions(df: DataFrame, exact: bool = True) -> DataFrame:
     """Clean names and types, add time parts and session length, drop outliers.
 
-    ``exact=False`` takes the quartiles from a sketch (one pass instead of three).
+    ``exact=False`` takes the quartiles from a sketch (one pass per column instead of two).
     """
     df = standard_names(df)
+    _require(df, "timestamp")
     df = df.withColumn("timestamp", F.to_timestamp("timestamp"))
     df = df.withColumns(
         {
@@ -101,7 +114,7 @@ def flag_anomalies(df: DataFrame, source: DataFrame, tie: Sequence[str]) -> Data
     spread = source.groupBy("metric_name").agg(
         F.avg("metric_value").alias("_mean"), F.stddev_samp("metric_value").alias("_stddev")
     )
-    joined = skew.join_small(df, spread, ["metric_name"], salt_on=[*tie, "timestamp"])
+    joined = df.join(spread, "metric_name", "left")
     far = F.abs(F.col("metric_value") - F.col("_mean")) > F.col("_stddev") * SIGMAS
     return joined.withColumn("is_anomaly", F.coalesce(far, F.lit(False))).drop("_mean", "_stddev")
 
@@ -111,6 +124,7 @@ def transform_metrics(df: DataFrame, tie: Sequence[str] = ("component",)) -> Dat
 
     ``tie`` orders rows of one metric that share a timestamp.
     """
+    _require(df, "metric_name", "metric_value", "timestamp", *tie)
     df = df.withColumn("metric_name", text.metric_name("metric_name"))
     df = df.withColumn("timestamp", F.to_timestamp("timestamp"))
     df = df.withColumns(
@@ -131,16 +145,23 @@ class EtlResult:
     """What one run did; failures are listed by path, never swallowed."""
 
     records_processed: int = 0
+    records_written: int = 0
     validation_failures: int = 0
     datasets_loaded: int = 0
     duration: float = 0.0
     reports: dict[str, dict] = field(default_factory=dict)
+    written: dict[str, int] = field(default_factory=dict)
     not_read: dict[str, str] = field(default_factory=dict)
+    not_transformed: dict[str, str] = field(default_factory=dict)
     not_loaded: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def errors(self) -> dict[str, str]:
+        return self.not_read | self.not_transformed | self.not_loaded
+
     @property
     def success(self) -> bool:
-        return not self.not_loaded
+        return not self.errors
 
 
 @dataclass(frozen=True)
@@ -162,42 +183,64 @@ def run_etl(
 ) -> EtlResult:
     """Read, transform, validate and write all datasets.
 
-    A transformed dataset is kept on executor disks between the validation pass and the
-    write; a lost executor only costs recomputing its blocks.
+    Datasets keep their path below the folder they share, so equal file names in different
+    folders stay apart. A dataset that can't be read or transformed is listed and doesn't
+    stop the others. A transformed dataset is kept on executor disks between the
+    validation pass and the write; a lost executor only costs recomputing its blocks.
     """
+    if config.enable_deduplication and not config.deduplicate_on:
+        raise ValueError("deduplication needs the columns that identify a record")
     started = time.monotonic()
     result = EtlResult()
     datasets, result.not_read = files.read_batch(spark, paths)
-    accepted: dict[str, DataFrame] = {}
-    counts: dict[str, int] = {}
-    kept: list[DataFrame] = []
-    try:
-        for path, raw in datasets.items():
+    names = target_names(list(datasets))
+    for path, raw in datasets.items():
+        kept: DataFrame | None = None
+        try:
+            result.records_processed += raw.count()
             kind = files.dataset_kind(path)
             rows = TRANSFORMS[kind](raw)
-            if config.enable_deduplication and config.deduplicate_on:
+            if config.enable_deduplication:
                 rows = quality.deduplicate(rows, config.deduplicate_on)
-            rows = rows.persist(StorageLevel.DISK_ONLY)
-            kept.append(rows)
-            report = quality.validate_dataset(rows, kind, as_of).first().asDict()
-            name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            kept = rows.persist(StorageLevel.DISK_ONLY)
+            report = quality.validate_dataset(kept, kind, as_of).first().asDict()
             result.reports[path] = report
-            result.records_processed += report["total_records"]
             passed = report["passed"] and _good_enough(report, config.quality_threshold)
             if config.enable_validation and not passed:
                 result.validation_failures += 1
                 continue
-            accepted[name] = rows
-            counts[name] = report["total_records"]
-        result.not_loaded = files.write_batch(accepted, counts, target)
-    finally:
-        for rows in kept:
-            rows.unpersist()
-    result.datasets_loaded = len(accepted) - len(result.not_loaded)
+            counted = Observation()
+            failed = files.write_batch({names[path]: kept.observe(counted, F.count(F.lit(1)).alias("n"))}, target)
+            if failed:
+                result.not_loaded[path] = failed[names[path]]
+            else:
+                result.written[path] = counted.get["n"]
+        except (PySparkException, MissingColumn) as error:
+            result.not_transformed[path] = str(error).splitlines()[0]
+        finally:
+            if kept is not None:
+                kept.unpersist()
+    result.datasets_loaded = len(result.written)
+    result.records_written = sum(result.written.values())
     result.duration = time.monotonic() - started
     return result
 
 
+def target_names(paths: Sequence[str]) -> dict[str, str]:
+    """Name of each dataset in the target: its path below the common folder, without suffix.
+
+    Paths that differ in their suffix only keep it.
+    """
+    folders = [path.rstrip("/").split("/")[:-1] for path in paths]
+    common = 0
+    while folders and all(len(f) > common and f[common] == folders[0][common] for f in folders):
+        common += 1
+    below = {path: "/".join(path.rstrip("/").split("/")[common:]) for path in paths}
+    bare = {path: name.rsplit(".", 1)[0] for path, name in below.items()}
+    once = Counter(bare.values())
+    return {path: bare[path] if once[bare[path]] == 1 else below[path].replace(".", "_") for path in paths}
+
+
 def _good_enough(report: dict, threshold: float | None) -> bool:
     if threshold is None or not report["total_records"]:
         return True
@@ -210,11 +253,12 @@ def _good_enough(report: dict, threshold: float | None) -> bool:
 
 def run_row(spark: SparkSession, result: EtlResult, name: str, start: datetime, end: datetime) -> DataFrame:
     """The run record of an ETL run, one row."""
-    row = [(name, start, end, "completed" if result.success else "failed",
-            result.records_processed, result.records_processed, result.validation_failures)]
+    errors = [f"{path}: {reason}" for path, reason in sorted(result.errors.items())]
+    row = [(name, start, end, "completed" if result.success else "failed", result.records_processed,
+            result.records_written, result.validation_failures, errors)]
     df = spark.createDataFrame(
         row,
         "job_name string, start_time timestamp, end_time timestamp, status string,"
-        " input_records long, output_records long, error_records long",
+        " input_records long, output_records long, error_records long, errors array<string>",
     )
     return df.withColumn("processing_time_seconds", timeparts.seconds_between("start_time", "end_time"))

@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from agora import schemas
 
-# What in a path tells the kind of dataset, and the row count above which a
-# dataset with timestamps is stored by date.
+# What in a path tells the kind of dataset.
 KINDS = ("interactions", "thoughts", "metrics")
-PARTITION_ABOVE = 10_000
 
 
 def dataset_kind(path: str) -> str | None:
@@ -120,8 +118,8 @@ def write_parquet(
     writer.parquet(path)
 
 
-def write_batch(datasets: dict[str, DataFrame], counts: dict[str, int], base: str) -> dict[str, str]:
-    """Write every dataset below ``base``; large ones with timestamps are stored by date.
+def write_batch(datasets: dict[str, DataFrame], base: str) -> dict[str, str]:
+    """Write every dataset below ``base``; those with timestamps are stored by date.
 
     Rows are gathered by date before the write, so a date gets few files, and a heavy
     date is still split by the adaptive rebalancing. Returns what failed, by name.
@@ -130,7 +128,7 @@ def write_batch(datasets: dict[str, DataFrame], counts: dict[str, int], base: st
     for name, df in datasets.items():
         target = f"{base}/{name}.parquet"
         try:
-            if "timestamp" in df.columns and counts.get(name, 0) > PARTITION_ABOVE:
+            if "timestamp" in df.columns:
                 dated = df.withColumn("date", F.to_date("timestamp"))
                 write_parquet(dated.hint("rebalance", "date"), target, ["date"])
             else:

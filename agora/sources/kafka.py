@@ -99,9 +99,28 @@ def parse(messages: DataFrame, schema: T.StructType, value: str = "value") -> Da
     return messages.select(F.from_json(F.col(value).cast("string"), full, options).alias("_data")).select("_data.*")
 
 
+def _read_votes(messages: DataFrame) -> DataFrame:
+    raw = messages.select(F.col("value").cast("string").alias("_raw"))
+    full = T.StructType([*schemas.VOTE_EVENT.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return raw.withColumn("_data", F.from_json("_raw", full, options))
+
+
+# A vote that names no idea, or can't be read at all, would be counted under a null idea.
+_BROKEN = "_data IS NULL OR _data._corrupt IS NOT NULL OR _data.idea_id IS NULL"
+
+
 def parse_votes(messages: DataFrame) -> DataFrame:
-    data = F.from_json(F.col("value").cast("string"), schemas.VOTE_EVENT)
-    return messages.select(data.alias("_data")).select("_data.*").withColumn("processing_time", F.current_timestamp())
+    """Readable votes; the others are :func:`dead_votes`."""
+    votes = _read_votes(messages).where(f"NOT ({_BROKEN})").select("_data.*").drop("_corrupt")
+    return votes.withColumn("processing_time", F.current_timestamp())
+
+
+def dead_votes(messages: DataFrame) -> DataFrame:
+    """Messages that hold no vote, as they came, for a dead-letter table."""
+    return _read_votes(messages).where(_BROKEN).select(
+        F.col("_raw").alias("value"), F.current_timestamp().alias("processing_time")
+    )
 
 
 def enrich(events: DataFrame, producer_id: str) -> DataFrame:

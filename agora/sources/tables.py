@@ -6,10 +6,14 @@ import os
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Driver class and batch sizes of the database connection.
+# Driver class and batch sizes of the database connection, and how the
+# database says that a table is missing.
 JDBC_DRIVER = "org.postgresql.Driver"
+NO_SUCH_TABLE = "42P01"
 FETCH_SIZE, BATCH_SIZE = 1000, 1000
 
 
@@ -58,11 +62,41 @@ class JdbcTables:
     def write(self, df: DataFrame, table: str, mode: str = "append") -> None:
         df.write.format("jdbc").options(**self.write_options(table)).mode(mode).save()
 
+    def write_batch(self, df: DataFrame, table: str, query: str, batch: int) -> None:
+        """Append a micro-batch in one transaction, unless it is there already.
+
+        One task writes the batch, so the database commits all or nothing of it; the test for
+        it reaches the database as a filter on the two columns, which want an index.
+        """
+        spark = df.sparkSession
+        if self.exists(spark, table) and not _of_batch(self.read(spark, table), query, batch).isEmpty():
+            return
+        self.write(_marked(df, query, batch).coalesce(1), table)
+
     def exists(self, spark: SparkSession, table: str) -> bool:
+        """Whether the table is there; a failing connection is an error, not an answer."""
         try:
             return bool(self.read(spark, table).columns)
-        except Exception:  # noqa: BLE001 - any failure to resolve the table means it cannot be read
-            return False
+        except AnalysisException as error:
+            if _not_found(error):
+                return False
+            raise
+        except Py4JJavaError as error:
+            if NO_SUCH_TABLE in str(error.java_exception):
+                return False
+            raise
+
+
+def _not_found(error: AnalysisException) -> bool:
+    return error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def _marked(df: DataFrame, query: str, batch: int) -> DataFrame:
+    return df.withColumn("query_id", F.lit(query)).withColumn("batch_id", F.lit(batch).cast("long"))
+
+
+def _of_batch(table: DataFrame, query: str, batch: int) -> DataFrame:
+    return table.where((F.col("query_id") == query) & (F.col("batch_id") == batch)).limit(1)
 
 
 @dataclass(frozen=True)
@@ -72,7 +106,8 @@ class FileTables:
     folder: str
 
     def path(self, table: str) -> str:
-        return f"{self.folder.rstrip('/')}/{table}.parquet"
+        """A table's folder; a path with ``=`` names a partition of one."""
+        return f"{self.folder.rstrip('/')}/{table}" + ("" if "=" in table else ".parquet")
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return spark.read.parquet(self.path(table))
@@ -80,11 +115,17 @@ class FileTables:
     def write(self, df: DataFrame, table: str, mode: str = "append") -> None:
         df.write.mode(mode).option("compression", "snappy").parquet(self.path(table))
 
+    def write_batch(self, df: DataFrame, table: str, query: str, batch: int) -> None:
+        """Write a micro-batch to a folder of its own, which a repetition overwrites."""
+        self.write(df, f"{table}.parquet/query_id={query}/batch_id={batch}", "overwrite")
+
     def exists(self, spark: SparkSession, table: str) -> bool:
         try:
             return bool(self.read(spark, table).columns)
-        except Exception:  # noqa: BLE001
-            return False
+        except AnalysisException as error:
+            if _not_found(error):
+                return False
+            raise
 
 
 @dataclass(frozen=True)
@@ -112,6 +153,20 @@ class CatalogTables:
             writer = df.repartition(number, column).write.mode(mode).bucketBy(number, column).sortBy(column)
         writer.saveAsTable(self.name(table))
 
+    def write_batch(self, df: DataFrame, table: str, query: str, batch: int) -> None:
+        """Replace the partition of a micro-batch."""
+        spark = df.sparkSession
+        if not self.exists(spark, table):
+            _marked(df, query, batch).write.partitionBy("query_id", "batch_id").saveAsTable(self.name(table))
+            return
+        own = [c for c in spark.table(self.name(table)).columns if c not in ("query_id", "batch_id")]
+        selected = ", ".join(f"`{c}`" for c in own)
+        spark.sql(
+            f"INSERT OVERWRITE TABLE {self.name(table)} PARTITION (query_id = '{query}', batch_id = {batch}) "
+            f"SELECT {selected} FROM {{rows}}",
+            rows=df,
+        )
+
     def exists(self, spark: SparkSession, table: str) -> bool:
         return spark.catalog.tableExists(self.name(table))
 

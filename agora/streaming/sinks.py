@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from agora.sources.tables import TableStore
@@ -17,20 +17,26 @@ def to_files(
     mode: str = "append",
     shape: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataStreamWriter:
-    """Each micro-batch overwrites its own ``batch_id=`` folder: a repeated batch replaces itself.
+    """Each micro-batch overwrites its own folder, below one of its query: a repeated batch replaces itself.
 
     ``shape`` may do what streams refuse, e.g. sort. Errors end the query.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch if shape is None else shape(batch)
-        rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch_id={batch_id}")
+        own = f"{folder.rstrip('/')}/query_id={query_id(batch, checkpoint)}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(own)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
     )
 
 
+def query_id(batch: DataFrame, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint: a new checkpoint is a new query."""
+    return batch.sparkSession.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
 def to_table(
     stream: DataFrame,
     store: TableStore,
@@ -39,21 +45,17 @@ def to_table(
     mode: str = "update",
     shape: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataStreamWriter:
-    """Append non-empty micro-batches to a table once; rows carry their ``batch_id``.
+    """Write non-empty micro-batches to a table once; rows carry ``query_id`` and ``batch_id``.
 
-    A batch whose id is already in the table was written before a restart and is skipped.
+    A repeated batch of the same query replaces what it wrote before, also the half of it.
+    Batches of other queries, and of a query with a new checkpoint, are their own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
-        if store.exists(spark, table):
-            done = store.read(spark, table).where(F.col("batch_id") == batch_id)
-            if not done.isEmpty():
-                return
         rows = batch if shape is None else shape(batch)
-        store.write(rows.withColumn("batch_id", F.lit(batch_id).cast("long")), table, "append")
+        store.write_batch(rows, table, query_id(batch, checkpoint), batch_id)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)

@@ -425,7 +425,7 @@ def success_metrics(t):
 
 
 def suggestions_of(t):
-    return rules.suggest_decisions(success_metrics(t), rules.load_criteria(rules.active_criteria(t.criteria)))
+    return rules.suggest_decisions(success_metrics(t), t.criteria)
 
 
 @query(
@@ -450,7 +450,7 @@ def _(t):
 )
 def _(t):
     metrics = success_metrics(t).drop("success_probability")
-    out = rules.suggest_decisions(metrics, rules.load_criteria(t.criteria))
+    out = rules.suggest_decisions(metrics, t.criteria)
     return out.withColumn("match_count", F.size("matching_criteria"))
 
 

@@ -121,11 +121,22 @@ def test_default_is_a_deferral(spark):
     assert suggest(spark, []).suggested_decision_type == "deferral"
 
 
-def test_many_criteria_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(rules, "CRITERIA_PER_BLOCK", 2)
+def test_criteria_from_a_table(spark):
     criteria = [Criterion(i, f"c{i}", min_vote_count=i * 10, min_engagement_score=9.0, min_average_rating=3.0) for i in range(1, 6)]
-    got = suggest(spark, criteria, row=(1, 35, 0.0, 4.0, 0.1))
-    assert got.matching_criteria == ["c1", "c2", "c3"]
+    table = spark.createDataFrame([vars(c) | {"category": "x"} for c in criteria])
+    for given in (criteria, table):
+        got = suggest(spark, given, row=(1, 35, 0.0, 4.0, 0.1))
+        assert got.matching_criteria == ["c1", "c2", "c3"]
+    assert suggest(spark, table.limit(0)).suggested_decision_type == "deferral"
+    inactive = table.select("criteria_id", "name", F.lit(False).alias("is_active"))
+    assert suggest(spark, inactive).matching_criteria == []
+
+
+def test_the_plan_does_not_grow_with_the_criteria(spark):
+    table = lambda n: spark.range(1, n).select(F.col("id").cast("int").alias("criteria_id"), F.lit("c").alias("name"))
+    metrics = spark.createDataFrame([(1, 35, 0.78, 4.3, 0.2)], METRICS)
+    size = lambda n: len(rules.suggest_decisions(metrics, table(n))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(10) - size(30_000)) < 200
 
 
 def test_criteria_table_round_trip(spark):

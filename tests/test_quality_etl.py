@@ -181,16 +181,35 @@ def test_whole_run(spark, tmp_path):
     target = str(tmp_path / "out")
     paths = [f"{tmp_path}/{n}" for n in ("interactions.parquet", "thoughts.json", "metrics.parquet", "other.csv", "missing_metrics.parquet")]
     result = etl.run_etl(spark, paths, target, datetime(2024, 2, 1))
-    assert result.success and result.datasets_loaded == 3 and result.records_processed == 10_050 + 1 + 44
+    assert not result.success and result.datasets_loaded == 3
+    assert result.records_processed >= result.records_written == 10_050 + 1 + 44
     assert set(result.not_read) == {paths[3], paths[4]}
     stored = spark.read.parquet(f"{target}/interactions.parquet")
     assert stored.count() == 10_050 and "date" in stored.columns
     assert {r.interaction_type for r in stored.select("interaction_type").distinct().collect()} == {"view"}
     thought = spark.read.parquet(f"{target}/thoughts.parquet").first()
     assert (thought.thought_text, thought.sentiment_score, thought.has_personal_tag, thought.source) == ("Hello world", 1.0, True, "app")
-    assert "date" not in spark.read.parquet(f"{target}/metrics.parquet").columns
+    assert "date" in spark.read.parquet(f"{target}/metrics.parquet").columns
     record = etl.run_row(spark, result, "etl", T0, T0 + timedelta(seconds=5)).first()
-    assert (record.status, record.processing_time_seconds) == ("completed", 5.0)
+    assert (record.status, record.processing_time_seconds) == ("failed", 5.0)
+    assert (record.output_records, len(record.errors)) == (10_095, 2)
+
+
+def test_a_broken_source_and_equal_names(spark, tmp_path):
+    """Two months of one name, one source without its timestamp, and a suffix apart."""
+    schema = "user_id string, timestamp timestamp, interaction_type string"
+    for month, n in (("month1", 10), ("month2", 20)):
+        rows = [(f"u{k}", T0 + timedelta(minutes=k), "view") for k in range(n)]
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{month}/interactions.parquet")
+    spark.createDataFrame([("u", "view")], "user_id string, interaction_type string").write.parquet(f"{tmp_path}/broken_interactions.parquet")
+    paths = [f"{tmp_path}/{n}" for n in ("month1/interactions.parquet", "month2/interactions.parquet", "broken_interactions.parquet")]
+    result = etl.run_etl(spark, paths, str(tmp_path / "out"), T0 + timedelta(days=9))
+    assert (result.records_processed, result.records_written, result.datasets_loaded) == (31, 30, 2)
+    assert list(result.not_transformed) == [paths[2]] and "timestamp" in result.not_transformed[paths[2]]
+    assert [spark.read.parquet(f"{tmp_path}/out/{m}/interactions.parquet").count() for m in ("month1", "month2")] == [10, 20]
+    assert set(etl.target_names(["/a/x_metrics.csv", "/a/x_metrics.json"]).values()) == {"x_metrics_csv", "x_metrics_json"}
+    with pytest.raises(ValueError):
+        etl.run_etl(spark, paths, str(tmp_path / "o"), T0, etl.EtlConfig(enable_deduplication=True))
 
 
 def test_failed_dataset_is_not_loaded(spark, tmp_path):
@@ -232,4 +251,18 @@ def test_switches(spark, tmp_path):
     assert run("a").validation_failures == 1
     assert run("b", enable_validation=False).datasets_loaded == 1
     once = run("c", enable_validation=False, enable_deduplication=True, deduplicate_on=("user_id", "timestamp"))
-    assert once.records_processed == 2
+    assert (once.records_processed, once.records_written) == (3, 2)
+
+
+def test_submissions_have_few_attachments(spark):
+    rows = [(1, "title one", "a description that is long enough", "technology", ["t"], ["f"] * n) for n in (5, 6)]
+    table = spark.createDataFrame(rows, "idea_id int, title string, description string, category string, tags array<string>, attachments array<string>")
+    broken = {r.field: r.broken_rows for r in quality.rule_counts(table, quality.submission_rules()).collect()}
+    assert broken["attachments"] == 1 and broken["tags"] == 0
+
+
+def test_newest_ties_and_missing_times(spark):
+    rows = [("a", None, 1), ("b", None, 2), ("b", T0, 3), ("c", T0, 4), ("c", T0, 5)]
+    table = spark.createDataFrame(rows, "k string, t timestamp, v int")
+    got = quality.deduplicate(table, ["k"], "t")
+    assert {r.k: r.v for r in got.collect()} == {"a": 1, "b": 3, "c": 5} and got.columns == table.columns

@@ -21,33 +21,14 @@ def log(spark):
     return spark.createDataFrame(rows, "k string, t timestamp, i long, v double").cache()
 
 
-def test_hot_keys_are_few(log):
-    assert [r.k for r in skew.hot_keys(log, ["k"], share=4, rows_per_slice=10).collect()] == ["hot"]
-    assert skew.hot_keys(log, ["k"], share=4).count() == 0
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_split_join_equals_join(spark, log, how):
-    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("other", 3)], "k string, x int")
-    fact = log.unionByName(log.limit(5).withColumn("k", F.lit(None).cast("string")))
-    split = skew.split_join(fact, dim, ["k"], salt_on=["i"], how=how, share=4, rows_per_slice=90)
-    plain = fact.join(dim, ["k"], how)
-    assert sorted(map(str, split.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
-
-
-def test_split_join_spreads_the_hot_key(spark, log):
-    dim = spark.createDataFrame([("hot", 1)], "k string, x int")
-    assert skew.hot_keys(log, ["k"], 4, 90).first()._slices == 12
-    joined = skew.split_join(log, dim, ["k"], salt_on=["i"], share=4, rows_per_slice=90)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" in plan and joined.count() == log.where("k = 'hot'").count()
-
-
-def test_join_small_falls_back(spark, log):
-    dim = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, x int")
-    small = skew.join_small(log, dim, ["k"], ["i"]).agg(F.sum("x")).first()[0]
-    large = skew.join_small(log, dim, ["k"], ["i"], max_rows=1).agg(F.sum("x")).first()[0]
-    assert small == large
+def test_buckets_hold_alike_with_stray_times_and_bursts(spark):
+    stray = [(0, datetime(1970, 1, 1))]
+    burst = [(k, T0 + timedelta(microseconds=k)) for k in range(900)]
+    wide = [(k, T0 + timedelta(days=k)) for k in range(100)]
+    table = spark.createDataFrame(stray + burst + wide + [(1, None)], "i long, t timestamp")
+    sizes = [r["count"] for r in skew.with_time_bucket(table, "t", 100).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 200
+    assert skew.with_time_bucket(table, "t", 2000) is None
 
 
 @pytest.mark.parametrize("rows_per_bucket", [10**6, 300, 17])
@@ -71,6 +52,9 @@ def test_history_over_buckets_equals_one_window(log, rows_per_bucket):
 
 @pytest.mark.parametrize("rows_per_bucket", [10**6, 100])
 def test_running_count_equals_row_number(log, rows_per_bucket):
+    none = F.lit(None)
+    log = log.withColumn("k", F.when(F.col("i") % 5 == 0, none).otherwise(F.col("k")))
+    log = log.withColumn("t", F.when(F.col("i") % 7 == 0, none).otherwise(F.col("t")))
     got = skew.with_running_count(log, ["k"], "t", ["i"], "n", rows_per_bucket)
     plain = log.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")))
     assert {r.i: r.n for r in got.collect()} == {r.i: r.n for r in plain.collect()}
@@ -86,7 +70,7 @@ def test_large_quantiles_are_exact(spark, shape):
         "constant": np.full(30_000, 2.5),
     }[shape]
     df = spark.createDataFrame([(float(x),) for x in data], "x double")
-    got = quantiles.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0], small=0)
+    got = quantiles.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0])
     assert got == pytest.approx(list(np.quantile(data, [0, 0.25, 0.5, 0.75, 1])))
 
 

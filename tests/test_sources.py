@@ -53,7 +53,10 @@ def test_broken_json_is_kept_apart(spark):
     rows = kafka.parse(messages, schemas.VOTE_EVENT).collect()
     assert rows[0].idea_id == 2 and rows[0].rating == 4.5 and rows[0]._corrupt is None
     assert rows[1].event_id is None and rows[1]._corrupt == "{broken"
-    assert "processing_time" in kafka.parse_votes(messages).columns
+    votes = kafka.parse_votes(messages)
+    assert [row.idea_id for row in votes.collect()] == [2]
+    assert votes.columns == [*schemas.VOTE_EVENT.names, "processing_time"]
+    assert [row.value for row in kafka.dead_votes(messages).collect()] == ["{broken"]
 
 
 def test_envelope_and_keys(spark):

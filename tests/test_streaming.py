@@ -1,3 +1,4 @@
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from agora import schemas
 from agora.operators import users as user_jobs
 from agora.operators import votes as vote_jobs
 from agora.sources import kafka
-from agora.sources.tables import FileTables
+from agora.sources.tables import CatalogTables, FileTables
 from agora.streaming import events as reactions
 from agora.streaming import sinks, stateful
 from agora.streaming import votes as live
@@ -77,13 +78,38 @@ def test_restart_continues_from_the_checkpoint(source, tmp_path):
     assert [tuple(r)[:2] for r in again.collect()] == [("a", 3)]
 
 
-def test_repeated_batch_is_written_once(spark, source, tmp_path):
-    store = FileTables(str(tmp_path / "store"))
+@pytest.mark.parametrize("kind", ["files", "catalogue"])
+def test_batches_of_queries_and_checkpoints_stay_apart(spark, source, tmp_path, kind):
+    """A new checkpoint starts at batch 0 again, as does a second query on the table."""
+    name = f"votes_{uuid.uuid4().hex}"
+    store = FileTables(str(tmp_path / "store")) if kind == "files" else CatalogTables()
     source.add([vote(1, "a", 0)])
-    for checkpoint in ("one", "two"):  # a lost checkpoint repeats batch 0
-        sinks.run_available(sinks.to_table(source.stream(), store, "votes", f"{tmp_path}/{checkpoint}", "append"))
-    rows = store.read(spark, "votes").collect()
-    assert [(r.event_id, r.batch_id) for r in rows] == [("0001", 0)]
+    for checkpoint in ("one", "two", "one"):
+        sinks.run_available(sinks.to_table(source.stream(), store, name, f"{tmp_path}/{checkpoint}", "append"))
+    rows = store.read(spark, name).collect()
+    assert [r.event_id for r in rows] == ["0001"] * 2 and {r.batch_id for r in rows} == {0}
+    assert len({r.query_id for r in rows}) == 2
+
+
+@pytest.mark.parametrize("kind", ["files", "catalogue"])
+def test_a_repeated_batch_replaces_its_half(spark, tmp_path, kind):
+    name = f"halves_{uuid.uuid4().hex}"
+    store = FileTables(str(tmp_path / "store")) if kind == "files" else CatalogTables()
+    store.write_batch(spark.range(4), name, "q", 0)
+    store.write_batch(spark.range(10), name, "q", 0)
+    store.write_batch(spark.range(5), name, "q", 1)
+    store.write_batch(spark.range(3), name, "r", 0)
+    got = {tuple(r)[:2]: r["count"] for r in store.read(spark, name).groupBy("query_id", "batch_id").count().collect()}
+    assert got == {("q", 0): 10, ("q", 1): 5, ("r", 0): 3}
+
+
+def test_a_failing_store_is_not_a_missing_table(spark, tmp_path):
+    (tmp_path / "broken.parquet").mkdir()
+    (tmp_path / "broken.parquet" / "part-0.parquet").write_text("no table")
+    store = FileTables(str(tmp_path))
+    assert not store.exists(spark, "nowhere")
+    with pytest.raises(Exception):
+        store.exists(spark, "broken")
 
 
 def test_three_queries_with_their_own_checkpoints(spark, source, tmp_path):
