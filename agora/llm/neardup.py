@@ -116,44 +116,32 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, shingles): the full set of every document, as 64-bit hashes."""
+def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest, shingles, fine): the full set of every document, and its longer signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_hash)
         for batch in batches:
-            sets = [np.unique(shingle_hashes(hashed(lower_words(text), memo), shingle)) for text in utf8(batch.column(1))]
-            arrays = [
-                batch.column(0),
-                pa.array([_digest(found) for found in sets], pa.binary()),
-                pa.array([found.view(np.int64) for found in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "shingles"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                sets = [np.unique(shingle_hashes(hashed(lower_words(text), memo), shingle)) for text in utf8(part.column(1))]
+                arrays = [
+                    part.column(0),
+                    pa.array([_digest(found) for found in sets], pa.binary()),
+                    pa.array([found.view(np.int64) for found in sets], pa.list_(pa.int64())),
+                    pa.array([planes_of(minima(found, FINE_HASHES), FINE_BITS) for found in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "shingles", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id bigint, digest binary, shingles array<bigint>, fine array<bigint>"
+    )
 
 
 def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def fine_signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, fine): the longer signature of every document with words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_hash)
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(hashed(lower_words(text), memo), shingle)) for text in utf8(batch.column(1))]
-            arrays = [
-                batch.column(0),
-                pa.array([_digest(found) for found in sets], pa.binary()),
-                pa.array([planes_of(minima(found, FINE_HASHES), FINE_BITS) for found in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "fine"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, fine array<bigint>")
-
-
 def estimate(left: Column, right: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
     """Similarity from two packed signatures, corrected for chance agreement."""
     lanes = hashes // 64
@@ -281,25 +269,19 @@ def _linked(
         .where(estimate(F.col("bits_a"), F.col("bits_b")) >= floor)
         .select("a", "b")
     )
-    stars = stored(spark, stars, "stars")
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b"))
-    links = stored(spark, confirmed(stars, _sets(docs, wanted, shingle), percent), "star-links")
+    # The texts are read once more, for the classes with company only.
+    chosen = docs.select("doc_id", "text").join(bits.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = stored(spark, full_sets(chosen, shingle).dropDuplicates(["doc_id", "digest"]), "sets")
+    links = stored(spark, confirmed(stars, sets, percent), "star-links")
     merged = components(spark, links)
-    more = _between(spark, members.select("bucket", "rep", "size"), merged, classes, docs, shingle, percent)
-    wanted = more.select(F.col("a").alias("doc_id")).union(more.select("b"))
-    extra = confirmed(more, _sets(docs, wanted, shingle), percent)
+    more = _between(spark, members.select("bucket", "rep", "size"), merged, classes, sets, percent)
+    extra = confirmed(more, sets, percent)
     several = versions.select("doc_id", F.explode(F.array("a", "b")).alias("b")).select(F.col("doc_id").alias("a"), "b")
     return components(spark, links.unionByName(extra).unionByName(several))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Full sets of the wanted ids, each once."""
-    chosen = docs.select("doc_id", "text").join(wanted.distinct(), "doc_id", "left_semi")
-    return shingle_sets(chosen, shingle).dropDuplicates(["doc_id", "digest"])
-
-
 def _between(
-    spark: SparkSession, members: DataFrame, merged: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int
+    spark: SparkSession, members: DataFrame, merged: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 ) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket and may be similar enough."""
     labelled = members.join(merged, members.rep == merged.node, "left").select(
@@ -308,11 +290,9 @@ def _between(
     several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     several = several.where("low <> high").select("bucket")
     opened = stored(spark, labelled.join(several, "bucket", "left_semi"), "open-buckets")
-    wanted = opened.select(F.col("rep").alias("doc_id")).distinct()
-    fine = fine_signatures(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle)
     known = classes.select(F.col("rep").alias("doc_id"), "digest", "n", "bands")
-    signed = fine.dropDuplicates(["doc_id", "digest"]).join(known, ["doc_id", "digest"])
-    signed = stored(spark, signed.withColumnRenamed("doc_id", "rep").drop("digest"), "fine-signatures")
+    signed = sets.select("doc_id", "digest", "fine").join(known, ["doc_id", "digest"])
+    signed = signed.withColumnRenamed("doc_id", "rep").drop("digest")
     rows = opened.dropDuplicates(["bucket", "rep"]).join(signed, "rep").where(F.array_contains("bands", F.col("bucket")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
 
