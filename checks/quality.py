@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from agora import schemas
+from agora import schemas, session
 from agora.functions import scores, text
 from agora.operators import quality as jobs
 from agora.plans import etl
@@ -473,3 +475,45 @@ def _(t):
 def _(t):
     as_text = t.rated_ideas.select("idea_id", F.col("vote_count").cast("string").alias("vote_count"))
     return as_text.select("idea_id", scores.volume_score("vote_count", 100.0).alias("engagement"))
+
+
+def _run_two_halves(t):
+    """An ETL run over two datasets of one file name and one that lacks its timestamp."""
+    folder = session.scratch_path(t.spark, "etl-run")
+    half = F.dayofmonth("timestamp") <= 15
+    t.thoughts.where(half).write.parquet(f"{folder}/in/first/thoughts.parquet")
+    t.thoughts.where(~half).write.parquet(f"{folder}/in/second/thoughts.parquet")
+    t.interactions.drop("timestamp").write.parquet(f"{folder}/in/broken_interactions.parquet")
+    paths = [f"{folder}/in/{name}.parquet" for name in ("first/thoughts", "second/thoughts", "broken_interactions")]
+    result = etl.run_etl(t.spark, paths, f"{folder}/out", AS_OF, etl.EtlConfig(enable_validation=False))
+    return result, f"{folder}/out"
+
+
+@query(
+    "etl_loaded_rows",
+    "dataset:s row_count:i id_sum:i words:i",
+    f"""SELECT CASE WHEN day("timestamp") <= 15 THEN 'first/thoughts' ELSE 'second/thoughts' END AS dataset,
+              count(*) AS row_count, sum(thought_id) AS id_sum, sum({_words("clean")}) AS words
+       FROM (SELECT *, {CLEAN_TEXT} AS clean FROM thoughts) GROUP BY 1""",
+)
+def _(t):
+    result, target = _run_two_halves(t)
+    parts = [
+        t.spark.read.parquet(f"{target}/{name}.parquet").select(F.lit(name).alias("dataset"), "thought_id", "word_count")
+        for name in ("first/thoughts", "second/thoughts")
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("thought_id").alias("id_sum"), F.sum("word_count").alias("words")
+    )
+
+
+@query(
+    "etl_run_report",
+    "status:s input_records:i output_records:i error_records:i failed_datasets:i",
+    """SELECT 'failed' AS status, (SELECT count(*) FROM thoughts) + (SELECT count(*) FROM interactions) AS input_records,
+              (SELECT count(*) FROM thoughts) AS output_records, 0 AS error_records, 1 AS failed_datasets""",
+)
+def _(t):
+    result, _ = _run_two_halves(t)
+    moment = datetime(2024, 1, 1)
+    return etl.run_row(t.spark, result, "etl", moment, moment).withColumn("failed_datasets", F.size("errors"))
