@@ -58,24 +58,25 @@ DEPENDENT = 0.08
 
 _WORDS = re.compile(r"[^\W\d_]{3,}")
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}")
-_MASKED = re.compile(r"[^\W\d_][*@#$%]{2,}[^\W\d_]")
-_RUN = re.compile(r"\b(\w{2,})\b(?:\W+\1\b){2}")
+_MASKED = re.compile(r"(?<=[^\W\d_])[*@#$%]{2,}(?=[^\W\d_])")
+# Words that speak to the reader.
+_YOU = frozenset("you your yours dich dir dein deine toi tes ton usted tus".split())
 #: Pattern voters by name, in the order of their numbers.
 PATTERNS = ("shouting", "exclaiming", "masked", "stuttering", "you")
 
 
-def patterns_of(text: str, words: int) -> list[int]:
-    """Numbers of the pattern voters that fire on a text of so many distinct words."""
+def patterns_of(text: str, words: list[str], distinct: set[str]) -> list[int]:
+    """Numbers of the pattern voters that fire on a text with these words in order."""
     fired = []
-    if 4 * len(_CAPITALS.findall(text)) > words:
+    if 4 * len(_CAPITALS.findall(text)) > len(words):
         fired.append(0)
-    if 10 * text.count("!") > words:
+    if 10 * text.count("!") > len(words):
         fired.append(1)
-    if _MASKED.search(text):
+    if any(mark in text for mark in "*@#$%") and _MASKED.search(text):
         fired.append(2)
-    if _RUN.search(text):
+    if 3 * len(distinct) < 2 * len(words) and any(x == y == z for x, y, z in zip(words, words[1:], words[2:])):
         fired.append(3)
-    if re.search(r"\b(?:you|your|du|dich|tu|toi|tú|te)\b", text, re.IGNORECASE):
+    if not distinct.isdisjoint(_YOU):
         fired.append(4)
     return fired
 
@@ -93,8 +94,8 @@ def marks(count: int, words: int) -> list[str]:
     return found
 
 
-def distinct_words(text: str) -> set[str]:
-    return set(_WORDS.findall(text.lower()))
+def words_in(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
 
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -121,7 +122,7 @@ def mined_terms(sample: DataFrame, most: int = MOST_TERMS) -> list[tuple[str, fl
         memo = Memo(terms_of_word)
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = distinct_words(text.as_py())
+                words = set(words_in(text.as_py()))
                 counts = Counter(term for word in words for term in memo[word])
                 found[1 if toxic else 0].update(
                     f"{term}|{mark}" for term, n in counts.items() for mark in marks(n, len(words))
@@ -176,12 +177,13 @@ class Features:
         return tuple(stem for stem in terms_of_word(word) if stem in self.stems)
 
     def __call__(self, text: str) -> set[int]:
-        words = distinct_words(text)
+        in_order = words_in(text)
+        words = set(in_order)
         counts = Counter(stem for stems in filter(None, map(self.memo.__getitem__, words)) for stem in stems)
         names = (f"{stem}|{mark}" for stem, count in counts.items() for mark in marks(count, len(words)))
         found = {self.numbers[name] for name in names if name in self.numbers}
         first = self.size - len(PATTERNS)
-        found.update(first + number for number in patterns_of(text, len(words)))
+        found.update(first + number for number in patterns_of(text, in_order, words))
         return found
 
 

@@ -7,6 +7,8 @@ from agora.llm import html, langid, quality, toxicity
 from llm_cases import documents, prose
 
 MIDDLE = "/root/testdata/sf0.01"
+#: Groups of a language and source hold some ten documents in the middle table, too few to judge by.
+LARGE = "/root/testdata/sf0.1"
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -54,8 +56,8 @@ def test_languages_of_held_out_documents(spark):
 
 
 def test_quality_against_labels(spark):
-    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
-    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect()}
     found = [r for r in quality.quality_verdicts(spark, docs).collect() if r["doc_id"] in good and not r["base_failed"]]
     kept = [r["kept"] for r in found if good[r["doc_id"]]]
     rejected = [not r["kept"] for r in found if not good[r["doc_id"]]]
