@@ -8,7 +8,9 @@ segments allow, as in Pass-Join). Lines that meet are compared by a banded bit-p
 distance. Lines shorter than ``least`` code points match exactly only: in them a few edits
 make another line.
 
-Only hashes travel for the search. Keys with one line are dropped where they are gathered,
+Only hashes travel for the search, and with them the parities of a line's characters, dealt
+to 64 places: an edit changes two at most, so pairs of lines that share a segment but differ
+in more are dropped where they meet. Keys with one line are dropped where they are gathered,
 and what is left is dealt to blocks, so a segment that very many lines share is spread.
 Linked lines are classes; the first line of a class, by document id and line number, is kept.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from agora.llm.common import stored
+from agora.llm.common import Memo, stored
 from agora.llm.components import components
 
 EDITS = 2
@@ -115,6 +117,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.btrim("line", F.lit(EDGES))).where("line <> ''")
 
 
+def parities(line: str, places: Memo) -> int:
+    """Bit k says whether the characters that fall to place k are odd in number."""
+    bits = 0
+    for char in line:
+        bits ^= places[char]
+    return bits
+
+
 def _handle(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -124,14 +134,15 @@ def _digest(line: Column) -> Column:
 
 
 def keys_of_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """(key, handle, indexed): the index keys and the probe keys of every line."""
+    """(key, handle, parity, indexed): the index keys and the probe keys of every line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         plans: dict[int, tuple[list, list]] = {}
         hashed = xxhash.xxh3_64_intdigest
+        places = Memo(lambda char: 1 << (hashed(char.encode()) & 63))
         for batch in batches:
-            keys, handles, sizes, marks = [], [], [], []
+            keys, handles, odd, sizes, marks = [], [], [], [], []
             for text in batch.column(0):
                 for line in text.as_py().split("\n"):
                     line = line.strip(EDGES)
@@ -154,18 +165,22 @@ def keys_of_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
                     keys += [hashed(line[a:b].encode(), seed) for a, b, seed in cuts]
                     keys += [hashed(line[a:b].encode(), seed) for a, b, seed in tries]
                     handles.append(handle)
+                    odd.append(parities(line, places))
                     sizes.append(len(cuts) + len(tries))
                     marks += [True] * len(cuts) + [False] * len(tries)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
                     pa.array(np.repeat(np.array(handles, dtype=np.uint64), sizes).view(np.int64)),
+                    pa.array(np.repeat(np.array(odd, dtype=np.uint64), sizes).view(np.int64)),
                     pa.array(marks, pa.bool_()),
                 ],
-                ["key", "handle", "indexed"],
+                ["key", "handle", "parity", "indexed"],
             )
 
-    return docs.select("text").where("text IS NOT NULL").mapInArrow(run, "key bigint, handle bigint, indexed boolean")
+    return docs.select("text").where("text IS NOT NULL").mapInArrow(
+        run, "key bigint, handle bigint, parity bigint, indexed boolean"
+    )
 
 
 def candidates(spark: SparkSession, docs: DataFrame, edits: int, least: int) -> DataFrame:
@@ -177,14 +192,16 @@ def candidates(spark: SparkSession, docs: DataFrame, edits: int, least: int) ->
     shared = dealt.withColumn("low", F.min("handle").over(one_key)).withColumn(
         "high", F.max("handle").over(one_key)
     )
-    shared = stored(spark, shared.where("low <> high").select("key", "handle", "indexed"), "shared-keys")
+    shared = stored(spark, shared.where("low <> high").select("key", "handle", "parity", "indexed"), "shared-keys")
     sizes = shared.where("indexed").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     placed = shared.join(sizes, "key")
-    index = placed.where("indexed").select("key", F.pmod(F.xxhash64("handle"), F.col("blocks")).alias("block"), F.col("handle").alias("b"))
+    index = placed.where("indexed").select("key", F.pmod(F.xxhash64("handle"), F.col("blocks")).alias("block"), F.col("handle").alias("b"), F.col("parity").alias("parity_b"))
     probe = placed.where("NOT indexed").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("handle").alias("a")
+        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("handle").alias("a"), F.col("parity").alias("parity_a")
     )
-    return probe.join(index, ["key", "block"]).where("a <> b").select("a", "b").distinct()
+    alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * edits
+    met = (probe.key == index.key) & (probe.block == index.block) & (F.col("a") != F.col("b")) & alike
+    return probe.join(index, met).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -209,7 +226,8 @@ def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least:
     pairs = stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("handle")).union(pairs.select("b")).distinct()
     lines = occurrences(docs).select(_handle(F.col("line")).alias("handle"), "line").where(F.length("line") >= least)
-    lines = lines.join(wanted, "handle", "left_semi").dropDuplicates(["handle", "line"])
+    # Dealt out at any size, so that the plan for a large corpus is the one for a small one.
+    lines = lines.join(wanted.hint("merge"), "handle", "left_semi").dropDuplicates(["handle", "line"])
     found = verified(pairs, stored(spark, lines, "lines"), edits)
     return stored(spark, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
 

@@ -269,8 +269,10 @@ def _linked(
         .where(estimate(F.col("bits_a"), F.col("bits_b")) >= floor)
         .select("a", "b")
     )
-    # The texts are read once more, for the classes with company only.
-    chosen = docs.select("doc_id", "text").join(bits.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # The texts are read once more, for the classes with company only; dealt out at any size,
+    # so that the plan for a large corpus is the one for a small one.
+    wanted = bits.select(F.col("rep").alias("doc_id")).hint("merge")
+    chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = stored(spark, full_sets(chosen, shingle).dropDuplicates(["doc_id", "digest"]), "sets")
     links = stored(spark, confirmed(stars, sets, percent), "star-links")
     merged = components(spark, links)
