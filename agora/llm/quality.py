@@ -294,10 +294,11 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOF
 def quality_filter(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The documents that pass, with their own columns; cases as in :func:`quality_verdicts`.
 
-    The statistics are computed a second time instead of joined by id, because ids may repeat.
+    The vectors are written next to the documents, once, and not joined by id: ids may repeat.
+    A filter on computed counts would be pushed below them and compute them several times.
     """
     own = docs.columns
     packed = docs.select(F.struct(*own).alias("_doc"), "text", "lang", "source")
     rows = with_groups(with_statistics(packed)).select("_doc", *_GROUPS, "base_failed", *_VECTOR)
-    fitted = stored(spark, rows.select(*_GROUPS, "base_failed", *_VECTOR), "quality-vectors")
-    return judged(rows, fit(spark, fitted), cutoff).where("kept").select("_doc.*")
+    rows = stored(spark, rows, "quality-documents")
+    return judged(rows, fit(spark, rows), cutoff).where("kept").select("_doc.*")
