@@ -143,7 +143,7 @@ def _distance(a, b):
 def _edited(text, pick, edits):
     out = list(text)
     for _ in range(edits):
-        place = pick.randrange(len(out))
+        place = pick.randrange(len(out) + 1)
         out[place : place + pick.randint(0, 1)] = pick.choice(["", "x", "y", "é"])
     return "".join(out)
 
@@ -316,6 +316,6 @@ def test_hot_source_is_taken_to_its_target(spark):
 def test_ranks_by_hand(spark):
     docs = documents(spark, [(k, t, lang, "s") for k, (t, lang) in enumerate([("ab ab ab", "x"), ("cd cd", "y"), ("ab", None), (None, "x")] * 6)])
     ranked = langid.learn(docs)
-    assert ranked["x"][0] == "a" and set(ranked["x"]) == set(langid.grams_of("ab")) and set(ranked) == {"x", "y"}
+    assert ranked["x"][0] == "_a" and set(ranked["x"]) == set(langid.grams_of("ab")) and set(ranked) == {"x", "y"}
     judge = langid.Judge(ranked)
     assert judge("ab") == ("x", 1.0) and judge("12 ²") == ("und", 0.0) and judge(None) == ("und", 0.0) and judge("中")[1] == 0.0
