@@ -2,7 +2,9 @@
 
 1. Markup is stripped. Every block element begins a new line. Text inside elements that are
    never the article (menus, footers, forms, scripts, adverts, comments and the like, by
-   element, role and class names) leaves an empty line.
+   element, role and class names) leaves an empty line. Inside a marked article names count
+   only as whole classes or roles, headings are never skipped by name, and sections with such
+   a name are text that the block sums judge.
 2. A line's block is the sum of the text lengths of a sliding window of lines that starts
    there. In the sequence of the block sums a surge is where the sum rises above a threshold
    after text was thin, a dive is where it has fallen to zero; lines between a surge and the
@@ -35,8 +37,8 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul".split()
 )
 NEVER = frozenset(
-    "applet audio button canvas datalist dialog embed fieldset footer form head iframe input label map math menu nav noframes "
-    "noscript object option select svg template textarea title video aside".split()
+    "applet audio button canvas datalist dialog embed fieldset footer form head iframe input map menu nav noframes noscript "
+    "option select svg template textarea title video aside".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark something else than the article.
@@ -50,6 +52,7 @@ OTHER = frozenset(
 #: The same, but only outside the article: inside, these belong to it.
 OUTSIDE = frozenset("alert contentinfo copyright foot footer head header masthead secondary search site".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words before one of the above that say an element only has, or lacks, such a part.
 _HAVING = frozenset("with has have no without show hide".split())
 _MARKED = re.compile(r"""(?:role\s*=\s*["']?(?:main|article)\b|itemprop\s*=\s*["']?articleBody\b)""", re.IGNORECASE)
@@ -58,9 +61,12 @@ _HIDDEN = re.compile(
     re.IGNORECASE,
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+_CLASSES = re.compile(r"""(?:^|\s)(?:class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+#: Whole names of comments and of the parts of a comment section.
+_COMMENTS = re.compile(r"(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?:[-_](?:list|area|section|thread|body|content|\d+))*")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|xmp)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)",
+    r"<!--.*?(?:-->|$)|<(script|style|xmp)\b[^>]*>.*?(?:</\1\s*>|$)|<(annotation(?:-xml)?)\b[^>]*>.*?</\2\s*>|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)",
     re.IGNORECASE | re.DOTALL,
 )
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)""")
@@ -69,27 +75,35 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(>|$)|
 class Line:
     """Text of one block, with the length of its links and whether it is in the article."""
 
-    __slots__ = ("parts", "linked", "article")
+    __slots__ = ("parts", "linked", "article", "doubted")
 
-    def __init__(self, article: int):
+    def __init__(self, article: int, doubted: int = 0):
         self.parts: list[str] = []
         self.linked = 0
         self.article = article
+        self.doubted = doubted
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def _whole(attributes: str) -> list[str]:
+    """The whole names in class and role."""
+    return [name.lower() for value in _CLASSES.findall(attributes) for name in value.strip("\"'").split()]
+
+
 def _other(attributes: str, inside: bool) -> bool:
     """Whether names or style say that an element isn't part of the article."""
     if not attributes.strip():
         return False
     if _HIDDEN.search(attributes):
         return True
+    if inside:
+        return any(name in OTHER or _COMMENTS.fullmatch(name) for name in _whole(attributes))
     for value in _NAMES.findall(attributes):
         words = [word.lower() for word in _PARTS.findall(value)]
         for before, word in zip(["", *words], words):
-            if before not in _HAVING and (word in OTHER or (not inside and word in OUTSIDE)):
+            if before not in _HAVING and (word in OTHER or word in OUTSIDE):
                 return True
     return False
 
@@ -106,15 +120,16 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
     """The lines of a page; skipped elements leave an empty one."""
     page = _UNSEEN.sub(" ", page)
     lines = [Line(0)]
+    doubted = 0  # open sections of an article, from the one on whose name raises doubt
     article, articles, depth = 0, 0, 0  # number of the article, how many there were, its open elements
     opened: list[str] = []  # names of the elements that opened an article, inside each other
     skipped, nested, in_link, at = "", 0, 0, 0
 
     def new_line() -> None:
         if lines[-1].parts:
-            lines.append(Line(article))
+            lines.append(Line(article, doubted))
         else:
-            lines[-1].article = article
+            lines[-1].article, lines[-1].doubted = article, doubted
 
     for tag in _TAG.finditer(page):
         if not skipped and tag.start() > at:
@@ -141,7 +156,7 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                     if nested <= 0:
                         skipped = ""
                         new_line()
-                        lines.append(Line(article))
+                        lines.append(Line(article, doubted))
                     continue
                 skipped = ""
             else:
@@ -161,8 +176,11 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                     new_line()
                     opened.pop()
                     article = articles if opened else 0
+                    doubted = 0 if not opened else doubted
                     lines.append(Line(article))
                     continue
+            if doubted and name == "section":
+                doubted -= 1
             if name in BLOCKS:
                 new_line()
             continue
@@ -175,9 +193,19 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
         drop = name in NEVER or (name == "header" and not opened)
         if by_names and not drop and name not in ("html", "body") and (not marks or other):
             drop = other if marks else _other(attributes, bool(opened))
+            if drop and opened and not marks and not _HIDDEN.search(attributes):
+                if name in HEADINGS:
+                    drop = False
+                elif name == "section" and not any(map(_COMMENTS.fullmatch, _whole(attributes))):
+                    drop, doubted = False, doubted + 1
+                    new_line()
+                    lines.append(Line(article, doubted))
+                    continue
+        if doubted and name == "section" and not drop:
+            doubted += 1
         if drop and not attributes.rstrip().endswith("/"):
             new_line()
-            lines.append(Line(article))
+            lines.append(Line(article, doubted))
             skipped, nested = name, 1
             continue
         if marks:
@@ -211,6 +239,12 @@ def between(sums: list[int], lengths: list[int], surge: int) -> list[bool]:
     return kept
 
 
+def _kept(lengths: list[int], window: int, surge: int) -> list[bool]:
+    """Which lines that count as text are kept, by their block sums."""
+    sums = [sum(lengths[place : place + window]) for place in range(len(lengths))]
+    return [keep and length > 0 for keep, length in zip(between(sums, lengths, surge), lengths)]
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page, one line per block; empty if there is none."""
     if not page:
@@ -223,17 +257,20 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             by_article[line.article] = by_article.get(line.article, 0) + len(text)
     if by_article:
         best = max(by_article, key=lambda number: (by_article[number], -number))
-        lengths = [len(text) if line.article == best else 0 for line, text in zip(lines, texts)]
-        surge = 1
+        lengths = [len(text) if line.article == best and not line.doubted else 0 for line, text in zip(lines, texts)]
+        doubts = [
+            len(text) if line.article == best and line.doubted and line.linked <= LINKED * len(text) else 0
+            for line, text in zip(lines, texts)
+        ]
+        kept = _kept(lengths, window, 1)
+        kept = [sure or doubt for sure, doubt in zip(kept, _kept(doubts, window, surge))]
     else:
         if sum(map(len, texts)) < surge:  # the names may have meant the page as a whole
             lines = stripped(page, by_names=False)
             texts = [line.text() for line in lines]
         lengths = [0 if line.linked > LINKED * len(text) else len(text) for line, text in zip(lines, texts)]
-        surge = min(surge, max(lengths, default=0))
-    sums = [sum(lengths[place : place + window]) for place in range(len(lengths))]
-    kept = between(sums, lengths, max(surge, 1))
-    return "\n".join(text for text, length, keep in zip(texts, lengths, kept) if keep and length)
+        kept = _kept(lengths, window, max(min(surge, max(lengths, default=0)), 1))
+    return "\n".join(text for text, keep in zip(texts, kept) if keep)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

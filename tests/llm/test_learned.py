@@ -90,6 +90,29 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "A part of the article with a name, long enough that its block sum alone is a surge of the text."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article>{BODY}<section id='related-work'><h2 id='search-methods'>Search</h2><p>short</p></section></article>", f"{TEXT}\nSearch\nshort"),
+        (f"<article>{BODY}<section id='Social_structure'><p>short</p></section><p id='notice-3'>a</p></article>", f"{TEXT}\nshort\na"),
+        (f"<article>{BODY}<div class='form-of-government'><p>short</p></div><h3 class=related>b</h3></article>", f"{TEXT}\nshort\nb"),
+        (f"<article>{BODY}<section class='social'><p>{LONG}</p></section></article>", f"{TEXT}\n{LONG}"),
+        (f"<article>{BODY}<section class='social'><a>share</a></section><section class=comments><p>{LONG}</p></section></article>", TEXT),
+        (f"<article>{BODY}<section class='social'><section><p>a</p></section><p>b</p></section><p>c</p></article>", f"{TEXT}\nc"),
+        (
+            "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> and "
+            "<label>one</label>, <object data=f>two</object></p></article>",
+            "so x=1 and one, two",
+        ),
+    ],
+)
+def test_main_text_of_named_parts(page, text):
+    assert html.main_text(page) == text
+
+
 def test_main_text_of_the_given_pages(spark):
     """The given pages mark their article; its text, block by block, is what is wanted."""
     import html as entities
