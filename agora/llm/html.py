@@ -9,8 +9,11 @@
    there. In the sequence of the block sums a surge is where the sum rises above a threshold
    after text was thin, a dive is where it has fallen to zero; lines between a surge and the
    next dive are kept.
-3. A page that marks its article (``article``, ``main``, or a role or property that says so)
-   tells where to look: only its lines count as text, and any text there is a surge.
+3. A page that marks its articles (``article``, ``main``, or a role or property that says so)
+   gives its lines weights: in an article any text is a surge, outside only much text is.
+   All articles count but comments and teasers; those in an element that is skipped and closed
+   count only if there are no others, those in a comment section never. Lines of each weight
+   have block sums of their own.
 
 Markup may be broken: elements that are never closed, or a page that breaks off.
 """
@@ -29,6 +32,8 @@ WINDOW = 3
 SURGE = 80
 #: Share of link text from which on a line of an unmarked page is a menu.
 LINKED = 0.5
+#: Weight of text outside the articles of a page that marks them.
+UNMARKED = 0.25
 
 # Elements by what they mean for the text.
 BLOCKS = frozenset(
@@ -63,7 +68,10 @@ _HIDDEN = re.compile(
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _CLASSES = re.compile(r"""(?:^|\s)(?:class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 #: Whole names of comments and of the parts of a comment section.
-_COMMENTS = re.compile(r"(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?:[-_](?:list|area|section|thread|body|content|\d+))*")
+_COMMENTS = re.compile(
+    r"(?:(?:post|article|page|entry|user|reader|all|wp)[-_])?(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)"
+    r"(?:[-_]?(?:list|area|section|thread|wrap|wrapper|container|block|box|body|content|\d+))*"
+)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|xmp)\b[^>]*>.*?(?:</\1\s*>|$)|<(annotation(?:-xml)?)\b[^>]*>.*?</\2\s*>|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)",
@@ -73,15 +81,20 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(>|$)|
 
 
 class Line:
-    """Text of one block, with the length of its links and whether it is in the article."""
+    """Text of one block, with the length of its links and where it stands.
+
+    ``article`` is the number of its article or 0, ``doubted`` says that a section's name speaks
+    against it, ``aside`` that it is in an element that was skipped up to an article.
+    """
 
-    __slots__ = ("parts", "linked", "article", "doubted")
+    __slots__ = ("parts", "linked", "article", "doubted", "aside")
 
-    def __init__(self, article: int, doubted: int = 0):
+    def __init__(self, article: int, doubted: int = 0, aside: bool = False):
         self.parts: list[str] = []
         self.linked = 0
         self.article = article
         self.doubted = doubted
+        self.aside = aside
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -113,7 +126,28 @@ def _other_article(attributes: str) -> bool:
     if _HIDDEN.search(attributes):
         return True
     names = (name.lower() for value in _NAMES.findall(attributes) for name in value.strip("\"'").split())
-    return any(name in OTHER or name.startswith("comment") for name in names)
+    return any(name in OTHER or name.startswith(("comment", "teaser")) for name in names)
+
+
+def _of_comments(name: str, attributes: str) -> bool:
+    """Whether an element is, by a whole name, a section of comments."""
+    if not attributes or name in HEADINGS or name in ("p", "span", "a"):
+        return False
+    names = (part.lower() for value in _NAMES.findall(attributes) for part in value.strip("\"'").split())
+    return any(map(_COMMENTS.fullmatch, names))
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where the elements that are closed end, by where they start."""
+    ends: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    for tag in _TAG.finditer(page):
+        own = starts.setdefault((tag[2] or tag[6]).lower(), [])
+        if not (tag[1] or tag[5]):
+            own.append(tag.start())
+        elif own:
+            ends[own.pop()] = tag.end()
+    return ends
 
 
 def stripped(page: str, by_names: bool = True) -> list[Line]:
@@ -124,12 +158,17 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
     article, articles, depth = 0, 0, 0  # number of the article, how many there were, its open elements
     opened: list[str] = []  # names of the elements that opened an article, inside each other
     skipped, nested, in_link, at = "", 0, 0, 0
+    since, comments, inner = 0, False, 0  # of what is skipped: its start, its kind, open elements in it named as the article's
+    until, ends = 0, None  # end of an element that was skipped up to an article
+
+    def line() -> Line:
+        return Line(article, doubted, at < until)
 
     def new_line() -> None:
         if lines[-1].parts:
-            lines.append(Line(article, doubted))
+            lines.append(line())
         else:
-            lines[-1].article, lines[-1].doubted = article, doubted
+            lines[-1].article, lines[-1].doubted, lines[-1].aside = article, doubted, at < until
 
     for tag in _TAG.finditer(page):
         if not skipped and tag.start() > at:
@@ -138,13 +177,19 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
             if in_link:
                 lines[-1].linked += len(text.strip())
         at = tag.end()
+        if until and at >= until:
+            new_line()
+            until = 0
         closing, name = tag[1] or tag[5] or "", (tag[2] or tag[6]).lower()
         attributes = tag[3] or tag[7] or ""
         marks = not closing and (name in ARTICLE or (attributes and _MARKED.search(attributes) is not None))
         other = marks and by_names and name != "main" and _other_article(attributes)
         if skipped:
-            if marks and not other and skipped not in ARTICLE and not opened:
+            if marks and not other and skipped not in ARTICLE and not opened and (not comments or name == "main"):
                 skipped = ""  # what was never closed ends where the article begins
+                if ends is None:
+                    ends = _ends(page)
+                until = max(until, ends.get(since, 0))
             elif name == skipped:
                 if closing:
                     nested -= 1
@@ -156,16 +201,22 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                     if nested <= 0:
                         skipped = ""
                         new_line()
-                        lines.append(Line(article, doubted))
+                        lines.append(line())
                     continue
                 skipped = ""
             else:
                 if closing and name in ("body", "html"):
                     skipped = ""
-                elif closing and opened and name == opened[-1]:
-                    skipped = ""  # the article closes before what was opened in it
-                else:
+                elif not opened or name != opened[-1]:
+                    continue
+                elif not closing:
+                    inner += 1
                     continue
+                elif inner:
+                    inner -= 1
+                    continue
+                else:
+                    skipped = ""  # the article closes before what was opened in it
         if closing:
             if name == "a":
                 in_link = 0
@@ -177,7 +228,7 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                     opened.pop()
                     article = articles if opened else 0
                     doubted = 0 if not opened else doubted
-                    lines.append(Line(article))
+                    lines.append(line())
                     continue
             if doubted and name == "section":
                 doubted -= 1
@@ -199,14 +250,15 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                 elif name == "section" and not any(map(_COMMENTS.fullmatch, _whole(attributes))):
                     drop, doubted = False, doubted + 1
                     new_line()
-                    lines.append(Line(article, doubted))
+                    lines.append(line())
                     continue
         if doubted and name == "section" and not drop:
             doubted += 1
         if drop and not attributes.rstrip().endswith("/"):
             new_line()
-            lines.append(Line(article, doubted))
+            lines.append(line())
             skipped, nested = name, 1
+            since, comments, inner = tag.start(), by_names and _of_comments(name, attributes), 0
             continue
         if marks:
             new_line()
@@ -215,7 +267,7 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                 article = articles
             opened.append(name)
             depth = 0
-            lines.append(Line(article))
+            lines.append(line())
             continue
         if opened and name == opened[-1]:
             depth += 1
@@ -239,7 +291,37 @@ def between(sums: list[int], lengths: list[int], surge: int) -> list[bool]:
     return kept
 
 
-def _kept(lengths: list[int], window: int, surge: int) -> list[bool]:
+def _weights(lines: list[Line], texts: list[str], surge: int) -> list[float]:
+    """The weights of the lines of a page that marks its articles; none if there is no text in any.
+
+    An article that is mostly links is a teaser if there are others.
+    """
+    size: dict[int, int] = {}
+    links: dict[int, int] = {}
+    usual: dict[int, bool] = {}
+    for line, text in zip(lines, texts):
+        if line.article and text:
+            size[line.article] = size.get(line.article, 0) + len(text)
+            links[line.article] = links.get(line.article, 0) + line.linked
+            usual[line.article] = usual.get(line.article, True) and not line.aside
+    if not size:
+        return []
+    found = {number for number in size if usual[number]} or set(size)
+    written = {number for number in found if links[number] <= LINKED * size[number]} or found
+
+    doubt = any(text and line.article in written and not line.doubted for line, text in zip(lines, texts))
+
+    def weight(line: Line) -> float:
+        if not line.article:
+            return 0 if line.aside else UNMARKED
+        if line.article not in found:
+            return 0
+        return 1 if line.article not in written or (doubt and line.doubted) else surge
+
+    return [weight(line) for line in lines]
+
+
+def _kept(lengths: list[float], window: int, surge: int) -> list[bool]:
     """Which lines that count as text are kept, by their block sums."""
     sums = [sum(lengths[place : place + window]) for place in range(len(lengths))]
     return [keep and length > 0 for keep, length in zip(between(sums, lengths, surge), lengths)]
@@ -251,25 +333,22 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         return ""
     lines = stripped(page)
     texts = [line.text() for line in lines]
-    by_article: dict[int, int] = {}
-    for line, text in zip(lines, texts):
-        if line.article and text:
-            by_article[line.article] = by_article.get(line.article, 0) + len(text)
-    if by_article:
-        best = max(by_article, key=lambda number: (by_article[number], -number))
-        lengths = [len(text) if line.article == best and not line.doubted else 0 for line, text in zip(lines, texts)]
-        doubts = [
-            len(text) if line.article == best and line.doubted and line.linked <= LINKED * len(text) else 0
-            for line, text in zip(lines, texts)
-        ]
-        kept = _kept(lengths, window, 1)
-        kept = [sure or doubt for sure, doubt in zip(kept, _kept(doubts, window, surge))]
-    else:
-        if sum(map(len, texts)) < surge:  # the names may have meant the page as a whole
-            lines = stripped(page, by_names=False)
-            texts = [line.text() for line in lines]
-        lengths = [0 if line.linked > LINKED * len(text) else len(text) for line, text in zip(lines, texts)]
-        kept = _kept(lengths, window, max(min(surge, max(lengths, default=0)), 1))
+    weights = _weights(lines, texts, surge)
+    if not weights and sum(map(len, texts)) < surge:  # the names may have meant the page as a whole
+        lines = stripped(page, by_names=False)
+        texts = [line.text() for line in lines]
+        weights = _weights(lines, texts, surge)
+    lengths = [
+        0 if line.linked > LINKED * len(text) and not (weights and weight == surge) else len(text)
+        for line, text, weight in zip(lines, texts, weights or [1] * len(lines))
+    ]
+    if not weights:
+        surge = max(min(surge, max(lengths, default=0)), 1)
+        weights = [1] * len(lines)
+    kept = [False] * len(lines)
+    for own in set(weights) - {0}:
+        weighted = [own * length if weight == own else 0 for length, weight in zip(lengths, weights)]
+        kept = [keep or here for keep, here in zip(kept, _kept(weighted, window, surge))]
     return "\n".join(text for text, keep in zip(texts, kept) if keep)
 
 

@@ -113,6 +113,30 @@ def test_main_text_of_named_parts(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article>{BODY}</article><article><p>second</p></article>", f"{TEXT}\nsecond"),
+        (f"<div itemprop=articleBody>{BODY}</div><nav>n</nav><div role=article><p>second</p></div>", f"{TEXT}\nsecond"),
+        (f"<article>{BODY}</article><section class=comments><article><p>{LONG * 9}</p></article></section>", TEXT),
+        (f"<section id=post-comments><article><p>{LONG * 9}</p></article></section><article>{BODY}</article>", TEXT),
+        (f"<article>{BODY}</article><aside><p>more</p><article><p>{LONG * 9}</p></article><p>{LONG * 9}</p></aside>", TEXT),
+        (f"<div class='ad'>{LONG}<article>{BODY}</article><article><p>second</p></article></div>", f"{TEXT}\nsecond"),
+        (
+            f"<article>{BODY}<div class=comments><article>a</article><article>b</article></div><p>end</p></article>",
+            f"{TEXT}\nend",
+        ),
+        (f"<div itemprop=articleBody>{BODY}<form><div>a</div>b</form><p>end</p></div>", f"{TEXT}\nend"),
+        (f"<article>{BODY}</article><article><h2><a href=x>{LONG}</a></h2></article>", TEXT),
+        (f"<article><ul><li><a href=x>{LONG}</a></li><li><a href=y>b</a></li></ul></article>", f"{LONG}\nb"),
+        (f"<p>{LONG * 4}</p><article>{BODY}</article><p>{LONG}</p>", f"{LONG * 4}\n{TEXT}"),
+        (f"<p>{LONG}</p><article><p>a</p></article><p>{LONG}</p>", "a"),
+    ],
+)
+def test_main_text_of_several_articles(page, text):
+    assert html.main_text(page) == text
+
+
 def test_main_text_of_the_given_pages(spark):
     """The given pages mark their article; its text, block by block, is what is wanted."""
     import html as entities
