@@ -4,21 +4,28 @@ Every text gives a vector of five transformed statistics. For each language and
 minimum-covariance-determinant estimate describes the bulk of these vectors: starting from
 all documents that pass the plain limits, concentration steps keep the three quarters of
 the documents that lie nearest, by Mahalanobis distance, and estimate mean and covariance
-anew from them. Documents too far from the final estimate are rejected.
+anew from them. Junk that lies in one cluster may draw this start to itself, so the steps
+also run, until the estimates are stable, from the medians and quartiles of the group, from
+those of its language, and on from the first result. Per group the first result is replaced
+by the one of the smallest determinant if that is clearly smaller. Documents too far from the
+final estimate are rejected.
 
 Groups may be small, and statistics such as the share of repeated lines are zero in most
 documents. So a group's moments are blended with those of its whole language, and these
 with those of all documents, each counting as a fixed number of documents; and every
-variance has a floor, the square of a resolution below which a difference says nothing.
+variance is raised by the square of a resolution below which a difference says nothing.
 
 All of it is DataFrame expressions: the moments are sums over exact integers (a rerun gives
 the same bits), the covariance is factored by column expressions (Cholesky), and the
-quartile of the distances comes from counts per narrow bucket. Nothing is sorted, and only
-rows per group travel.
+quartiles of distances and statistics come from counts per narrow bucket. Nothing is sorted,
+and only rows per group travel.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from agora.llm.common import GAP, let, stored, words_of
@@ -28,7 +35,7 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
-#: The statistics, and the resolution of each: a spread below it is taken for this spread.
+#: The statistics, and the resolution of each: its square is added to the variance.
 RESOLUTIONS = {
     "word_length": 0.12,  # ln(code points per word)
     "symbols": 0.50,  # ln(1 + symbols per 100 words)
@@ -46,6 +53,15 @@ CONSISTENCY = 1.412
 #: dimensions at 1 - 1e-6.
 CUTOFF = 35.9
 STEPS = 3
+#: Largest number of steps from the other starts, and the change of the logarithm of every
+#: determinant, and of every mean in resolutions, below which the estimates are stable.
+MOST_STEPS = 30
+STABLE = 1e-2
+#: Part of the first result's determinant below which another one replaces it: less is the
+#: difference of samples of the same bulk.
+CLEARLY = 0.5
+#: Integers per bucket of a statistic, for its quartiles.
+WIDTH = 50
 #: Number of documents that a wider group counts as, in the blend with a narrower one.
 PRIOR = 200.0
 #: Integers per unit of a statistic in the sums.
@@ -183,34 +199,36 @@ def _names() -> list[str]:
 
 def estimates(sums: DataFrame, consistency: float, prior: float = PRIOR) -> DataFrame:
     """Per group: blended mean ``m`` and Cholesky factor ``c`` of the covariance."""
+    # One projection a level, of texts: steps are many, and long chains of columns are slow to plan.
     base = sums
     for level in ("wider", "widest"):
-        over = Window.partitionBy(level)
-        for name in _names():
-            base = base.withColumn(f"{level}_{name}", F.sum(name).over(over))
+        base = base.selectExpr("*", *[f"sum({name}) OVER (PARTITION BY {level}) AS {level}_{name}" for name in _names()])
 
-    def mean(name: str, prefix: str = "") -> Column:
-        value = F.col(prefix + name).cast("double") / F.col(prefix + "n").cast("double")
-        return value / (SCALE * SCALE if name[0] == "p" else SCALE)
+    def mean(name: str, prefix: str = "") -> str:
+        unit = SCALE * SCALE if name[0] == "p" else SCALE
+        return f"(double({prefix}{name}) / double({prefix}n) / {unit}D)"
 
-    blended = {}
-    n, wide = F.col("n").cast("double"), F.col("wider_n").cast("double")
+    weight = f"{float(prior)!r}D"
+    blended = []
     for name in _names()[1:]:
-        outer = (wide * mean(name, "wider_") + prior * mean(name, "widest_")) / (wide + prior)
-        blended[name] = (n * mean(name) + prior * outer) / (n + prior)
-    out = base.select("group", *[value.alias(f"m_{name}") for name, value in blended.items()])
+        outer = f"((double(wider_n) * {mean(name, 'wider_')} + {weight} * {mean(name, 'widest_')}) / (double(wider_n) + {weight}))"
+        blended.append(f"(double(n) * {mean(name)} + {weight} * {outer}) / (double(n) + {weight}) AS m_{name}")
+    out = base.selectExpr("group", *blended)
     spreads = list(RESOLUTIONS.values())
+    covariance = []
     for i, j in _pairs():
-        value = (F.col(f"m_p{i}{j}") - F.col(f"m_s{i}") * F.col(f"m_s{j}")) * consistency
-        if i == j:
-            value = F.greatest(value, F.lit(0.0)) + spreads[i] ** 2
-        out = out.withColumn(f"v{i}{j}", value)
-    for i, j in _pairs():  # row by row: c_ij needs the rows above and the columns before
-        rest = F.col(f"v{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
-        floor = spreads[i] ** 2 / 100
-        out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(f"c{j}{j}"))
+        value = f"(m_p{i}{j} - m_s{i} * m_s{j}) * {consistency!r}D"
+        covariance.append((f"greatest({value}, 0D) + {spreads[i] ** 2!r}D" if i == j else value) + f" AS v{i}{j}")
+    out = out.selectExpr("*", *covariance)
+    for j in range(DIMENSIONS):  # column by column: c_ij needs the columns before and c_jj
+        for rows in ([j], range(j + 1, DIMENSIONS)):
+            factors = []
+            for i in rows:
+                rest = f"v{i}{j}" + "".join(f" - c{i}{k} * c{j}{k}" for k in range(j))
+                value = f"sqrt(greatest({rest}, {spreads[i] ** 2 / 100!r}D))" if i == j else f"({rest}) / c{j}{j}"
+                factors.append(f"{value} AS c{i}{j}")
+            if factors:
+                out = out.selectExpr("*", *factors)
     return out.select(
         "group", *[F.col(f"m_s{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[f"c{i}{j}" for i, j in _pairs()]
     )
@@ -252,6 +270,93 @@ def nearest(spark: SparkSession, rows: DataFrame, share: float = HALF) -> DataFr
     return bucketed.join(cuts, "group").where(F.col("bucket") <= F.col("cut")).drop("bucket", "cut")
 
 
+_MEANS = [f"m{i}" for i in range(DIMENSIONS)]
+_FACTORS = [f"c{i}{j}" for i, j in _pairs()]
+
+
+def _quartiles(counts: DataFrame, level: str) -> DataFrame:
+    """Per value of a level: its number of rows, and median and spread of every statistic.
+
+    The spread is the distance of the quartiles, in standard deviations of a normal sample,
+    but at least the resolution.
+    """
+    here = counts.groupBy(level, "dimension", "bucket").agg(F.sum("here").alias("here"))
+    whole = Window.partitionBy(level, "dimension")
+    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = here.withColumn("upto", F.sum("here").over(running)).withColumn("all", F.sum("here").over(whole))
+    shares = {"low": 0.25, "middle": 0.5, "high": 0.75}
+    places = here.groupBy(level, "dimension").agg(
+        F.max("all").cast("double").alias("all"),
+        *[F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bucket"))).alias(name) for name, share in shares.items()],
+    )
+    unit = WIDTH / SCALE
+    columns = [F.max("all").alias(f"{level}_n")]
+    for i, resolution in enumerate(RESOLUTIONS.values()):
+        mine = F.col("dimension") == i
+        spread = F.greatest((F.col("high") - F.col("low")) * (unit / 1.349), F.lit(resolution))
+        columns.append(F.max(F.when(mine, (F.col("middle") + 0.5) * unit)).alias(f"{level}_m{i}"))
+        columns.append(F.max(F.when(mine, spread)).alias(f"{level}_s{i}"))
+    return places.groupBy(level).agg(*columns)
+
+
+def robust_starts(spark: SparkSession, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parameters per group from medians and quartiles: of the group, blended, and of its language."""
+    each = F.array(*[F.struct(F.lit(i).alias("dimension"), F.floor(F.col(f"x{i}") / WIDTH).alias("bucket")) for i in range(DIMENSIONS)])
+    counts = used.select("group", "wider", F.explode(each).alias("_x")).select("group", "wider", "_x.*")
+    counts = stored(spark, counts.groupBy("group", "wider", "dimension", "bucket").agg(F.count(F.lit(1)).alias("here")), "quality-counts")
+    both = counts.select("group", "wider").distinct().join(_quartiles(counts, "group"), "group").join(_quartiles(counts, "wider"), "wider")
+    both = stored(spark, both.drop("wider"), "quality-quartiles")
+
+    def parameters(value: Callable[[str], Column]) -> DataFrame:
+        factors = [(value(f"s{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs()]
+        return both.select("group", *[value(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *factors)
+
+    def blended(name: str) -> Column:
+        return (F.col("group_n") * F.col(f"group_{name}") + PRIOR * F.col(f"wider_{name}")) / (F.col("group_n") + PRIOR)
+
+    return parameters(blended), parameters(lambda name: F.col(f"wider_{name}"))
+
+
+def log_determinant() -> Column:
+    """Logarithm of the determinant of a row's covariance, from its Cholesky factor."""
+    return sum((2 * F.log(F.col(f"c{i}{i}")) for i in range(DIMENSIONS)), F.lit(0.0))
+
+
+def _moved(before: DataFrame, after: DataFrame) -> float:
+    """The largest change of an estimate, as said at STABLE."""
+    old = before.select("group", log_determinant().alias("_d"), *[F.col(name).alias(f"_{name}") for name in _MEANS])
+    means = [F.abs(F.col(f"m{i}") - F.col(f"_m{i}")) / r for i, r in enumerate(RESOLUTIONS.values())]
+    change = F.greatest(F.abs(log_determinant() - F.col("_d")), *means)
+    return after.join(old, "group").agg(F.max(change)).first()[0] or 0.0
+
+
+def smallest(spark: SparkSession, used: DataFrame, first: DataFrame) -> DataFrame:
+    """Per group the first result, or that of another start if its determinant is clearly smaller.
+
+    All other starts run at once, as groups of their own.
+    """
+    others = [first, *robust_starts(spark, used)]
+
+    def named(frame: DataFrame, start: Column, keys: tuple[str, ...]) -> DataFrame:
+        return frame.withColumns({key: F.concat(F.col(key), F.lit("#"), start.cast("string")) for key in keys})
+
+    rows = used.withColumn("_start", F.explode(F.array(*[F.lit(k) for k in range(len(others))])))
+    rows = named(rows, F.col("_start"), _GROUPS).drop("_start")
+    parameters = named(others[0], F.lit(0), ("group",))
+    for k, other in enumerate(others[1:], 1):
+        parameters = parameters.unionByName(named(other, F.lit(k), ("group",)))
+    parameters = stored(spark, parameters, "quality-starts")
+    for step in range(MOST_STEPS):
+        near = nearest(spark, with_distance(rows, parameters))
+        before, parameters = parameters, stored(spark, estimates(moments(near), CONSISTENCY), f"quality-other-{step}")
+        if _moved(before, parameters) < STABLE:
+            break
+    found = parameters.withColumn("group", F.regexp_replace("group", "#[0-9]+$", "")).withColumn("_size", log_determinant())
+    known = first.withColumn("_size", log_determinant() + math.log(CLEARLY))
+    best = F.min_by(F.struct(*_MEANS, *_FACTORS), F.struct("_size", *_MEANS)).alias("_best")
+    return stored(spark, known.unionByName(found).groupBy("group").agg(best).select("group", "_best.*"), "quality-best")
+
+
 def fit(spark: SparkSession, vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """Parameters per group from rows with ``group, wider, widest, base_failed, x0`` to ``x4``.
 
@@ -263,7 +368,7 @@ def fit(spark: SparkSession, vectors: DataFrame, steps: int = STEPS) -> DataFram
     for step in range(steps):
         near = nearest(spark, with_distance(used, parameters))
         parameters = stored(spark, estimates(moments(near), CONSISTENCY), f"quality-{step}")
-    return parameters
+    return smallest(spark, used, parameters)
 
 
 _VECTOR = [f"x{i}" for i in range(DIMENSIONS)]

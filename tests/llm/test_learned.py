@@ -64,6 +64,20 @@ def test_quality_against_labels(spark):
     assert np.mean(kept) > 0.99 and np.mean(rejected) > 0.9
 
 
+def test_quality_rejects_junk_in_one_cluster(spark):
+    """A fifth of a hot source lies in one place; the estimate of all documents hides it."""
+    pick = np.random.default_rng(1)
+    resolutions = np.array(list(quality.RESOLUTIONS.values()))
+    clean = np.array([1.6, 1.0, 0.3, 0.3, 0.4])
+    values = clean + pick.normal(size=(6000, 5)) * resolutions * 1.5
+    values[:1200] = clean + 9 * resolutions + pick.normal(size=(1200, 5)) * resolutions * 0.2
+    rows = [(k, "g", "l", "a", False, *map(int, np.round(x * quality.SCALE))) for k, x in enumerate(values)]
+    columns = ["k int", "group string", "wider string", "widest string", "base_failed boolean", *[f"x{i} bigint" for i in range(5)]]
+    vectors = spark.createDataFrame(rows, ", ".join(columns))
+    rejected = {r["k"] for r in quality.judged(vectors, quality.fit(spark, vectors)).where("not kept").collect()}
+    assert rejected == set(range(1200))
+
+
 BODY = "<p>This is a paragraph of the article, long enough to count as text.</p><p>It has a second one &amp; a third.</p><p>x</p>"
 TEXT = "This is a paragraph of the article, long enough to count as text.\nIt has a second one & a third.\nx"
 
