@@ -1,13 +1,28 @@
-"""The ten operators, each applied to its whole table, and the SQL of those that SQL can express."""
+"""The operators, each applied to its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from agora.llm import binary, decontam, html, langid, linedup, mixing, neardup, oracles, quality, tokens, toxicity
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from agora.llm import (
+    binary,
+    decontam,
+    html,
+    langid,
+    linedup,
+    mixing,
+    neardup,
+    negatives,
+    oracles,
+    pieces,
+    quality,
+    tokens,
+    toxicity,
+    whitening,
+)
 from agora.llm.common import stored
 from agora.session import scratch_path
 
@@ -92,7 +107,29 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(_table(spark, folder, "pages"))
 
 
+@_register
+def op11_piece_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of every document under the 32k piece vocabulary, and of their decoded text."""
+    return pieces.piece_digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_register
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh row has the next label."""
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spark, vectors.select("vec_id", moved.alias("label"), "embedding"))
+
+
+@_register
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the eight principal components, whitened."""
+    found = whitening.whitened(spark, _table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 ORACLES.update(
+    op12_hard_negatives=oracles.hard_negatives(),
     op2_quality_rules=oracles.quality_rules(),
     op4_benchmark_decontamination=oracles.leaks(),
     op6_minhash_near_dedup=oracles.near_duplicates(shingle=3, percent=85),
