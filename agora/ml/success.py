@@ -50,6 +50,15 @@ class Trained:
         )
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model, its last stage copied without the summary of its training.
+
+    The summary holds the session and with it whatever the session holds; a model that
+    carries it can't travel to tasks once something was observed in the session.
+    """
+    return PipelineModel([*model.stages[:-1], model.stages[-1].copy()])
+
+
 def _fit(
     name: str, rows: DataFrame, stages: list, label: str, inputs: tuple[str, ...], partitions: int | None
 ) -> Trained:
@@ -57,7 +66,7 @@ def _fit(
     # The forest and the evaluators read the rows several times.
     rows = features.spread(rows, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = rows.where(features.in_training_set()), rows.where(~features.in_training_set())
-    model = Pipeline(stages=stages).fit(train)
+    model = without_summary(Pipeline(stages=stages).fit(train))
     predictions = model.transform(test)
     # Measured on one small table of (label, prediction, probability).
     measured = predictions.select(label, "prediction", "rawPrediction").persist(StorageLevel.MEMORY_AND_DISK)

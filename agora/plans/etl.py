@@ -10,7 +10,7 @@ from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agora.functions import text, timeparts
 from agora.operators import quality, skew
@@ -209,12 +209,11 @@ def run_etl(
             if config.enable_validation and not passed:
                 result.validation_failures += 1
                 continue
-            counted = Observation()
-            failed = files.write_batch({names[path]: kept.observe(counted, F.count(F.lit(1)).alias("n"))}, target)
+            failed = files.write_batch({names[path]: kept}, target)
             if failed:
                 result.not_loaded[path] = failed[names[path]]
-            else:
-                result.written[path] = counted.get["n"]
+            else:  # counted from the footers of the committed files
+                result.written[path] = spark.read.parquet(files.batch_path(target, names[path])).count()
         except (PySparkException, MissingColumn) as error:
             result.not_transformed[path] = str(error).splitlines()[0]
         finally:

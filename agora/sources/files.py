@@ -118,6 +118,11 @@ def write_parquet(
     writer.parquet(path)
 
 
+def batch_path(base: str, name: str) -> str:
+    """Where :func:`write_batch` puts a dataset."""
+    return f"{base}/{name}.parquet"
+
+
 def write_batch(datasets: dict[str, DataFrame], base: str) -> dict[str, str]:
     """Write every dataset below ``base``; those with timestamps are stored by date.
 
@@ -126,7 +131,7 @@ def write_batch(datasets: dict[str, DataFrame], base: str) -> dict[str, str]:
     """
     failed: dict[str, str] = {}
     for name, df in datasets.items():
-        target = f"{base}/{name}.parquet"
+        target = batch_path(base, name)
         try:
             if "timestamp" in df.columns:
                 dated = df.withColumn("date", F.to_date("timestamp"))

@@ -136,3 +136,27 @@ def test_weekly_report_parts(tables):
 def test_lookback_limits_votes_only(tables):
     week = idea_jobs.idea_metrics(tables.rated_ideas, tables.votes, tables.comments, AS_OF, lookback_days=7)
     assert week.count() == tables.ideas.count()
+
+
+def test_forests_after_an_observation(spark, metrics):
+    """What another job observed in the session doesn't reach the fitted model."""
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    metrics.observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 80
+    trained = success.train_success(metrics, trees=3)
+    assert not trained.model.stages[-1].hasSummary
+    assert success.predict_success(metrics, trained.model).count() == 80
+
+
+def test_training_after_an_etl_run(spark, tables, metrics, tmp_path):
+    from agora.plans import etl
+
+    rows = "u1,2024-01-31 10:00:00,view\nu2,2024-01-31 11:00:00,like\n"
+    (tmp_path / "interactions.csv").write_text("user_id,timestamp,interaction_type\n" + rows)
+    result = etl.run_etl(spark, [f"{tmp_path}/interactions.csv"], str(tmp_path / "out"), datetime(2024, 2, 1))
+    assert result.success and result.records_written == 2
+    assert success.train_popularity(tables.ideas, tables.votes).predictions.count() > 0
+    trained = success.train_success(metrics, trees=3)
+    assert success.predict_success(metrics, trained.model).count() == 80
