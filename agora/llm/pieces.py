@@ -37,6 +37,38 @@ _NO_RANK = np.int32(np.iinfo(np.int32).max)
 _CODE_POINTS = 0x110000
 
 
+#: An odd multiplier that spreads keys over a table (golden ratio).
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_table(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys, -1 elsewhere, by open addressing; at most a quarter is filled."""
+    bits = max(4, int(4 * len(keys)).bit_length())
+    table = np.full(1 << bits, -1, dtype=np.int32)
+    for place, slot in enumerate(_slots(keys, len(table)).tolist()):
+        while table[slot] >= 0:
+            slot = (slot + 1) % len(table)
+        table[slot] = place
+    return table
+
+
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def places_of(wanted: np.ndarray, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of every wanted key among the keys, -1 for others."""
+    slots = _slots(wanted, len(table))
+    places = table[slots]
+    open_ = np.flatnonzero((places >= 0) & (keys[places] != wanted))
+    while len(open_):
+        slots[open_] = (slots[open_] + 1) % len(table)
+        places[open_] = table[slots[open_]]
+        here = places[open_]
+        open_ = open_[(here >= 0) & (keys[here] != wanted[open_])]
+    return places
+
+
 class PieceModel:
     """The pieces of a model file and what follows from them alone."""
 
@@ -66,8 +98,8 @@ class PieceModel:
             texts[k] = bytes([value])
         texts[self.unknown] = UNKNOWN.encode()
         self.texts = texts
-        self.starts_blank = np.array([name.startswith(SPACE) and k not in special for k, name in enumerate(names)])
-        self.controls = np.array(control)
+        self.starts_blank = [name.startswith(SPACE) and k not in special for k, name in enumerate(names)]
+        self.controls = control
         self.decimals = [str(k) for k in range(self.size)]
         self.alone = "".join(sorted(set("\n\t\r") - {c for name in own if len(name) > 1 for c in name}))
         self.run = self._blank_run(own)
@@ -100,6 +132,7 @@ class PieceModel:
         found.sort()
         self.keys, self.ranks, self.made = (np.array(column, dtype=kind) for column, kind in zip(zip(*found), ("i8", "i4", "i4")))
         self.near = np.array(sorted(ord(a) * _CODE_POINTS + ord(b) for a, b in near), dtype=np.int64)
+        self.key_table, self.near_table = hash_table(self.keys), hash_table(self.near)
 
     def _calm(self, own: dict[str, int], rank: dict[str, int]) -> None:
         self.calm = np.ones(self.size, dtype=bool)
@@ -127,16 +160,13 @@ class PieceModel:
         return most
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.width + right
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = self.keys[place] == key
+        place = places_of(left * self.width + right, self.key_table, self.keys)
+        there = place >= 0
         return np.where(there, self.ranks[place], _NO_RANK), np.where(there, self.made[place], 0)
 
     def _segments(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the stretches inside which characters may merge."""
-        key = points[:-1] * _CODE_POINTS + points[1:]
-        place = np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)
-        cut = self.near[place] != key
+        cut = places_of(points[:-1] * _CODE_POINTS + points[1:], self.near_table, self.near) < 0
         cut[ends[:-1] - 1] = True
         return np.concatenate([[0], np.cumsum(cut)])
 
@@ -222,12 +252,26 @@ class PieceCoder:
         self.runs = re.compile(f" {{{run}}}(?= {{{run + 2}}})") if run else None
 
     def _cut(self, text: str) -> list[str]:
+        """The keys of a text's words.
+
+        A key is a word without the one space before it, or begins with a line feed that merges
+        with nothing, or stands for the whole word behind the model's sign for a space.
+        """
         if not text:
             return []
-        words = self.words.findall(" " + text.replace(SPACE, " "))
+        text = text.replace(SPACE, " ")
+        if "\n" in self.model.alone:
+            apart = text.replace("\n", " \n")
+            if apart[0] != " " and apart[-1] != " " and "  " not in apart:
+                return apart.split(" ")
+        words = self.words.findall(" " + text)
         if self.runs is not None and " " * (2 * self.model.run + 2) in text:
-            return [part for word in words for part in self._parts(word)]
-        return words
+            words = [part for word in words for part in self._parts(word)]
+        return [SPACE + word for word in words]
+
+    @staticmethod
+    def _word(key: str) -> str:
+        return key[1:] if key[0] == SPACE else key if key[0] == "\n" else " " + key
 
     def _parts(self, word: str) -> list[str]:
         """A word, with long runs of spaces before it cut into pieces from the left."""
@@ -246,7 +290,7 @@ class PieceCoder:
         here = {word: self.old[word] for word in missing & self.old.keys()}
         missing = list(missing - here.keys())
         if missing:
-            here.update(zip(missing, self.model.merge(missing)))
+            here.update(zip(missing, self.model.merge(list(map(self._word, missing)))))
         self.known.update(here)
         found = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4") for words in cut]
         for word in here:
@@ -257,12 +301,12 @@ class PieceCoder:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of any ids; the space that encoding puts first is taken away."""
         model = self.model
-        shown = ids[~model.controls[ids]]
-        text = b"".join(map(model.texts.__getitem__, shown.tolist())).decode("utf-8", "each byte")
-        return text[1:] if len(shown) and model.starts_blank[shown[0]] else text
+        text = b"".join(map(model.texts.__getitem__, ids)).decode("utf-8", "each byte")
+        first = next((k for k in ids if not model.controls[k]), None)  # control ids have no text
+        return text[1:] if first is not None and model.starts_blank[first] else text
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
@@ -298,13 +342,13 @@ def piece_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
         for batch in batches:
             sizes, id_sums, text_sums, ids_kept, texts_kept = [], [], [], [], []
             for group in _groups(batch.column(1).to_pylist()):
-                for ids in coder.encode_all(group):
+                for ids in map(np.ndarray.tolist, coder.encode_all(group)):
                     decoded = coder.decode(ids)
                     sizes.append(len(ids))
-                    id_sums.append(digest(",".join(map(decimal, ids.tolist()))))
+                    id_sums.append(digest(",".join(map(decimal, ids))))
                     text_sums.append(digest(decoded))
                     if with_ids:
-                        ids_kept.append(ids.astype(np.int32))
+                        ids_kept.append(ids)
                         texts_kept.append(decoded)
             arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
             if with_ids:
