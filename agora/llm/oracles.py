@@ -104,51 +104,68 @@ def source_mix(seed: int = 7) -> str:
     """
 
 
-def _estimates(name: str, moments: str, consistency: float) -> str:
-    """Common table expressions that end in ``name``: group, m*, c*."""
-    d, pairs, scale = quality.DIMENSIONS, quality._pairs(), quality.SCALE
-    names = quality._names()
-    spreads = list(quality.RESOLUTIONS.values())
-
-    def mean(column: str) -> str:
-        return f"/ {scale * scale if column[0] == 'p' else scale}"
-
-    prior = f"{quality.PRIOR}::DOUBLE"
-    wider = ", ".join(
-        f"sum({c}) OVER (PARTITION BY wider) AS wider_{c}, sum({c}) OVER (PARTITION BY widest) AS widest_{c}" for c in names
+def _estimates(sums: str, consistency: float) -> str:
+    """Query of group, start, m*, c* and size from a table of sums and the priors."""
+    d, pairs, scale = range(quality.DIMENSIONS), quality._pairs(), quality.SCALE
+    floors = list(quality.FLOORS.values())
+    inner = ", ".join(
+        [f"s{i}::DOUBLE / n::DOUBLE / {scale}::DOUBLE AS a{i}" for i in d]
+        + [f"p{i}{j}::DOUBLE / n::DOUBLE / {scale * scale}::DOUBLE AS b{i}{j}" for i, j in pairs]
     )
-    blended = ", ".join(
-        f"(n::DOUBLE * (({c})::DOUBLE / n::DOUBLE {mean(c)}) + {prior} * ((wider_n::DOUBLE * (wider_{c}::DOUBLE / wider_n::DOUBLE {mean(c)}) "
-        f"+ {prior} * (widest_{c}::DOUBLE / widest_n::DOUBLE {mean(c)})) / (wider_n::DOUBLE + {prior}))) / (n::DOUBLE + {prior}) AS m_{c}"
-        for c in names[1:]
-    )
-    steps = [f"{name}_w AS (SELECT *, {wider} FROM ({moments}))", f'{name}_b AS (SELECT "group", {blended} FROM {name}_w)']
-    values = []
-    for i, j in pairs:
-        value = f"(m_p{i}{j} - m_s{i} * m_s{j}) * {consistency}::DOUBLE"
-        values.append(f"greatest({value}, 0) + {spreads[i] ** 2!r}::DOUBLE AS v{i}{j}" if i == j else f"{value} AS v{i}{j}")
-    steps.append(f"{name}_v AS (SELECT *, {', '.join(values)} FROM {name}_b)")
-    last = f"{name}_v"
+    query = f'SELECT *, n::DOUBLE / (n + {quality.PRIOR}::DOUBLE) AS h, {inner} FROM {sums} JOIN priors USING ("group")'
+    values = [f"h * a{i} + (1 - h) * o{i} AS m{i}" for i in d]
     for i, j in pairs:
+        value = f"h * {consistency}::DOUBLE * (b{i}{j} - a{i} * a{j}) + h * (1 - h) * (a{i} - o{i}) * (a{j} - o{j})"
+        values.append(value + (f" + (1 - h) * r{i} * r{i}" if i == j else "") + f" AS v{i}{j}")
+    query = f"SELECT *, {', '.join(values)} FROM ({query})"
+    for i, j in sorted(pairs, key=lambda pair: (pair[1], pair[0])):
         rest = f"v{i}{j}" + "".join(f" - c{i}{k} * c{j}{k}" for k in range(j))
-        value = f"sqrt(greatest({rest}, {spreads[i] ** 2 / 100!r}::DOUBLE))" if i == j else f"({rest}) / c{j}{j}"
-        steps.append(f"{name}_{i}{j} AS (SELECT *, {value} AS c{i}{j} FROM {last})")
-        last = f"{name}_{i}{j}"
-    means = ", ".join(f"m_s{i} AS m{i}" for i in range(d))
-    factors = ", ".join(f"c{i}{j}" for i, j in pairs)
-    steps.append(f'{name} AS (SELECT "group", {means}, {factors} FROM {last})')
-    return ",\n".join(steps)
-
-
-def _distances(rows: str, parameters: str) -> str:
-    d, scale = quality.DIMENSIONS, quality.SCALE
-    inner = f'SELECT r.*, p.* EXCLUDE ("group") FROM {rows} r LEFT JOIN {parameters} p USING ("group")'
-    for i in range(d):
-        value = f"x{i} / {scale}::DOUBLE - m{i}" + "".join(f" - c{i}{k} * z{k}" for k in range(i))
+        value = f"sqrt(greatest({rest}, {floors[i] ** 2!r}::DOUBLE))" if i == j else f"({rest}) / c{j}{j}"
+        query = f"SELECT *, {value} AS c{i}{j} FROM ({query})"
+    size = " + ".join(f"2 * ln(c{i}{i})" for i in d)
+    return f'SELECT "group", start, {_PARAMETERS}, {size} AS size FROM ({query})'
+
+
+_PARAMETERS = ", ".join([f"m{i}" for i in range(quality.DIMENSIONS)] + [f"c{i}{j}" for i, j in quality._pairs()])
+
+
+def _distances(rows: str, parameters: str, how: str = "JOIN") -> str:
+    inner = f'SELECT r.*, p.* EXCLUDE ("group") FROM {rows} r {how} {parameters} p USING ("group")'
+    for i in range(quality.DIMENSIONS):
+        value = f"x{i} / {quality.SCALE}::DOUBLE - m{i}" + "".join(f" - c{i}{k} * z{k}" for k in range(i))
         inner = f"SELECT *, ({value}) / c{i}{i} AS z{i} FROM ({inner})"
-    total = " + ".join(f"z{i} * z{i}" for i in range(d))
-    kept = 'doc_id, "group", wider, widest, base_failed, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words'
-    return f"SELECT {kept}, {', '.join(f'x{i}' for i in range(d))}, {total} AS d2 FROM ({inner})"
+    total = " + ".join(f"z{i} * z{i}" for i in range(quality.DIMENSIONS))
+    return f"SELECT *, {total} AS d2 FROM ({inner})"
+
+
+def _quartiles(level: str) -> str:
+    unit = quality.WIDTH / quality.SCALE
+    columns = []
+    for i, floor in enumerate(quality.FLOORS.values()):
+        columns.append(f"max((middle + 0.5::DOUBLE) * {unit!r}::DOUBLE) FILTER (WHERE dimension = {i}) AS o{i}")
+        spread = f"greatest((high - low) * {unit / 1.349!r}::DOUBLE, {floor!r}::DOUBLE)"
+        columns.append(f"max({spread}) FILTER (WHERE dimension = {i}) AS r{i}")
+    shares = ", ".join(
+        f"min(bucket) FILTER (WHERE upto >= total * {share}::DOUBLE) AS {name}"
+        for name, share in (("low", 0.25), ("middle", 0.5), ("high", 0.75))
+    )
+    return f"""SELECT "{level}", {", ".join(columns)} FROM (
+        SELECT "{level}", dimension, {shares} FROM (
+            SELECT *, sum(here) OVER (PARTITION BY "{level}", dimension ORDER BY bucket) AS upto,
+                sum(here) OVER (PARTITION BY "{level}", dimension) AS total
+            FROM (SELECT "{level}", dimension, bucket, sum(here) AS here FROM buckets GROUP BY ALL)
+        ) GROUP BY ALL
+    ) GROUP BY ALL"""
+
+
+def _plain(start: int, quartiles: str) -> str:
+    factors = ", ".join(f"r{i} AS c{i}{j}" if i == j else f"0.0::DOUBLE AS c{i}{j}" for i, j in quality._pairs())
+    means = ", ".join(f"o{i} AS m{i}" for i in range(quality.DIMENSIONS))
+    return f'SELECT "group", {start} AS start, {means}, {factors} FROM {quartiles}'
+
+
+#: Steps that the SQL writes out: groups rest after fewer on the small tables.
+_WRITTEN_STEPS = 16
 
 
 def quality_rules() -> str:
@@ -184,33 +201,62 @@ def quality_rules() -> str:
                 n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
                 coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s FROM counts
         )""",
-        f"""vectors AS (
-            SELECT *, 'g' || length(l) || ':' || l || s AS "group", 'l' || l AS wider, 'a' AS widest,
-                round(ln(greatest(word_chars, 1)::DOUBLE / greatest(n_words, 1)) * {scale})::BIGINT AS x0,
-                round(ln(1.0::DOUBLE + 100.0::DOUBLE * n_symbols / greatest(n_words, 1)) * {scale})::BIGINT AS x1,
-                round(n_dup_lines::DOUBLE / greatest(n_lines, 1) * {scale})::BIGINT AS x2,
-                round(n_repeat_words::DOUBLE / greatest(n_words, 1) * {scale})::BIGINT AS x3,
-                round(sqrt(n_capitals::DOUBLE / greatest(word_chars, 1)) * {scale})::BIGINT AS x4
+        f"""vectors AS MATERIALIZED (
+            SELECT *, length(l) || ':' || l || s AS "group", l AS wider,
+                round(ln((word_chars + {quality.MORE_CHARS})::DOUBLE / (n_words + {quality.MORE_WORDS})) * {scale})::BIGINT AS x0,
+                round(ln(1.0::DOUBLE + 100.0::DOUBLE * n_symbols / (n_words + {quality.MORE_WORDS})) * {scale})::BIGINT AS x1,
+                round(n_dup_lines::DOUBLE / (n_lines + {quality.MORE_LINES}) * {scale})::BIGINT AS x2,
+                round(n_repeat_words::DOUBLE / (n_words + {quality.MORE_WORDS}) * {scale})::BIGINT AS x3,
+                round(sqrt((n_capitals + {quality.MORE_CAPITALS}::DOUBLE) / (word_chars + {quality.MORE_CHARS})) * {scale})::BIGINT AS x4
             FROM stats
         )""",
-        "used AS (SELECT * FROM vectors WHERE NOT base_failed)",
+        f"""used AS MATERIALIZED (SELECT "group", wider, {", ".join(f"x{i}" for i in range(d))} FROM vectors WHERE NOT base_failed)""",
+        "buckets AS MATERIALIZED ("
+        + " UNION ALL ".join(
+            f'SELECT "group", wider, {i} AS dimension, floor(x{i} / {quality.WIDTH}::DOUBLE)::BIGINT AS bucket, count(*) AS here FROM used GROUP BY ALL'
+            for i in range(d)
+        )
+        + ")",
+        f"""priors AS MATERIALIZED (
+            SELECT * EXCLUDE (wider) FROM (SELECT DISTINCT "group", wider FROM used) JOIN ({_quartiles("wider")}) USING (wider)
+        )""",
+        f'everything AS (SELECT "group", 0 AS start, {moments} FROM used GROUP BY ALL)',
+        f"""state0 AS MATERIALIZED (
+            SELECT *, 'Infinity'::DOUBLE AS size, true AS moving FROM (
+                SELECT * EXCLUDE (size) FROM ({_estimates("everything", 1.0)}) UNION ALL BY NAME
+                {_plain(1, f"({_quartiles('group')})")} UNION ALL BY NAME {_plain(2, "priors")}
+            )
+        )""",
     ]
-
-    def summed(rows: str) -> str:
-        return f'SELECT "group", wider, widest, {moments} FROM {rows} GROUP BY ALL'
-
-    steps.append(_estimates("p0", summed("used"), 1.0))
-    for step in range(1, quality.STEPS + 1):
+    names = quality._SUMS
+    for k in range(1, _WRITTEN_STEPS + 1):
+        moving = f"(SELECT * EXCLUDE (size, moving) FROM state{k - 1} WHERE moving)"
+        changed = ", ".join(f"CASE WHEN falls THEN e.{c} ELSE s.{c} END AS {c}" for c in [*_PARAMETERS.split(", "), "size"])
         steps += [
-            f"d{step} AS ({_distances('used', f'p{step - 1}')})",
-            f"b{step} AS (SELECT *, floor(ln(1.0::DOUBLE + d2) * 256)::BIGINT AS bucket FROM d{step})",
-            f'h{step} AS (SELECT "group", bucket, count(*) AS here FROM b{step} GROUP BY ALL)',
-            f"""u{step} AS (SELECT *, sum(here) OVER (PARTITION BY "group" ORDER BY bucket) AS upto, sum(here) OVER (PARTITION BY "group") AS a FROM h{step})""",
-            f'k{step} AS (SELECT "group", min(bucket) AS cut FROM u{step} WHERE upto >= a * {quality.HALF}::DOUBLE GROUP BY ALL)',
-            f'n{step} AS (SELECT b{step}.* FROM b{step} JOIN k{step} USING ("group") WHERE bucket <= cut)',
-            _estimates(f"p{step}", summed(f"n{step}"), quality.CONSISTENCY),
+            f"""sums{k} AS (
+                SELECT "group", start, floor(ln(1.0::DOUBLE + d2) * {quality.FINE})::BIGINT AS bucket, {moments}
+                FROM ({_distances("used", moving)}) GROUP BY ALL
+            )""",
+            f"""near{k} AS (
+                SELECT "group", start, {", ".join(f"sum({c}) AS {c}" for c in names)} FROM (
+                    SELECT *, sum(n) OVER (PARTITION BY "group", start) AS total,
+                        coalesce(sum(n) OVER (PARTITION BY "group", start ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                    FROM sums{k}
+                ) WHERE before < total * {quality.HALF}::DOUBLE GROUP BY ALL
+            )""",
+            f"step{k} AS MATERIALIZED ({_estimates(f'near{k}', quality.CONSISTENCY)})",
+            f"""state{k} AS MATERIALIZED (
+                SELECT s."group", s.start, {changed}, falls AS moving FROM (
+                    SELECT s.*, coalesce(e.size < s.size - {quality.FALLS}::DOUBLE, false) AS falls
+                    FROM state{k - 1} s LEFT JOIN step{k} e USING ("group", start)
+                ) s LEFT JOIN step{k} e USING ("group", start)
+            )""",
         ]
-    steps.append(f"final AS ({_distances('vectors', f'p{quality.STEPS}')})")
+    last = f"state{_WRITTEN_STEPS}"
+    steps += [
+        f'best AS (SELECT "group", {_PARAMETERS} FROM {last} QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY size, start) = 1)',
+        f"final AS ({_distances('vectors', 'best', 'LEFT JOIN')})",
+    ]
     return f"""
     WITH {", ".join(steps)}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,31 +1,28 @@
 """Quality rules: plain limits, and robust multivariate outliers per language and source.
 
 Every text gives a vector of five transformed statistics. For each language and source a
-minimum-covariance-determinant estimate describes the bulk of these vectors: starting from
-all documents that pass the plain limits, concentration steps keep the three quarters of
-the documents that lie nearest, by Mahalanobis distance, and estimate mean and covariance
-anew from them. Junk that lies in one cluster may draw this start to itself, so the steps
-also run, until the estimates are stable, from the medians and quartiles of the group, from
-those of its language, and on from the first result. Per group the first result is replaced
-by the one of the smallest determinant if that is clearly smaller. Documents too far from the
-final estimate are rejected.
-
-Groups may be small, and statistics such as the share of repeated lines are zero in most
-documents. So a group's moments are blended with those of its whole language, and these
-with those of all documents, each counting as a fixed number of documents; and every
-variance is raised by the square of a resolution below which a difference says nothing.
+minimum-covariance-determinant estimate describes the bulk of these vectors. Concentration
+steps keep the three quarters of the documents that lie nearest, by Mahalanobis distance, and
+estimate mean and covariance anew from them. They run from three starts: the plain estimate of
+all documents, the medians and quartiles of the group, and those of its language, so that junk
+in one cluster doesn't draw every start to itself. Every start of every group runs until its
+determinant falls no more; the smallest determinant counts. Documents too far from this
+estimate are rejected.
+
+Groups may be small, so an estimate counts the medians and quartiles of the group's language as
+some documents more (a regularised estimate). Statistics such as the share of repeated lines are
+zero in most documents: the part of a statistic's variance that the statistics before it don't
+explain is at least a floor.
 
 All of it is DataFrame expressions: the moments are sums over exact integers (a rerun gives
-the same bits), the covariance is factored by column expressions (Cholesky), and the
-quartiles of distances and statistics come from counts per narrow bucket. Nothing is sorted,
+the same bits), the covariance is factored by column expressions (Cholesky), and the shares and
+quartiles come from counts per narrow bucket. A step reads the vectors once: the moments are
+summed per bucket of distances, and those up to the wanted share are added. Nothing is sorted,
 and only rows per group travel.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from agora.llm.common import GAP, let, stored, words_of
@@ -35,16 +32,21 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
-#: The statistics, and the resolution of each: its square is added to the variance.
-RESOLUTIONS = {
-    "word_length": 0.12,  # ln(code points per word)
-    "symbols": 0.50,  # ln(1 + symbols per 100 words)
-    "dup_lines": 0.10,  # share of lines equal to an earlier one
-    "repeats": 0.08,  # share of words in repeated windows
-    "capitals": 0.08,  # capitals per code point of words, square root
+#: The statistics, and the floor of each one's spread. The bulk of clean text spreads over 0.02
+#: and more in word lengths and 0.01 in capitals; in the other statistics it is all zero, and
+#: the floors say how far from zero is near.
+FLOORS = {
+    "word_length": 0.01,  # ln(code points per word)
+    "symbols": 0.25,  # ln(1 + symbols per 100 words)
+    "dup_lines": 0.03,  # share of lines equal to an earlier one
+    "repeats": 0.03,  # share of words in repeated windows
+    "capitals": 0.004,  # capitals per code point of words, square root
 }
-NAMES = tuple(RESOLUTIONS)
+NAMES = tuple(FLOORS)
 DIMENSIONS = len(NAMES)
+#: Words (of five code points, a twentieth of these capitals) and lines that every text counts
+#: as more, so that the statistics of short texts spread little more than those of long ones.
+MORE_WORDS, MORE_CHARS, MORE_CAPITALS, MORE_LINES = 50, 250, 12.5, 10
 #: Share of the documents that an estimate rests on, and the factor that makes the covariance
 #: of this nearest part of a normal sample consistent: h / F7(q), F5(q) = h, with chi-square F.
 HALF = 0.75
@@ -52,21 +54,16 @@ CONSISTENCY = 1.412
 #: Squared distance beyond which a document is rejected: the chi-square quantile of five
 #: dimensions at 1 - 1e-6.
 CUTOFF = 35.9
-STEPS = 3
-#: Largest number of steps from the other starts, and the change of the logarithm of every
-#: determinant, and of every mean in resolutions, below which the estimates are stable.
-MOST_STEPS = 30
-STABLE = 1e-2
-#: Part of the first result's determinant below which another one replaces it: less is the
-#: difference of samples of the same bulk.
-CLEARLY = 0.5
-#: Integers per bucket of a statistic, for its quartiles.
-WIDTH = 50
-#: Number of documents that a wider group counts as, in the blend with a narrower one.
-PRIOR = 200.0
-#: Integers per unit of a statistic in the sums.
-SCALE = 10_000
-_GROUPS = ("group", "wider", "widest")
+#: A step counts if the logarithm of the determinant falls by this at least.
+FALLS = 1e-3
+#: Number of documents that the language counts as in a group's estimate.
+PRIOR = 20.0
+#: Integers per unit of a statistic in the sums, and per bucket for quartiles.
+SCALE = 1_000
+WIDTH = 2
+#: Buckets of distances per unit of ln(1 + squared distance).
+FINE = 64
+_GROUPS = ("group", "wider")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -148,13 +145,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         out = out.withColumn(name, q["l"][name])
     for name in ("word_chars", "n_symbols", "n_capitals"):
         out = out.withColumn(name, q[name])
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    words, chars = F.col("n_words") + MORE_WORDS, F.col("word_chars") + MORE_CHARS
     vector = (
-        F.log(F.greatest("word_chars", F.lit(1)) / words),
+        F.log(chars / words),
         F.log(F.lit(1.0) + F.lit(100.0) * F.col("n_symbols") / words),
-        F.col("n_dup_lines") / lines,
+        F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES),
         F.col("n_repeat_words") / words,
-        F.sqrt(F.col("n_capitals") / F.greatest("word_chars", F.lit(1))),
+        F.sqrt((F.col("n_capitals") + F.lit(MORE_CAPITALS)) / chars),
     )
     out = out.withColumn(
         "base_failed",
@@ -171,114 +168,89 @@ def _marked(value: Column) -> Column:
 
 
 def with_groups(frame: DataFrame) -> DataFrame:
-    """Keys of a row's group (language and source), its language, and all documents."""
+    """Keys of a row's group (language and source) and of its language."""
     lang, source = _marked(F.col("lang")), _marked(F.col("source"))
-    return frame.withColumn("group", F.concat(F.lit("g"), F.length(lang), F.lit(":"), lang, source)).withColumn(
-        "wider", F.concat(F.lit("l"), lang)
-    ).withColumn("widest", F.lit("a"))
+    return frame.withColumns({"group": F.concat(F.length(lang), F.lit(":"), lang, source), "wider": lang})
 
 
 def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """Per group: number, sums and sums of products, exact, over its rows (summed upwards)."""
-    number = "decimal(38,0)"
-    sums = [F.count(F.lit(1)).cast(number).alias("n")]
-    sums += [F.sum(F.col(f"x{i}").cast("decimal(20,0)")).cast(number).alias(f"s{i}") for i in range(DIMENSIONS)]
-    sums += [
-        F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast(number).alias(f"p{i}{j}") for i, j in _pairs()
-    ]
-    return rows.groupBy(*_GROUPS).agg(*sums)
-
-
-def _names() -> list[str]:
-    return ["n"] + [f"s{i}" for i in range(DIMENSIONS)] + [f"p{i}{j}" for i, j in _pairs()]
-
-
-def estimates(sums: DataFrame, consistency: float, prior: float = PRIOR) -> DataFrame:
-    """Per group: blended mean ``m`` and Cholesky factor ``c`` of the covariance."""
-    # One projection a level, of texts: steps are many, and long chains of columns are slow to plan.
-    base = sums
-    for level in ("wider", "widest"):
-        base = base.selectExpr("*", *[f"sum({name}) OVER (PARTITION BY {level}) AS {level}_{name}" for name in _names()])
-
-    def mean(name: str, prefix: str = "") -> str:
-        unit = SCALE * SCALE if name[0] == "p" else SCALE
-        return f"(double({prefix}{name}) / double({prefix}n) / {unit}D)"
-
-    weight = f"{float(prior)!r}D"
-    blended = []
-    for name in _names()[1:]:
-        outer = f"((double(wider_n) * {mean(name, 'wider_')} + {weight} * {mean(name, 'widest_')}) / (double(wider_n) + {weight}))"
-        blended.append(f"(double(n) * {mean(name)} + {weight} * {outer}) / (double(n) + {weight}) AS m_{name}")
-    out = base.selectExpr("group", *blended)
-    spreads = list(RESOLUTIONS.values())
-    covariance = []
+_MEANS = [f"m{i}" for i in range(DIMENSIONS)]
+_FACTORS = [f"c{i}{j}" for i, j in _pairs()]
+_SUMS = ["n", *[f"s{i}" for i in range(DIMENSIONS)], *[f"p{i}{j}" for i, j in _pairs()]]
+
+
+def _moments() -> list[Column]:
+    """Number, sums and sums of products of rows; exact in 64 bits for some 10**10 rows a group."""
+    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMENSIONS)]
+    return sums + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _pairs()]
+
+
+def estimates(sums: DataFrame, priors: DataFrame, consistency: float, prior: float = PRIOR) -> DataFrame:
+    """Sums per group (and start) with mean ``m``, Cholesky factor ``c`` and ``size`` of the covariance.
+
+    ``size`` is the logarithm of the determinant. The prior's rows (means ``o``, spreads ``r``)
+    count as ``prior`` documents of its own mean and of its variances.
+    """
+    weight, own = f"{prior!r}D", [c for c in sums.columns if c not in _SUMS]
+    # One projection a level, of texts: long chains of columns are slow to plan.
+    out = sums.join(priors, "group")
+    out = out.selectExpr(
+        *own, "n", *[f"o{i}" for i in range(DIMENSIONS)], *[f"r{i}" for i in range(DIMENSIONS)],
+        *[f"s{i} / n / {SCALE}D AS a{i}" for i in range(DIMENSIONS)],
+        *[f"p{i}{j} / n / {SCALE * SCALE}D AS b{i}{j}" for i, j in _pairs()],
+        f"n / (n + {weight}) AS share",
+    )
+    variances = []
     for i, j in _pairs():
-        value = f"(m_p{i}{j} - m_s{i} * m_s{j}) * {consistency!r}D"
-        covariance.append((f"greatest({value}, 0D) + {spreads[i] ** 2!r}D" if i == j else value) + f" AS v{i}{j}")
-    out = out.selectExpr("*", *covariance)
+        value = f"share * {consistency!r}D * (b{i}{j} - a{i} * a{j}) + share * (1D - share) * (a{i} - o{i}) * (a{j} - o{j})"
+        variances.append(value + (f" + (1D - share) * r{i} * r{i}" if i == j else "") + f" AS v{i}{j}")
+    means = [f"share * a{i} + (1D - share) * o{i} AS m{i}" for i in range(DIMENSIONS)]
+    out = out.selectExpr(*own, *means, *variances)
+    floors = list(FLOORS.values())
     for j in range(DIMENSIONS):  # column by column: c_ij needs the columns before and c_jj
         for rows in ([j], range(j + 1, DIMENSIONS)):
             factors = []
             for i in rows:
                 rest = f"v{i}{j}" + "".join(f" - c{i}{k} * c{j}{k}" for k in range(j))
-                value = f"sqrt(greatest({rest}, {spreads[i] ** 2 / 100!r}D))" if i == j else f"({rest}) / c{j}{j}"
+                value = f"sqrt(greatest({rest}, {floors[i] ** 2!r}D))" if i == j else f"({rest}) / c{j}{j}"
                 factors.append(f"{value} AS c{i}{j}")
             if factors:
                 out = out.selectExpr("*", *factors)
-    return out.select(
-        "group", *[F.col(f"m_s{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[f"c{i}{j}" for i, j in _pairs()]
-    )
+    size = " + ".join(f"2D * ln(c{i}{i})" for i in range(DIMENSIONS))
+    return out.selectExpr(*own, *_MEANS, *_FACTORS, f"{size} AS size")
 
 
-def with_distance(rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Rows with their squared Mahalanobis distance ``d2`` from their group's estimate."""
-    out = rows.join(parameters, "group", "left")
-    solved: list[str] = []
-    total = F.lit(0.0)
+def with_distance(rows: DataFrame, parameters: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their squared Mahalanobis distance ``d2`` from their group's estimates."""
+    out = rows.join(parameters, "group", how)
     for i in range(DIMENSIONS):  # forward substitution
-        value = F.col(f"x{i}") / SCALE - F.col(f"m{i}")
-        for k in range(i):
-            value = value - F.col(f"c{i}{k}") * F.col(solved[k])
-        out = out.withColumn(f"z{i}", value / F.col(f"c{i}{i}"))
-        solved.append(f"z{i}")
-        total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    out = out.withColumn("d2", total)
-    return out.drop(*solved, *[f"m{i}" for i in range(DIMENSIONS)], *[f"c{i}{j}" for i, j in _pairs()])
+        solved = "".join(f" - c{i}{k} * z{k}" for k in range(i))
+        out = out.selectExpr("*", f"(x{i} / {SCALE}D - m{i}{solved}) / c{i}{i} AS z{i}")
+    squares = " + ".join(f"z{i} * z{i}" for i in range(DIMENSIONS))
+    own = [c for c in out.columns if c not in {*_MEANS, *_FACTORS} and not c.startswith("z")]
+    return out.selectExpr(*[f"`{c}`" for c in own], f"{squares} AS d2")
 
 
-def nearest(spark: SparkSession, rows: DataFrame, share: float = HALF) -> DataFrame:
-    """Per group, the rows in the distance buckets that hold the nearest ``share`` of it.
-
-    Buckets are 1/256 wide in ln(1 + d2), so a group has at most some ten thousand.
-    """
-    bucketed = rows.withColumn("bucket", F.floor(F.log(F.lit(1.0) + F.col("d2")) * 256))
-    counts = bucketed.groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("here"))
-    running = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("group")
-    cuts = (
-        counts.withColumn("upto", F.sum("here").over(running))
-        .withColumn("all", F.sum("here").over(whole))
-        .where(F.col("upto") >= F.col("all") * share)
-        .groupBy("group")
-        .agg(F.min("bucket").alias("cut"))
-    )
-    cuts = stored(spark, cuts, "quality-cuts")  # of known size: one row per group
-    return bucketed.join(cuts, "group").where(F.col("bucket") <= F.col("cut")).drop("bucket", "cut")
-
-
-_MEANS = [f"m{i}" for i in range(DIMENSIONS)]
-_FACTORS = [f"c{i}{j}" for i, j in _pairs()]
+def concentrated(used: DataFrame, parameters: DataFrame, share: float = HALF) -> DataFrame:
+    """Per group and start, the sums of the rows in the distance buckets that hold the nearest ``share``."""
+    near = with_distance(used, parameters.select("group", "start", *_MEANS, *_FACTORS))
+    bucket = F.floor(F.log(F.lit(1.0) + F.col("d2")) * FINE).alias("bucket")
+    sums = near.groupBy("group", "start", bucket).agg(*_moments())
+    whole = Window.partitionBy("group", "start")
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(whole))
+    wanted = sums.where(F.col("before") < F.col("all") * F.lit(share))
+    return wanted.groupBy("group", "start").agg(*[F.sum(name).alias(name) for name in _SUMS])
 
 
 def _quartiles(counts: DataFrame, level: str) -> DataFrame:
-    """Per value of a level: its number of rows, and median and spread of every statistic.
+    """Per value of a level: median ``o`` and spread ``r`` of every statistic.
 
     The spread is the distance of the quartiles, in standard deviations of a normal sample,
-    but at least the resolution.
+    but at least the floor.
     """
     here = counts.groupBy(level, "dimension", "bucket").agg(F.sum("here").alias("here"))
     whole = Window.partitionBy(level, "dimension")
@@ -286,89 +258,59 @@ def _quartiles(counts: DataFrame, level: str) -> DataFrame:
     here = here.withColumn("upto", F.sum("here").over(running)).withColumn("all", F.sum("here").over(whole))
     shares = {"low": 0.25, "middle": 0.5, "high": 0.75}
     places = here.groupBy(level, "dimension").agg(
-        F.max("all").cast("double").alias("all"),
-        *[F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bucket"))).alias(name) for name, share in shares.items()],
+        *[F.min(F.when(F.col("upto") >= F.col("all") * F.lit(share), F.col("bucket"))).alias(name) for name, share in shares.items()]
     )
     unit = WIDTH / SCALE
-    columns = [F.max("all").alias(f"{level}_n")]
-    for i, resolution in enumerate(RESOLUTIONS.values()):
+    columns = []
+    for i, floor in enumerate(FLOORS.values()):
         mine = F.col("dimension") == i
-        spread = F.greatest((F.col("high") - F.col("low")) * (unit / 1.349), F.lit(resolution))
-        columns.append(F.max(F.when(mine, (F.col("middle") + 0.5) * unit)).alias(f"{level}_m{i}"))
-        columns.append(F.max(F.when(mine, spread)).alias(f"{level}_s{i}"))
+        spread = F.greatest((F.col("high") - F.col("low")) * F.lit(unit / 1.349), F.lit(floor))
+        columns.append(F.max(F.when(mine, (F.col("middle") + F.lit(0.5)) * F.lit(unit))).alias(f"o{i}"))
+        columns.append(F.max(F.when(mine, spread)).alias(f"r{i}"))
     return places.groupBy(level).agg(*columns)
 
 
-def robust_starts(spark: SparkSession, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parameters per group from medians and quartiles: of the group, blended, and of its language."""
-    each = F.array(*[F.struct(F.lit(i).alias("dimension"), F.floor(F.col(f"x{i}") / WIDTH).alias("bucket")) for i in range(DIMENSIONS)])
-    counts = used.select("group", "wider", F.explode(each).alias("_x")).select("group", "wider", "_x.*")
-    counts = stored(spark, counts.groupBy("group", "wider", "dimension", "bucket").agg(F.count(F.lit(1)).alias("here")), "quality-counts")
-    both = counts.select("group", "wider").distinct().join(_quartiles(counts, "group"), "group").join(_quartiles(counts, "wider"), "wider")
-    both = stored(spark, both.drop("wider"), "quality-quartiles")
-
-    def parameters(value: Callable[[str], Column]) -> DataFrame:
-        factors = [(value(f"s{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs()]
-        return both.select("group", *[value(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *factors)
-
-    def blended(name: str) -> Column:
-        return (F.col("group_n") * F.col(f"group_{name}") + PRIOR * F.col(f"wider_{name}")) / (F.col("group_n") + PRIOR)
-
-    return parameters(blended), parameters(lambda name: F.col(f"wider_{name}"))
+def _plain(quartiles: DataFrame, start: int) -> DataFrame:
+    """A start from medians and spreads, without covariances."""
+    means = [F.col(f"o{i}").alias(f"m{i}") for i in range(DIMENSIONS)]
+    factors = [(F.col(f"r{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs()]
+    return quartiles.select("group", F.lit(start).alias("start"), *means, *factors)
 
 
-def log_determinant() -> Column:
-    """Logarithm of the determinant of a row's covariance, from its Cholesky factor."""
-    return sum((2 * F.log(F.col(f"c{i}{i}")) for i in range(DIMENSIONS)), F.lit(0.0))
+def fit(spark: SparkSession, vectors: DataFrame) -> DataFrame:
+    """Parameters per group from rows with ``group, wider, base_failed, x0`` to ``x4``.
 
-
-def _moved(before: DataFrame, after: DataFrame) -> float:
-    """The largest change of an estimate, as said at STABLE."""
-    old = before.select("group", log_determinant().alias("_d"), *[F.col(name).alias(f"_{name}") for name in _MEANS])
-    means = [F.abs(F.col(f"m{i}") - F.col(f"_m{i}")) / r for i, r in enumerate(RESOLUTIONS.values())]
-    change = F.greatest(F.abs(log_determinant() - F.col("_d")), *means)
-    return after.join(old, "group").agg(F.max(change)).first()[0] or 0.0
-
-
-def smallest(spark: SparkSession, used: DataFrame, first: DataFrame) -> DataFrame:
-    """Per group the first result, or that of another start if its determinant is clearly smaller.
-
-    All other starts run at once, as groups of their own.
+    Groups in which every document fails the plain limits have none. The steps end by
+    themselves: each one that counts lowers a determinant by a fixed factor, and the floors
+    bound it.
     """
-    others = [first, *robust_starts(spark, used)]
-
-    def named(frame: DataFrame, start: Column, keys: tuple[str, ...]) -> DataFrame:
-        return frame.withColumns({key: F.concat(F.col(key), F.lit("#"), start.cast("string")) for key in keys})
-
-    rows = used.withColumn("_start", F.explode(F.array(*[F.lit(k) for k in range(len(others))])))
-    rows = named(rows, F.col("_start"), _GROUPS).drop("_start")
-    parameters = named(others[0], F.lit(0), ("group",))
-    for k, other in enumerate(others[1:], 1):
-        parameters = parameters.unionByName(named(other, F.lit(k), ("group",)))
-    parameters = stored(spark, parameters, "quality-starts")
-    for step in range(MOST_STEPS):
-        near = nearest(spark, with_distance(rows, parameters))
-        before, parameters = parameters, stored(spark, estimates(moments(near), CONSISTENCY), f"quality-other-{step}")
-        if _moved(before, parameters) < STABLE:
-            break
-    found = parameters.withColumn("group", F.regexp_replace("group", "#[0-9]+$", "")).withColumn("_size", log_determinant())
-    known = first.withColumn("_size", log_determinant() + math.log(CLEARLY))
-    best = F.min_by(F.struct(*_MEANS, *_FACTORS), F.struct("_size", *_MEANS)).alias("_best")
-    return stored(spark, known.unionByName(found).groupBy("group").agg(best).select("group", "_best.*"), "quality-best")
-
-
-def fit(spark: SparkSession, vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Parameters per group from rows with ``group, wider, widest, base_failed, x0`` to ``x4``.
-
-    Groups in which every document fails the plain limits have none.
-    """
-    vectors = vectors.select(*_GROUPS, "base_failed", *[f"x{i}" for i in range(DIMENSIONS)])
-    used = vectors.where(~F.col("base_failed"))
-    parameters = stored(spark, estimates(moments(used), 1.0), "quality-start")
-    for step in range(steps):
-        near = nearest(spark, with_distance(used, parameters))
-        parameters = stored(spark, estimates(moments(near), CONSISTENCY), f"quality-{step}")
-    return smallest(spark, used, parameters)
+    used = vectors.where(~F.col("base_failed")).select(*_GROUPS, *_VECTOR)
+    each = F.array(*[F.struct(F.lit(i).alias("dimension"), F.floor(F.col(f"x{i}") / WIDTH).alias("bucket")) for i in range(DIMENSIONS)])
+    counts = used.select(*_GROUPS, F.explode(each).alias("x")).groupBy(*_GROUPS, "x.dimension", "x.bucket")
+    counts = stored(spark, counts.agg(F.count(F.lit(1)).alias("here")), "quality-counts")
+    of_language = counts.select(*_GROUPS).distinct().join(_quartiles(counts, "wider"), "wider").drop("wider")
+    priors = stored(spark, of_language, "quality-priors")
+    everything = used.groupBy("group").agg(*_moments()).withColumn("start", F.lit(0))
+    starts = estimates(everything, priors, 1.0).drop("size")
+    starts = starts.unionByName(_plain(_quartiles(counts, "group"), 1)).unionByName(_plain(priors, 2))
+    # A start itself is no estimate of a nearest part, so its determinant doesn't count.
+    state = starts.withColumns({"size": F.lit(float("inf")), "moving": F.lit(True)})
+    state = stored(spark, state, "quality-state")
+    rows = used.drop("wider")
+    while not state.where("moving").isEmpty():
+        step = estimates(concentrated(rows, state.where("moving")), priors, CONSISTENCY)
+        # Where the determinant falls no more, the row before stays, and rests.
+        both = state.withColumn("new", F.lit(0)).unionByName(step.withColumns({"moving": F.lit(True), "new": F.lit(1)}))
+        now = F.max(F.when(F.col("new") == 1, F.col("size")))
+        falls = F.coalesce(now < F.max(F.when(F.col("new") == 0, F.col("size"))) - F.lit(FALLS), F.lit(False))
+        chosen = F.struct(*_MEANS, *_FACTORS, "size")
+        kept = both.groupBy("group", "start").agg(
+            falls.alias("moving"), F.max(F.when(F.col("new") == 0, chosen)).alias("old"), F.max(F.when(F.col("new") == 1, chosen)).alias("now")
+        )
+        state = kept.withColumn("p", F.when(F.col("moving"), F.col("now")).otherwise(F.col("old")))
+        state = stored(spark, state.select("group", "start", "p.*", "moving"), "quality-state")
+    best = F.min_by(F.struct(*_MEANS, *_FACTORS), F.struct("size", "start")).alias("best")
+    return stored(spark, state.groupBy("group").agg(best).select("group", "best.*"), "quality-best")
 
 
 _VECTOR = [f"x{i}" for i in range(DIMENSIONS)]
@@ -377,7 +319,7 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def judged(rows: DataFrame, parameters: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Rows with ``distance`` (squared) and ``kept``."""
-    out = with_distance(rows, parameters)
+    out = with_distance(rows, parameters, "left")
     far = F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).withColumnRenamed("d2", "distance")
 
@@ -386,8 +328,9 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOF
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``distance``, ``kept``.
 
     A null text counts as empty: no words, so it fails the plain limits. ``distance``, to six
-    digits, is null where no document of the group passes these. Null languages and sources are values of their own. Equal rows get equal verdicts. No rows give no rows;
-    other input columns are ignored.
+    digits, is null where no document of the group passes these. Null languages and sources are
+    values of their own. Equal rows get equal verdicts. No rows give no rows; a text of any length
+    is read as a whole; other input columns are ignored.
     """
     slim = docs.select("doc_id", "lang", "source", "text")
     rows = with_groups(with_statistics(slim)).select("doc_id", *_GROUPS, *_COUNTS, "base_failed", *_VECTOR)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from agora.llm import html, langid, quality, toxicity
 from llm_cases import documents, prose
@@ -64,18 +65,80 @@ def test_quality_against_labels(spark):
     assert np.mean(kept) > 0.99 and np.mean(rejected) > 0.9
 
 
+def _vectors(spark, values, groups):
+    """Vectors in the integers of the fit, with groups of one language."""
+    rows = [(k, g, "l", False, *map(int, np.round(x * quality.SCALE))) for k, (x, g) in enumerate(zip(values, groups))]
+    columns = ["k int", "group string", "wider string", "base_failed boolean", *[f"x{i} bigint" for i in range(5)]]
+    return spark.createDataFrame(rows, ", ".join(columns))
+
+
+def _rejected(spark, vectors):
+    return {r["k"] for r in quality.judged(vectors, quality.fit(spark, vectors)).where("not kept").collect()}
+
+
 def test_quality_rejects_junk_in_one_cluster(spark):
     """A fifth of a hot source lies in one place; the estimate of all documents hides it."""
     pick = np.random.default_rng(1)
-    resolutions = np.array(list(quality.RESOLUTIONS.values()))
+    floors = np.array(list(quality.FLOORS.values()))
     clean = np.array([1.6, 1.0, 0.3, 0.3, 0.4])
-    values = clean + pick.normal(size=(6000, 5)) * resolutions * 1.5
-    values[:1200] = clean + 9 * resolutions + pick.normal(size=(1200, 5)) * resolutions * 0.2
-    rows = [(k, "g", "l", "a", False, *map(int, np.round(x * quality.SCALE))) for k, x in enumerate(values)]
-    columns = ["k int", "group string", "wider string", "widest string", "base_failed boolean", *[f"x{i} bigint" for i in range(5)]]
-    vectors = spark.createDataFrame(rows, ", ".join(columns))
-    rejected = {r["k"] for r in quality.judged(vectors, quality.fit(spark, vectors)).where("not kept").collect()}
-    assert rejected == set(range(1200))
+    values = clean + pick.normal(size=(6000, 5)) * floors * 1.5
+    values[:1200] = clean + 12 * floors + pick.normal(size=(1200, 5)) * floors * 0.2
+    assert _rejected(spark, _vectors(spark, values, ["g"] * 6000)) == set(range(1200))
+
+
+def test_quality_by_the_covariance(spark):
+    """Word lengths and capitals go together: rows against the trend are out, farther ones along it are in."""
+    pick = np.random.default_rng(2)
+    along = pick.normal(size=4000)
+    values = np.tile([1.6, 1.0, 0.0, 0.0, 0.35], (4000, 1))
+    values[:, 0] += 0.08 * along + 0.01 * pick.normal(size=4000)
+    values[:, 4] += 0.04 * along + 0.005 * pick.normal(size=4000)
+    values[0, [0, 4]] = 1.6 + 0.12, 0.35 - 0.06
+    values[1, [0, 4]] = 1.6 + 0.28, 0.35 + 0.14
+    vectors = _vectors(spark, values, ["g"] * 4000)
+    assert _rejected(spark, vectors) == {0}
+    parameters = quality.fit(spark, vectors)
+    without = parameters.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in quality._pairs() if i != j})
+    spread = F.sqrt(F.col("c44") ** 2 + F.col("c40") ** 2)
+    alone = without.join(parameters.select("group", spread.alias("s")), "group").withColumn("c44", F.col("s")).drop("s")
+    passed = {r["k"]: r["kept"] for r in quality.judged(vectors, alone).collect()}
+    assert passed[0] and not passed[1]  # without covariances the verdicts change sides
+
+
+def test_quality_per_source(spark):
+    """What is usual in one source is rejected in another; small sources lean on their language."""
+    pick = np.random.default_rng(3)
+    groups = ["a"] * 900 + ["b"] * 300 + ["c"] * 3
+    values = np.array([1.6, 0.0, 0.0, 0.0, 0.4]) + pick.normal(size=(1203, 5)) * [0.03, 0, 0, 0, 0.015]
+    values[900:1200, 0] += 0.6
+    values[0, 0] = values[900, 0]
+    values[1, 0] = 1.75
+    assert _rejected(spark, _vectors(spark, values, groups)) == {0}
+
+
+def test_quality_finds_the_smallest_determinant(spark):
+    """No concentration from a hundred random samples ends below the result."""
+    pick = np.random.default_rng(4)
+    centres = np.array([[1.6, 1.0, 0.3, 0.3, 0.4], [1.9, 2.5, 0.6, 0.5, 0.55]])
+    values = centres[(np.arange(900) % 5 > 2).astype(int)] + pick.normal(size=(900, 5)) * [0.05, 0.5, 0.08, 0.08, 0.02]
+    vectors = _vectors(spark, values, ["g"] * 900)
+    found = quality.fit(spark, vectors).first()
+    size = sum(2 * np.log(found[f"c{i}{i}"]) for i in range(5))
+    x, least, share = np.round(values * quality.SCALE) / quality.SCALE, np.inf, 675 / 695
+    middle = np.median(x, axis=0)
+    spreads = np.subtract(*np.quantile(x, [0.75, 0.25], axis=0)) / 1.349
+    for _ in range(100):
+        mean, covariance = x[pick.choice(900, 6, replace=False)], None
+        mean, covariance = mean.mean(axis=0), np.cov(mean.T) + np.diag([1e-6] * 5)
+        for _ in range(30):
+            apart = x - mean
+            near = x[np.argsort((apart * np.linalg.solve(covariance, apart.T).T).sum(axis=1))[:675]]
+            shift = near.mean(axis=0) - middle
+            mean = middle + share * shift
+            covariance = share * quality.CONSISTENCY * np.cov(near.T, bias=True) + share * (1 - share) * np.outer(shift, shift)
+            covariance += (1 - share) * np.diag(spreads**2)
+        least = min(least, np.linalg.slogdet(covariance)[1])
+    assert size < least + 0.05
 
 
 BODY = "<p>This is a paragraph of the article, long enough to count as text.</p><p>It has a second one &amp; a third.</p><p>x</p>"
