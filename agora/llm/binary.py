@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from agora.llm.common import stored
-from agora.llm.tokens import encoder, whole_tokens
+from agora.llm.tokens import encoder, proven_tokens
 
 LONGEST = 20
 BLOCK = 1024
@@ -122,23 +121,18 @@ def unpack(payload: bytes, offsets: np.ndarray, count: int, table: tuple[np.ndar
 
 
 def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, tie, ids): two-byte ids of every text with the end id, compressed."""
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
+    """(doc_id, tie, ids): two-byte ids of every text with the end id."""
+    spark = docs.sparkSession
+    whole = spark.sparkContext.broadcast(proven_tokens(spark, path))  # at most the vocabulary
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = encoder(path, whole.value)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         stop = np.array([end], dtype="<u2").tobytes()
         for batch in batches:
-            rows, ties = [], []
-            for text in batch.column(1):
-                ids = coded(text.as_py()) + stop
-                ties.append(zlib.crc32(ids))
-                rows.append(squeeze(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ties, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "tie", "ids"]
-            )
+            rows = [coded(text) + stop for text in batch.column(1).to_pylist()]
+            ties = pa.array(map(zlib.crc32, rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(rows, pa.binary())], ["doc_id", "tie", "ids"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(encode, f"doc_id {kind}, tie bigint, ids binary")
@@ -148,11 +142,14 @@ def id_counts(rows: DataFrame) -> np.ndarray:
     """How often each id occurs; one row per id and task is shuffled, one per id collected."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, expand = np.zeros(MOST_IDS, dtype=np.int64), zstandard.ZstdDecompressor().decompress
+        total = np.zeros(MOST_IDS, dtype=np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                ids = b"".join(expand(value) for value in batch.column(0).slice(start, 256).to_pylist())
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=MOST_IDS)
+            ids = batch.column(0)
+            if not len(ids):
+                continue
+            flat = np.frombuffer(ids.buffers()[2], "<u2")  # of all rows, end to end
+            bounds = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] // 2
+            total += np.bincount(flat[bounds[0] : bounds[-1]], minlength=MOST_IDS)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["id", "n"])
 
@@ -184,7 +181,6 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = END) -> Non
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = code.value
         shard, number = TaskContext.get().partitionId(), 0
-        expand = zstandard.ZstdDecompressor().decompress
         docs_here: list = []
         ids_here: list[np.ndarray] = []
         size = 0
@@ -207,7 +203,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = END) -> Non
         for batch in batches:
             batch_kind = batch.schema.field(0).type
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(expand(value.as_py()), "<u2")
+                ids = np.frombuffer(value.as_py(), "<u2")
                 docs_here.append(doc_id)
                 ids_here.append(ids)
                 size += len(ids)

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from agora.llm.common import Memo
 
@@ -71,6 +71,18 @@ def whole_tokens(path: str) -> dict[str, int]:
     return proven
 
 
+def proven_tokens(spark: SparkSession, path: str) -> dict[str, int]:
+    """:func:`whole_tokens`, found by one task, so that the library's tables don't stay with the driver."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            whole = whole_tokens(path)
+            yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.string()), pa.array(list(whole.values()), pa.int32())], ["text", "id"])
+
+    rows = spark.range(1).coalesce(1).mapInArrow(found, "text string, id int").toArrow()  # at most the vocabulary
+    return dict(zip(rows.column("text").to_pylist(), rows.column("id").to_pylist()))
+
+
 class Coder:
     """Token ids of chunks of text, with the proven whole tokens looked up."""
 
@@ -215,7 +227,7 @@ def token_counts(docs: DataFrame, path: str, over: int = OVER) -> DataFrame:
     give equal results, no rows give none, and other columns are ignored.
     """
     spark = docs.sparkSession
-    whole = spark.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
+    whole = spark.sparkContext.broadcast(proven_tokens(spark, path))  # at most the vocabulary
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slim = slim.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
 
