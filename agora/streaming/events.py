@@ -49,6 +49,10 @@ def thought_insights(thoughts: DataFrame) -> DataFrame:
     )
 
 
+def with_category(thoughts: DataFrame) -> DataFrame:
+    return thoughts.withColumn("sentiment_category", text.sentiment_category("sentiment_score"))
+
+
 def with_sentiment(thoughts: DataFrame, analyse: Callable | None = None) -> DataFrame:
     """Fill missing sentiment scores from ``analyse`` (column to column, e.g. a pandas UDF).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,6 +40,46 @@ def anomalies(events: DataFrame, window: str = "1 minute", max_votes: int = 20,
     return vote_jobs.voting_anomalies(in_time(events), window, max_votes, max_ips, streaming=True)
 
 
+def rule_anomalies(events: DataFrame, rules: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Windows in which the count of a rule's events per subject reaches its limit.
+
+    ``events`` has event, idea_id, user_id and timestamp; ``rules`` is a table of
+    anomaly_type, severity, event, subject_column (idea_id or user_id), window_seconds and
+    threshold, changed without touching the code. Each event meets the rules of its kind by
+    a join with that table; the windows of each length in it have their own state, and all
+    are one query. Works on a table and, in append or update mode, on a stream.
+    """
+    lengths = [row[0] for row in rules.select("window_seconds").distinct().orderBy("window_seconds").collect()]
+    if not lengths:
+        raise ValueError("at least one rule is needed")
+    slim = events.select("event", "idea_id", "user_id", "timestamp")
+    subject = F.when(F.col("subject_column") == "idea_id", F.col("idea_id").cast("string")).otherwise(F.col("user_id"))
+    parts = []
+    for seconds in lengths:
+        # A watermark of its own for each length: state under a shared one is never let go.
+        counted = (
+            in_time(slim, delay=delay)
+            .join(rules.where(F.col("window_seconds") == seconds), "event")
+            .groupBy(
+                F.window("timestamp", f"{seconds} seconds"),
+                "anomaly_type",
+                "severity",
+                "threshold",
+                subject.alias("subject"),
+            )
+            .agg(F.count(F.lit(1)).alias("event_count"))
+        )
+        parts.append(counted.where(F.col("event_count") >= F.col("threshold")))
+    return reduce(DataFrame.unionByName, parts).select(
+        "anomaly_type",
+        "severity",
+        "subject",
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "event_count",
+    )
+
+
 def start_vote_processing(
     events: DataFrame, broker: Broker, store: TableStore, checkpoints: str
 ) -> dict[str, StreamingQuery]:

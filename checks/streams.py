@@ -11,7 +11,15 @@ from agora.streaming import events as reactions
 from agora.streaming import sinks, stateful
 from agora.streaming import votes as live
 from checks.registry import query
-from checks.votes import WINDOW_COLUMNS, WINDOWS
+from checks.votes import ACTIVITY, ACTIVITY_COLUMNS, RULES, WINDOW_COLUMNS, WINDOWS
+
+
+#: The rules of the batch query as a table.
+RULE_SCHEMA = "anomaly_type string, severity string, event string, subject_column string, window_seconds long, threshold long"
+RULE_ROWS = [
+    (kind, rule["severity"], rule["event"], rule["key"], {"1 day": 86_400, "1 hour": 3_600}[rule["window"]], rule["limit"])
+    for kind, rule in RULES.items()
+]
 
 
 class StreamTables(GivenTables):
@@ -82,13 +90,55 @@ def _(t):
     return result_of(t, stateful.milestones(stream(t).interactions), "update", "milestones")
 
 
-@query("streamed_vote_limit", "user_id:s event_id:s window_position:i is_allowed:b")
+@query(
+    "streamed_vote_limit",
+    "user_id:s event_id:s window_position:i is_allowed:b",
+    """WITH RECURSIVE ordered AS (
+           SELECT user_id, event_id, "timestamp" AS t,
+                  row_number() OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) AS k FROM vote_events
+           WHERE epoch_us("timestamp") <= (SELECT epoch_us(max("timestamp")) // 1000 * 1000 FROM vote_events) -- the last one waits
+       ), judged AS (
+           SELECT user_id, event_id, k, t AS opened, 1 AS window_position FROM ordered WHERE k = 1
+           UNION ALL
+           SELECT o.user_id, o.event_id, o.k, CASE WHEN o.t >= j.opened + INTERVAL 6 HOUR THEN o.t ELSE j.opened END,
+                  CASE WHEN o.t >= j.opened + INTERVAL 6 HOUR THEN 1 ELSE j.window_position + 1 END
+           FROM judged j JOIN ordered o ON o.user_id = j.user_id AND o.k = j.k + 1
+       )
+       SELECT user_id, event_id, window_position, window_position <= 1 AS is_allowed FROM judged""",
+)
 def _(t):
     stateful.use_state_store(t.spark)
-    judged = stateful.limit_votes(stream(t).vote_events, limit=1, seconds=6 * 3600)
+    judged = stateful.limit_votes(stream(t).vote_events, limit=1, seconds=6 * 3600, delay="0 seconds")
     return result_of(t, judged, "append", "vote-limit")
 
 
+@query(
+    "streamed_thought_history",
+    "user_id:s place:i event_id:s sentiment_category:s word_count:i",
+    """SELECT user_id, row_number() OVER newest AS place, CAST(thought_id AS VARCHAR) AS event_id,
+              CASE WHEN sentiment_score > 0.3 THEN 'positive' WHEN sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END
+              AS sentiment_category, thought_id % 97 AS word_count
+       FROM thoughts
+       WINDOW newest AS (PARTITION BY user_id ORDER BY "timestamp" DESC, CAST(thought_id AS VARCHAR) DESC) QUALIFY place <= 3""",
+)
+def _(t):
+    stateful.use_state_store(t.spark)
+    rows = reactions.with_category(stream(t).thoughts).withColumns(
+        {"event_id": F.col("thought_id").cast("string"), "word_count": F.col("thought_id") % 97}
+    )
+    return last_update(result_of(t, stateful.recent_thoughts(rows, keep=3), "update", "history"), "user_id", "place")
+
+
+@query("streamed_activity_anomalies", ACTIVITY_COLUMNS, ACTIVITY)
+def _(t):
+    rows = stream(t)
+    votes = rows.votes.select(F.lit("vote").alias("event"), "idea_id", "user_id", F.col("created_at").alias("timestamp"))
+    comments = rows.comments.select(F.lit("comment").alias("event"), "idea_id", "user_id", F.col("created_at").alias("timestamp"))
+    rules = t.spark.createDataFrame(RULE_ROWS, RULE_SCHEMA)
+    found = live.rule_anomalies(votes.unionByName(comments), rules)
+    return last_update(result_of(t, found, "update", "activity"), "anomaly_type", "subject", "window_start")
+
+
 @query(
     "streamed_vote_changes",
     "idea_id:i upvotes:i downvotes:i",

@@ -335,10 +335,8 @@ RULES = {
 }
 
 
-@query(
-    "activity_anomalies",
-    "anomaly_type:s severity:s subject:s window_start:t event_count:i",
-    """SELECT 'vote_surge' AS anomaly_type, 'Medium' AS severity, CAST(idea_id AS VARCHAR) AS subject,
+ACTIVITY_COLUMNS = "anomaly_type:s severity:s subject:s window_start:t event_count:i"
+ACTIVITY = """SELECT 'vote_surge' AS anomaly_type, 'Medium' AS severity, CAST(idea_id AS VARCHAR) AS subject,
               date_trunc('day', created_at)::TIMESTAMP AS window_start, count(*) AS event_count
        FROM votes GROUP BY ALL HAVING count(*) >= 5
        UNION ALL
@@ -346,8 +344,10 @@ RULES = {
        FROM comments GROUP BY ALL HAVING count(*) >= 4
        UNION ALL
        SELECT 'rapid_voter', 'High', user_id, date_trunc('day', created_at)::TIMESTAMP, count(*)
-       FROM votes GROUP BY ALL HAVING count(*) >= 4""",
-)
+       FROM votes GROUP BY ALL HAVING count(*) >= 4"""
+
+
+@query("activity_anomalies", ACTIVITY_COLUMNS, ACTIVITY)
 def _(t):
     return jobs.activity_anomalies({"vote": t.votes, "comment": t.comments}, RULES)
 

@@ -146,16 +146,119 @@ def allowed(times, limit, seconds):
     return out
 
 
+def judged(rows, limit, seconds=60):
+    """Every vote's verdict when the votes of a user are taken in order of time."""
+    out = {}
+    for user in {r[3] for r in rows}:
+        own = sorted((r[6], r[0]) for r in rows if r[3] == user)
+        out |= dict(zip([i for _, i in own], allowed([t for t, _ in own], limit, seconds)))
+    return out
+
+
 def test_vote_limit_matches_brute_force(source, tmp_path):
-    minutes = {"a": [0, 0.2, 0.4, 0.9, 1.1, 1.2, 3.0], "b": [0.5, 1.4, 1.6, 2.5, 2.6, 2.7, 2.8]}
+    """Votes come in any order over the batches; each is judged by its own time."""
+    minutes = {"a": [0, 0.2, 0.4, 0.9, 1.1, 1.2, 3.0], "b": [0.5, 1.4, 1.6, 2.5, 2.6, 2.7, 2.8], "c": [2.0, 2.0, 2.0, 2.99]}
     rows = [vote(100 * k + i, user, m) for k, (user, ms) in enumerate(minutes.items()) for i, m in enumerate(ms)]
-    rows.sort(key=lambda r: r[6])
-    source.add(rows[:7])
-    source.add(rows[7:])
-    out = run(stateful.limit_votes(source.stream(), limit=2), tmp_path).orderBy("event_id").collect()
-    for user, ms in minutes.items():
-        got = [r.is_allowed for r in out if r.user_id == user]
-        assert got == allowed([T0 + timedelta(minutes=m) for m in ms], 2, 60)
+    mixed = sorted(rows, key=lambda r: (r[0][::-1], r[3]))
+    for start in range(0, len(mixed), 5):
+        source.add(mixed[start : start + 5])
+    end = vote(900, "end", 30)
+    source.add([end])
+    out = run(stateful.limit_votes(source.stream(), limit=2), tmp_path).collect()
+    assert {r.event_id: r.is_allowed for r in out} == judged(rows, 2)  # the last vote still waits
+    assert len(out) == len(rows) and all(r.timestamp is not None for r in out)
+
+
+def test_vote_limit_over_a_restart(source, tmp_path):
+    """A window open at the stop goes on, late votes are dropped, waiting ones come out later."""
+    rows = [vote(1, "a", 0), vote(2, "a", 0.5), vote(3, "b", 11)]
+    source.add(rows)
+    first = run(stateful.limit_votes(source.stream(), limit=1), tmp_path)
+    assert sorted((r.event_id, r.is_allowed) for r in first.collect()) == [("0001", True), ("0002", False)]
+    more = [vote(4, "a", 1.5), vote(5, "b", 11.5), vote(6, "end", 60)]
+    source.add([vote(7, "a", 0.2), *more])
+    again = run(stateful.limit_votes(source.stream(), limit=1), tmp_path)
+    verdicts = {r.event_id: r.is_allowed for r in again.collect()}
+    assert verdicts == judged(rows + more[:2], 1) and "0007" not in verdicts
+
+
+def test_vote_limit_leaves_no_state(spark, source, tmp_path):
+    source.add([vote(i, f"u{i % 3}", i / 10) for i in range(20)])
+    source.add([vote(90, "end", 200)])
+    run(stateful.limit_votes(source.stream(), limit=2), tmp_path, name="limit")
+    state = lambda kind, **more: (
+        spark.read.format("statestore").option("stateVarName", kind).options(**more).load(f"{tmp_path}/limit-cp")
+    )
+    assert state("window").count() == 0
+    assert {r.key.user_id for r in state("waiting", flattenCollectionTypes="true").collect()} == {"end"}
+
+
+def test_history_equals_a_window(spark, source, tmp_path):
+    """The newest records, whatever batch they come in; a repeated event counts once."""
+    rows = [vote(i, f"u{i % 2}", (7 * i) % 23) for i in range(30)]
+    for start in range(0, 30, 8):
+        source.add(rows[start : start + 8] + rows[:1])
+    thoughts = source.stream().select("user_id", "event_id", "timestamp", F.lit("neutral").alias("sentiment_category"), F.lit(3).alias("word_count"))
+    out = run(stateful.recent_thoughts(thoughts, keep=4), tmp_path, "update")
+    last = out.groupBy("user_id", "place").agg(F.max_by("event_id", "batch_id").alias("event_id"))
+    wanted = {
+        (user, k): r[0] for user in ("u0", "u1") for k, r in enumerate(sorted((r for r in rows if r[3] == user), key=lambda r: (r[6], r[0]), reverse=True)[:4], 1)
+    }
+    assert {(r.user_id, r.place): r.event_id for r in last.collect()} == wanted
+
+
+def test_history_is_forgotten(spark, source, tmp_path):
+    """Records an hour behind the watermark leave, users without any leave the state."""
+    def step():
+        thoughts = source.stream().select("user_id", "event_id", "timestamp", F.lit("neutral").alias("sentiment_category"), F.lit(3).alias("word_count"))
+        return run(stateful.recent_thoughts(thoughts, keep=5, hours=1), tmp_path, "update")
+
+    source.add([vote(1, "a", 0), vote(2, "a", 50), vote(3, "b", 1)])
+    assert step().count() == 3
+    source.add([vote(4, "z", 80)])  # the watermark is at minute 70
+    source.add([vote(5, "a", 81)])
+    assert sorted((r.user_id, r.event_id) for r in step().collect() if r.batch_id > 1) == [("a", "0002"), ("a", "0005"), ("z", "0004")]
+    state = spark.read.format("statestore").option("stateVarName", "kept").option("flattenCollectionTypes", "true").load(f"{tmp_path}/out-cp")
+    assert {r.key.user_id for r in state.collect()} == {"a", "z"}
+
+
+RULES = "anomaly_type string, severity string, event string, subject_column string, window_seconds long, threshold long"
+
+
+def test_rules_on_a_stream(spark, source, tmp_path):
+    """Two window lengths in one query; late rows don't count; a row per closed window."""
+    rules = spark.createDataFrame(
+        [("surge", "Medium", "vote", "idea_id", 600, 3), ("rapid", "High", "vote", "user_id", 20, 2), ("flood", "Low", "comment", "idea_id", 600, 1)], RULES
+    )
+    rows = [vote(1, "a", 0), vote(2, "a", 0.25), vote(3, "b", 9), vote(4, "b", 10), vote(5, "c", 11, idea=2)]
+    source.add(rows)
+    source.add([vote(6, "z", 100, idea=9)])
+    source.add([vote(10, "z", 100.5, idea=6)])  # rows are judged late by the watermark of the batch before
+    source.add([vote(7, "a", 0.1), vote(8, "z", 101, idea=8)])  # the first of these is late
+    source.add([vote(9, "z", 300, idea=7)])
+    events = source.stream().withColumn("event", F.lit("vote"))
+    out = run(live.rule_anomalies(events, rules), tmp_path)
+    got = {(r.anomaly_type, r.severity, r.subject, r.window_start, r.event_count) for r in out.collect()}
+    assert got == {("surge", "Medium", "1", T0, 3), ("rapid", "High", "a", T0, 2)}
+    batch = spark.createDataFrame(rows, schemas.VOTE_EVENT).withColumn("event", F.lit("vote"))
+    same = live.rule_anomalies(batch, rules).collect()
+    assert {(r.anomaly_type, r.severity, r.subject, r.window_start, r.event_count) for r in same} == got
+    with pytest.raises(ValueError, match="rule"):
+        live.rule_anomalies(batch, rules.limit(0))
+
+
+def test_algorithm_performance_on_a_stream(spark, tmp_path):
+    folder = tmp_path / "recommendations"
+    folder.mkdir()
+    schema = "algorithm string, confidence_score double"
+    for n, rows in enumerate([[("a", 0.5), ("b", 1.0)], [("a", 0.7), (None, 0.1), ("a", None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/part-{n}")
+        next((tmp_path / f"part-{n}").glob("*.json")).rename(folder / f"{n}.json")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    out = run(reactions.algorithm_performance(stream), tmp_path, "update", name="performance")
+    last = out.groupBy("algorithm").agg(F.max_by(F.struct("recommendations_generated", "average_confidence"), "batch_id").alias("r"))
+    got = {r.algorithm: (r.r[0], None if r.r[1] is None else round(r.r[1], 9)) for r in last.collect()}
+    assert got == {"a": (3, 0.6), "b": (1, 1.0), None: (1, 0.1)}
 
 
 def test_vote_life_cycle(source, tmp_path):
