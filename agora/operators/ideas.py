@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agora.functions import scores, stats, text, timeparts
 from agora.operators import votes as vote_jobs
+from agora.operators.quantiles import values_at_ranks
 
 SORT_COLUMNS = ("created_at", "vote_count", "average_rating")
 
@@ -229,9 +230,8 @@ def list_ideas(
         raise ValueError(f"sort_by must be one of {SORT_COLUMNS}")
     if page < 1 or not 1 <= page_size <= 100:
         raise ValueError("page must be positive and page_size between 1 and 100")
-    order = F.desc(sort_by) if descending else F.asc(sort_by)
     total = ideas.agg(F.count(F.lit(1))).scalar()
-    rows = ideas.orderBy(order, "idea_id").offset((page - 1) * page_size).limit(page_size)
+    rows = page_rows(ideas, sort_by, descending, (page - 1) * page_size, page_size)
     return (
         with_comment_count(rows, comments)
         .withColumn("total", total)
@@ -239,6 +239,94 @@ def list_ideas(
     )
 
 
+#: Rows before a page up to which they are ordered along with it.
+SHALLOW = 200
+
+
+def _listing_order(sort_by: str, descending: bool) -> list[Column]:
+    return [F.desc(sort_by) if descending else F.asc(sort_by), F.asc("idea_id")]
+
+
+def _number(ideas: DataFrame, sort_by: str) -> Column:
+    """A sort column as a number, exact up to 2**53."""
+    kind = dict(ideas.dtypes)[sort_by]
+    return F.unix_micros(F.col(sort_by).cast("timestamp")) if kind.startswith("timestamp") else F.col(sort_by)
+
+
+def page_rows(ideas: DataFrame, sort_by: str, descending: bool, offset: int, size: int) -> DataFrame:
+    """``size`` rows from place ``offset`` on in the order of a listing; ties by id.
+
+    Far from the start the rows before a page are counted, not gathered: the sort value at
+    the place is found by its rank, then the id among the rows of this value, and only rows
+    from there on are read and ordered.
+    """
+    order = _listing_order(sort_by, descending)
+    if offset <= SHALLOW:
+        return ideas.orderBy(*order).offset(offset).limit(size)
+    keyed = ideas.withColumn("_key", _number(ideas, sort_by).cast("double"))
+    keyed = keyed.withColumn("_key", F.when(F.isnan("_key"), F.lit(float("inf"))).otherwise(F.col("_key")))
+    missing = keyed.where(F.col("_key").isNull())
+    # Nulls come last in descending order and first in ascending order.
+    empty = missing.count()
+    if not descending and offset < empty:
+        return _from_id(missing, offset, size, keyed.where(F.col("_key").isNotNull()), order)
+    skipped = offset if descending else offset - empty
+    there = keyed.where(F.col("_key").isNotNull())
+
+    def place(total: int) -> list[int]:
+        return [total - 1 - skipped if descending else skipped] if skipped < total else []
+
+    share = _share(there.count(), skipped, descending)
+    total, found = values_at_ranks(there, "_key", [share], place)
+    if not found:
+        return _from_id(missing, skipped - total, size, None, order) if descending else keyed.drop("_key").limit(0)
+    value = found[0].value
+    same = there.where(F.col("_key") == value)
+    rest = there.where(F.col("_key") < value if descending else F.col("_key") > value)
+    if descending:
+        before = total - found[0].below - same.count()
+        rest = rest.unionByName(missing)
+    else:
+        before = found[0].below
+    return _from_id(same, skipped - before, size, rest, order)
+
+
+def _share(total: int, skipped: int, descending: bool) -> float:
+    share = min(skipped / max(total - 1, 1), 1.0)
+    return 1.0 - share if descending else share
+
+
+def _from_id(same: DataFrame, skipped: int, size: int, rest: DataFrame | None, order: list[Column]) -> DataFrame:
+    """A page that starts at place ``skipped``, by id, of rows with one sort value."""
+    _, found = values_at_ranks(same, "idea_id", [_share(same.count(), skipped, False)], lambda n: [skipped] if skipped < n else [])
+    if not found:
+        return same.drop("_key").limit(0)
+    rows = same.where(F.col("idea_id") >= found[0].value)
+    if rest is not None:
+        rows = rows.unionByName(rest)
+    # Rows that repeat the id at this place may come before it.
+    return rows.drop("_key").orderBy(*order).offset(skipped - found[0].below).limit(size)
+
+
+def ideas_after(
+    ideas: DataFrame, value: object, idea_id: int, size: int = 20, sort_by: str = "created_at", descending: bool = True
+) -> DataFrame:
+    """The next rows of a listing after the one with this sort value and id (a cursor).
+
+    The filter reaches the scan, so a page costs the same wherever it is. ``value`` may be None.
+    """
+    if sort_by not in SORT_COLUMNS:
+        raise ValueError(f"sort_by must be one of {SORT_COLUMNS}")
+    column, last = F.col(sort_by), F.lit(value)
+    if value is None:
+        later = column.isNull() & (F.col("idea_id") > idea_id)
+        later = later if descending else later | column.isNotNull()
+    else:
+        later = (column < last if descending else column > last) | ((column == last) & (F.col("idea_id") > idea_id))
+        later = later | column.isNull() if descending else later
+    return ideas.where(later).orderBy(*_listing_order(sort_by, descending)).limit(size)
+
+
 def with_comment_count(ideas: DataFrame, comments: DataFrame) -> DataFrame:
     counts = active_comments(comments).groupBy("idea_id").agg(F.count(F.lit(1)).alias("comments_count"))
     return ideas.join(counts, "idea_id", "left").fillna(0, ["comments_count"])

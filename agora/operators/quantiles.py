@@ -1,79 +1,122 @@
-"""Exact quantiles and the interquartile outlier filter on columns of any size.
+"""Exact order statistics and the interquartile outlier filter on columns of any size.
 
-``percentile`` keeps every distinct value of the column in one task. Here one sketch
-narrows the column to a short stretch around each wanted rank, and one more pass counts the
-values in these stretches exactly, whatever the size of the table.
+``percentile`` keeps every distinct value of the column in one task, and a running count over
+sorted values would order them in one. Here ranks are found by counting: a sketch narrows the
+column to a short stretch around each wanted rank, the rows in it are counted per bucket of
+values, and the bucket that holds the rank is cut into buckets again until it holds one value.
+A pass returns a few thousand counts, however many rows or distinct values there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Rank error of a sketch is 1/ACCURACY of the rows it saw; stretches are wider than that.
 ACCURACY = 50_000
 MARGIN = 4.0 / ACCURACY
+#: Buckets that a stretch is cut into.
+BUCKETS = 4_096
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
-    """Linearly interpolated quantiles of a numeric column; nulls and NaN are left out.
+@dataclass(frozen=True)
+class Ranked:
+    """The value at a rank, and how many rows lie below this value."""
+
+    value: float
+    below: int
+
+
+def values_at_ranks(
+    df: DataFrame, column: str | Column, shares: Sequence[float], ranks: Callable[[int], Sequence[int]]
+) -> tuple[int, list[Ranked]]:
+    """The number of values, and those at some places (from 0) of a column in ascending order.
 
-    Two passes over one column for all shares. The second returns the few values next to the
-    wanted ranks; what it orders is the stretches, less than a thousandth of the rows.
+    ``ranks`` says the places for a number of values; ``shares`` are about where they lie. Nulls
+    and NaN are left out. Whole numbers are exact up to 2**53. One pass for the sketch and one
+    for each cut: mostly a single one, more where values differ by many orders of magnitude.
     """
-    value = F.col("v")
-    values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull() & ~F.isnan(value))
+    value, finite = F.col("v"), F.abs(F.col("v")) < math.inf
+    values = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v"))
+    values = values.where(value.isNotNull() & ~F.isnan(value))
     edges = [min(max(share + side, 0.0), 1.0) for share in shares for side in (-MARGIN, MARGIN)]
     seen = values.agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.percentile_approx(value, edges, ACCURACY).alias("q"),
+        F.count_if(finite).alias("n"),
+        F.count_if(value == -math.inf).alias("lowest"),
+        F.count_if(value == math.inf).alias("highest"),
+        F.percentile_approx(F.when(finite, value), edges, ACCURACY).alias("q"),
     ).first()
-    if not seen["n"]:
-        return [None] * len(shares)
-    stretches = [
-        (seen["min"] if edges[2 * k] == 0.0 else seen["q"][2 * k], seen["max"] if edges[2 * k + 1] == 1.0 else seen["q"][2 * k + 1])
-        for k in range(len(shares))
-    ]
-    positions = [(seen["n"] - 1) * share for share in shares]
-    found = _at_ranks(values, stretches, positions)
-    if found is None:  # a sketch has missed: its error bound holds with high probability only
-        found = _at_ranks(values, [(seen["min"], seen["max"])], positions)
-    return [_between(position, *found[k]) for k, position in enumerate(positions)]
-
-
-def _at_ranks(
-    values: DataFrame, stretches: list[tuple[float, float]], positions: list[float]
-) -> list[tuple[float, float]] | None:
-    """The values at the ranks around each position, or None if one lies outside the stretches.
-
-    Values outside all stretches are counted between their borders, as one value each.
+    total = seen["lowest"] + seen["n"] + seen["highest"]
+    found: dict[int, Ranked] = {}
+    open_: dict[int, tuple[float, float]] = {}
+    wanted = list(ranks(total)) if total else []
+    for rank in wanted:
+        if rank < seen["lowest"]:
+            found[rank] = Ranked(-math.inf, 0)
+        elif rank >= seen["lowest"] + seen["n"]:
+            found[rank] = Ranked(math.inf, seen["lowest"] + seen["n"])
+        else:
+            place = (rank - seen["lowest"]) / max(seen["n"] - 1, 1)
+            near = min(range(len(shares)), key=lambda k: abs(shares[k] - place))
+            open_[rank] = (seen["q"][2 * near], seen["q"][2 * near + 1])
+    rows = values.where(finite)
+    below = dict.fromkeys(open_, seen["lowest"])
+    everywhere = True
+    while open_:
+        spans = sorted(set(open_.values()))
+        counts = _counted(rows, spans, everywhere)
+        everywhere = False
+        for rank, span in list(open_.items()):
+            before = below[rank]
+            for n, low, high in counts[spans.index(span)]:
+                if rank < before + n:
+                    break
+                before += n
+            below[rank] = before
+            if low == high:
+                found[rank] = Ranked(low, before)
+                del open_[rank]
+            else:
+                open_[rank] = (low, high)
+    return total, [found[rank] for rank in wanted]
+
+
+def _counted(rows: DataFrame, spans: list[tuple[float, float]], everywhere: bool) -> list[list[tuple[int, float, float]]]:
+    """Per span the (number, least, greatest) of each of its buckets, in order.
+
+    With ``everywhere``, what lies below and above a span are two more buckets.
     """
-    value = F.col("v")
-    inside = _any([value.between(low, high) for low, high in stretches])
-    borders = sorted({border for stretch in stretches for border in stretch})
-    gap = F.lit(0)
-    for border in borders:
-        gap = gap + F.when(value > border, 1).otherwise(0)
-    counts = values.groupBy(
-        F.when(inside, value).alias("v"), F.when(~inside, gap).alias("gap"), inside.alias("inside")
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("first"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("first")))
-    wanted = [rank for position in positions for rank in (math.floor(position), math.ceil(position))]
-    # The value at a rank is the first one with more rows up to it than the rank says.
-    row = upto.agg(
-        *[
-            F.min(F.when(F.col("upto") > rank, F.struct("upto", "first", "inside"))).alias(f"r{k}")
-            for k, rank in enumerate(wanted)
-        ]
-    ).first()
-    at = [row[f"r{k}"] for k in range(len(wanted))]
-    if not all(one["inside"] for one in at):
-        return None
-    return [(at[2 * k]["first"], at[2 * k + 1]["first"]) for k in range(len(positions))]
+    value, places = F.col("v"), []
+    for k, (low, high) in enumerate(spans):
+        # Halves, so that a difference can't overflow; the ends lie in different buckets.
+        part = F.floor((value / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS) if low < high else F.lit(0)
+        bucket = F.when(value.between(low, high), F.least(part.cast("int"), F.lit(BUCKETS - 1)))
+        if everywhere:
+            bucket = F.when(value < low, -1).when(value > high, BUCKETS).otherwise(bucket)
+        places.append(F.when(bucket.isNotNull(), F.struct(F.lit(k).alias("span"), bucket.alias("bucket"))))
+    if not everywhere:
+        rows = rows.where(_any([value.between(low, high) for low, high in spans]))
+    placed = rows.select("v", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
+    counts = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    out: list[list[tuple[int, float, float]]] = [[] for _ in spans]
+    for row in sorted(counts.collect(), key=lambda r: r["p"]["bucket"]):  # at most BUCKETS + 2 rows a span
+        out[row["p"]["span"]].append((row["n"], row["low"], row["high"]))
+    return out
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of a numeric column; nulls and NaN are left out."""
+
+    def ranks(total: int) -> list[int]:
+        return [rank for share in shares for rank in (math.floor((total - 1) * share), math.ceil((total - 1) * share))]
+
+    total, found = values_at_ranks(df, column, shares, ranks)
+    if not total:
+        return [None] * len(shares)
+    return [_between((total - 1) * share, found[2 * k].value, found[2 * k + 1].value) for k, share in enumerate(shares)]
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from agora.functions import scores, text, timeparts
@@ -190,6 +192,37 @@ def _(t):
     return jobs.list_ideas(t.rated_ideas, t.comments, page=2, page_size=20, sort_by="vote_count")
 
 
+@query(
+    "idea_listing_deep_page",
+    "idea_id:i vote_count:i comments_count:i total:i total_pages:i",
+    """SELECT idea_id, vote_count, coalesce(n, 0) AS comments_count, total, (total + 9) // 10 AS total_pages
+       FROM (SELECT *, count(*) OVER () AS total FROM rated_ideas ORDER BY vote_count DESC, idea_id LIMIT 10 OFFSET 540)
+       LEFT JOIN (SELECT idea_id, count(*) AS n FROM active_comments GROUP BY idea_id) USING (idea_id)""",
+)
+def _(t):
+    return jobs.list_ideas(t.rated_ideas, t.comments, page=55, page_size=10, sort_by="vote_count")
+
+
+@query(
+    "idea_listing_among_ties",
+    "idea_id:i average_rating:f",
+    """SELECT idea_id, average_rating FROM rated_ideas ORDER BY average_rating NULLS FIRST, idea_id LIMIT 50 OFFSET 300""",
+)
+def _(t):
+    return jobs.list_ideas(t.rated_ideas, t.comments, page=7, page_size=50, sort_by="average_rating", descending=False)
+
+
+@query(
+    "idea_listing_after",
+    "idea_id:i created_at:t",
+    """SELECT idea_id, created_at FROM ideas
+       WHERE created_at < TIMESTAMP '2024-01-15 12:30:00' OR (created_at = TIMESTAMP '2024-01-15 12:30:00' AND idea_id > 300)
+       ORDER BY created_at DESC, idea_id LIMIT 25""",
+)
+def _(t):
+    return jobs.ideas_after(t.ideas, datetime(2024, 1, 15, 12, 30), 300, size=25)
+
+
 @query(
     "ideas_with_comment_count",
     "idea_id:i comments_count:i",

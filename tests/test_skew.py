@@ -109,3 +109,40 @@ def test_sessions_over_buckets(spark, rows_per_bucket):
             last, count = t, count + 1
             expected[(user, start)] = (last, count)
     assert got == expected
+
+
+ODD = {
+    "huge": [1e-300, 1e300, -1e300, 3.0, 1.7e308, -1.7e308, 0.0, 5e-324],
+    "infinite": [float("-inf"), float("-inf"), 1.0, 2.0, float("inf")],
+    "equal": [4.0] * 9,
+    "one": [7.0],
+}
+
+
+@pytest.mark.parametrize("name", list(ODD))
+def test_ranks_of_odd_values(spark, name):
+    data = ODD[name]
+    df = spark.createDataFrame([(x,) for x in [*data, None, float("nan")]], "x double")
+    total, found = quantiles.values_at_ranks(df, "x", [0.5], lambda n: list(range(n)))
+    assert total == len(data) and [one.value for one in found] == sorted(data)
+    assert [one.below for one in found] == [sum(x < y for x in data) for y in sorted(data)]
+
+
+def test_ranks_of_many_values_need_no_large_task(spark):
+    """Three million distinct values: what is shuffled and collected are bucket counts only."""
+    rows = 3_000_000
+    df = spark.range(rows).select(((F.col("id") * 7_919) % rows).cast("double").alias("x"))
+    counted = []
+    inner = quantiles._counted
+
+    def watched(*args):
+        out = inner(*args)
+        counted.append(sum(map(len, out)))
+        return out
+
+    quantiles._counted = watched
+    try:
+        assert quantiles.exact_quantiles(df, "x", [0.25, 0.75]) == [(rows - 1) / 4, (rows - 1) * 0.75]
+    finally:
+        quantiles._counted = inner
+    assert len(counted) <= 2 and max(counted) <= 2 * (quantiles.BUCKETS + 2)
