@@ -56,7 +56,10 @@ def without_summary(model: PipelineModel) -> PipelineModel:
     The summary holds the session and with it whatever the session holds; a model that
     carries it can't travel to tasks once something was observed in the session.
     """
-    return PipelineModel([*model.stages[:-1], model.stages[-1].copy()])
+    last = model.stages[-1].copy()
+    if getattr(last, "hasSummary", False):  # some kinds of models copy it
+        last._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return PipelineModel([*model.stages[:-1], last])
 
 
 def _fit(

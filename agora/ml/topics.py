@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -192,3 +193,62 @@ def topic_trend(mixtures: DataFrame, ideas: DataFrame, period: str = "week") ->
         .groupBy("topic", "period")
         .agg(F.avg("share").alias("topic_share"))
     )
+
+
+@dataclass
+class Hierarchy:
+    """Cluster of every idea per level, sizes with the parent of each cluster, and silhouettes."""
+
+    assignments: DataFrame
+    sizes: DataFrame
+    silhouettes: dict[int, float]
+
+
+def cluster_hierarchy(ideas: DataFrame, levels: int = 3, vocabulary: int = 1000, partitions: int | None = None) -> Hierarchy:
+    """Bisecting k-means over TF-IDF: level ``l`` has up to 2**l clusters, each one half of a cluster above.
+
+    A level repeats the splits of the one before and goes on from there. A cluster's parent is the
+    cluster above that most of its ideas lie in; ``shared`` is their number.
+    """
+    if levels < 1:
+        raise ValueError("a hierarchy has one level at least")
+    rows = features.spread(ideas.select("idea_id", "title", "description"), partitions).select(
+        "idea_id", text.normalised_text("title", "description").alias("combined_text")
+    )
+    prepare = Pipeline(
+        stages=[
+            *features.word_stages(),
+            CountVectorizer(inputCol="filtered_words", outputCol="counts", minDF=2.0, vocabSize=vocabulary),
+            IDF(inputCol="counts", outputCol="weighted"),
+            Normalizer(inputCol="weighted", outputCol="features"),
+        ]
+    ).fit(rows)
+    prepared = prepare.transform(rows).select("idea_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    silhouettes, found = {}, prepared
+    try:
+        for level in range(1, levels + 1):
+            name = f"level_{level}"
+            model = BisectingKMeans(k=2**level, seed=features.SEED, featuresCol="features", predictionCol=name).fit(prepared)
+            found = model.transform(found)
+            if len(model.clusterCenters()) > 1:
+                measure = ClusteringEvaluator(predictionCol=name, featuresCol="features")
+                silhouettes[level] = measure.evaluate(model.transform(prepared))
+        # Kept as a table of small rows, so that the vectors can go.
+        assignments = found.drop("features").persist(StorageLevel.MEMORY_AND_DISK)
+        assignments.count()
+    finally:
+        prepared.unpersist()
+    parts = []
+    for level in range(1, levels + 1):
+        above = F.col(f"level_{level - 1}") if level > 1 else F.lit(0)
+        pairs = assignments.groupBy(F.col(f"level_{level}").alias("cluster_id"), above.alias("parent")).agg(F.count(F.lit(1)).alias("shared"))
+        parts.append(
+            pairs.groupBy("cluster_id")
+            .agg(
+                F.sum("shared").alias("idea_count"),
+                F.max_by("parent", F.struct("shared", -F.col("parent"))).alias("parent"),
+                F.max("shared").alias("shared"),
+            )
+            .select(F.lit(level).alias("level"), "cluster_id", "parent", "idea_count", "shared")
+        )
+    return Hierarchy(assignments, reduce(DataFrame.unionByName, parts), silhouettes)

@@ -1,9 +1,12 @@
+import json
 from datetime import datetime
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from agora.ml import features, success, topics
+from agora.ml import features, selection, success, topics
 from agora.operators import ideas as idea_jobs
 from agora.plans import batch, daily, models
 from agora.sources.adapter import AS_OF
@@ -160,3 +163,69 @@ def test_training_after_an_etl_run(spark, tables, metrics, tmp_path):
     assert success.train_popularity(tables.ideas, tables.votes).predictions.count() > 0
     trained = success.train_success(metrics, trees=3)
     assert success.predict_success(metrics, trained.model).count() == 80
+
+
+def test_selection_is_repeatable(metrics):
+    """The same folds, figures and model, however the rows lie; the record names the best settings."""
+    grid = {"numTrees": (2, 4), "maxDepth": (1, 3)}
+    first, again = (selection.select_success_model(rows, "forest", grid) for rows in (metrics.coalesce(1), metrics.repartition(5)))
+    assert first.settings == again.settings and first.metric == again.metric
+    table = first.record.collect()
+    assert len(table) == 4 and [r.is_best for r in table].count(True) == 1
+    best = next(r for r in table if r.is_best)
+    assert best.metric == max(r.metric for r in table) == first.metric
+    assert json.loads(best.settings) == first.settings
+    assert first.model.stages[-1].getNumTrees == first.settings["numTrees"]
+    scores = [s.select("idea_id", "probability").orderBy("idea_id").collect() for s in (selection.held_out_scores(metrics, m.model) for m in (first, again))]
+    assert scores[0] == scores[1] and len(scores[0]) > 5
+    with pytest.raises(ValueError, match="kind"):
+        selection.select_success_model(metrics, "other")
+
+
+def test_folds_share_no_idea(spark):
+    folds = spark.range(3000).groupBy(selection.fold_of("id", 5).alias("f")).count().collect()
+    assert {r.f for r in folds} == set(range(5)) and min(r["count"] for r in folds) > 500
+
+
+def test_logistic_model_is_calibrated(spark):
+    """Probabilities known beforehand come back; the deciles are those of a plain computation."""
+    rows = [(k, "t", "c", k % 50, 3, k % 7) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "idea_id int, title string, category string, days_since_created int, title_length int, description_length int")
+    chance = 1 / (1 + F.exp(-(F.col("days_since_created") - 25) / 6))
+    frame = frame.withColumn("is_successful", (F.rand(3) < chance).cast("double")).persist()
+    model = success.without_summary(Pipeline(stages=selection.success_stages(selection.estimator_of("logistic"))).fit(frame))
+    assert not model.stages[-1].hasSummary
+    scored = model.transform(frame).select("is_successful", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+    bins = selection.reliability(scored, "p", "is_successful")
+    plain = {}
+    for r in scored.collect():
+        plain.setdefault(min(int(r.p * 10), 9), []).append((r.p, r.is_successful))
+    for r in bins.collect():
+        own = plain.pop(r.bin)
+        assert r.predictions == len(own)
+        assert r.mean_predicted == pytest.approx(sum(p for p, _ in own) / len(own))
+        assert r.observed == pytest.approx(sum(y for _, y in own) / len(own))
+    assert not plain
+    assert spark.range(1).select(selection.calibration_error(bins)).first()[0] < 0.05
+
+
+def test_reliability_of_odd_predictions(spark):
+    rows = [(None, 1), (0.5, None), (-0.2, 0), (1.4, 1), (1.0, 0), (0.05, 1)]
+    found = selection.reliability(spark.createDataFrame(rows, "p double, y int"), "p", "y").orderBy("bin").collect()
+    assert [(r.bin, r.predictions, r.observed) for r in found] == [(0, 2, 0.5), (9, 2, 0.5)]
+
+
+def test_cluster_hierarchy(metrics):
+    """Each level parts the clusters of the level above; the themes are apart at the first level."""
+    found = topics.cluster_hierarchy(metrics, levels=2)
+    rows = found.assignments.join(metrics.select("idea_id", "category"), "idea_id").collect()
+    assert len(rows) == 80
+    assert len({(r.level_1, r.category) for r in rows}) == 2
+    assert len({(r.level_1, r.level_2) for r in rows}) == len({r.level_2 for r in rows})
+    sizes = found.sizes.collect()
+    for level in (1, 2):
+        assert sum(r.idea_count for r in sizes if r.level == level) == 80
+    assert all(r.shared == r.idea_count for r in sizes)
+    assert set(found.silhouettes) == {1, 2} and all(-1 <= s <= 1 for s in found.silhouettes.values())
+    with pytest.raises(ValueError):
+        topics.cluster_hierarchy(metrics, levels=0)
