@@ -8,7 +8,7 @@
 2. A line's block is the sum of the text lengths of a sliding window of lines that starts
    there. In the sequence of the block sums a surge is where the sum rises above a threshold
    after text was thin, a dive is where it has fallen to zero; lines between a surge and the
-   next dive are kept.
+   next dive are kept. Lines of links make no surge; those between two kept lines are kept.
 3. A page that marks its articles (``article``, ``main``, or a role or property that says so)
    gives its lines weights: in an article any text is a surge, outside only much text is.
    All articles count but comments and teasers; those in an element that is skipped and closed
@@ -32,6 +32,8 @@ WINDOW = 3
 SURGE = 80
 #: Share of link text from which on a line of an unmarked page is a menu.
 LINKED = 0.5
+#: Share of a page from which on an element is the page itself, whatever its name.
+MOST = 0.8
 #: Weight of text outside the articles of a page that marks them.
 UNMARKED = 0.25
 
@@ -150,8 +152,11 @@ def _ends(page: str) -> dict[int, int]:
     return ends
 
 
-def stripped(page: str, by_names: bool = True) -> list[Line]:
-    """The lines of a page; skipped elements leave an empty one."""
+def stripped(page: str) -> list[Line]:
+    """The lines of a page; skipped elements leave an empty one.
+
+    A name on an element that holds most of the page speaks of the page, unless it says comments.
+    """
     page = _UNSEEN.sub(" ", page)
     lines = [Line(0)]
     doubted = 0  # open sections of an article, from the one on whose name raises doubt
@@ -183,7 +188,7 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
         closing, name = tag[1] or tag[5] or "", (tag[2] or tag[6]).lower()
         attributes = tag[3] or tag[7] or ""
         marks = not closing and (name in ARTICLE or (attributes and _MARKED.search(attributes) is not None))
-        other = marks and by_names and name != "main" and _other_article(attributes)
+        other = marks and name != "main" and _other_article(attributes)
         if skipped:
             if marks and not other and skipped not in ARTICLE and not opened and (not comments or name == "main"):
                 skipped = ""  # what was never closed ends where the article begins
@@ -242,7 +247,7 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
         if name == "a":
             in_link = 1
         drop = name in NEVER or (name == "header" and not opened)
-        if by_names and not drop and name not in ("html", "body") and (not marks or other):
+        if not drop and name not in ("html", "body") and (not marks or other):
             drop = other if marks else _other(attributes, bool(opened))
             if drop and opened and not marks and not _HIDDEN.search(attributes):
                 if name in HEADINGS:
@@ -252,13 +257,17 @@ def stripped(page: str, by_names: bool = True) -> list[Line]:
                     new_line()
                     lines.append(line())
                     continue
+            elif drop and not opened and not marks and not _HIDDEN.search(attributes) and not _of_comments(name, attributes):
+                if ends is None:
+                    ends = _ends(page)
+                drop = ends.get(tag.start(), 0) - tag.start() < MOST * len(page)
         if doubted and name == "section" and not drop:
             doubted += 1
         if drop and not attributes.rstrip().endswith("/"):
             new_line()
             lines.append(line())
             skipped, nested = name, 1
-            since, comments, inner = tag.start(), by_names and _of_comments(name, attributes), 0
+            since, comments, inner = tag.start(), _of_comments(name, attributes), 0
             continue
         if marks:
             new_line()
@@ -334,12 +343,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = stripped(page)
     texts = [line.text() for line in lines]
     weights = _weights(lines, texts, surge)
-    if not weights and sum(map(len, texts)) < surge:  # the names may have meant the page as a whole
-        lines = stripped(page, by_names=False)
-        texts = [line.text() for line in lines]
-        weights = _weights(lines, texts, surge)
+    # Links don't make a surge, but in an article they are text.
     lengths = [
-        0 if line.linked > LINKED * len(text) and not (weights and weight == surge) else len(text)
+        len(text) if line.linked <= LINKED * len(text) or (weights and weight == surge) else 0
         for line, text, weight in zip(lines, texts, weights or [1] * len(lines))
     ]
     if not weights:
@@ -349,9 +355,21 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     for own in set(weights) - {0}:
         weighted = [own * length if weight == own else 0 for length, weight in zip(lengths, weights)]
         kept = [keep or here for keep, here in zip(kept, _kept(weighted, window, surge))]
+    kept = _with_links(kept, texts, weights)
     return "\n".join(text for text, keep in zip(texts, kept) if keep)
 
 
+def _with_links(kept: list[bool], texts: list[str], weights: list[float]) -> list[bool]:
+    """The kept lines and, where only lines of links lie between two of them, also these."""
+    kept, last = list(kept), None
+    for place, keep in enumerate(kept):
+        if keep:
+            if last is not None and all(texts[k] and weights[k] == weights[place] for k in range(last + 1, place)):
+                kept[last + 1 : place] = [True] * (place - last - 1)
+            last = place
+    return kept
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """Per page ``page_id, url, text, n_chars`` (code points).
 

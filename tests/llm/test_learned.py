@@ -167,6 +167,42 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='cookie-banner'>Accept all cookies</div><p>We are closed on Monday.</p>", "We are closed on Monday."),
+        ("<p>We are closed.</p><div class='comments'><p>Nice, thanks!</p></div><div class='sidebar'>More</div>", "We are closed."),
+        ("<article><p>Short.</p></article><div class='comments'><p>Nice, thanks!</p></div>", "Short."),
+        (f"<div>{BODY}<ul><li><a href=x>A reference that is made of a link</a></li></ul>{BODY}</div>", f"{TEXT}\nA reference that is made of a link\n{TEXT}"),
+        (f"<ul><li><a href=x>Home</a></li></ul>{BODY}<ul><li><a href=x>Other pages</a></li></ul>", TEXT),
+        (f"<div id='site-search'>{BODY}</div>", TEXT),
+        (f"<div class='comments'><p>{'a long reader comment ' * 40}</p></div>", ""),
+        (f"{BODY}<div class='comments'><p>{'a long reader comment ' * 90}</p></div>", TEXT),
+    ],
+)
+def test_short_pages_links_and_wrappers(page, text):
+    assert html.main_text(page) == text
+
+
+def _by_rule(lengths, window, surge):
+    """Line by line: inside from a surge of text on until no text follows in the window."""
+    out, inside = [], False
+    for k in range(len(lengths)):
+        ahead = sum(lengths[k : k + window])
+        inside = lengths[k] > 0 and ahead >= surge if not inside else ahead > 0
+        out.append(inside and lengths[k] > 0)
+    return out
+
+
+def test_line_blocks_match_the_rule():
+    pick = np.random.default_rng(5)
+    for _ in range(500):
+        lengths = (pick.integers(0, 90, pick.integers(0, 30)) * (pick.random() < pick.random(1))).tolist()
+        lengths = [int(x) * int(pick.random() < 0.6) for x in lengths]
+        for window, surge in ((1, 40), (3, 80), (4, 1)):
+            assert html._kept(lengths, window, surge) == _by_rule(lengths, window, surge)
+
+
 LONG = "A part of the article with a name, long enough that its block sum alone is a surge of the text."
 
 
