@@ -215,9 +215,11 @@ def _judged(spark: SparkSession, each: DataFrame, docs: DataFrame, shingle: int,
     versions = (
         ids.join(classes.select("digest", "rep"), "digest")
         .groupBy("doc_id")
-        .agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
         .where("a <> b")
     )
+    versions = ids.join(versions.select("doc_id"), "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest")
+    versions = versions.select("doc_id", "rep").distinct()
     named = _linked(spark, classes, docs, shingle, percent, versions)
     of_class = classes.join(named, classes.rep == named.node, "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
@@ -278,7 +280,7 @@ def _linked(
     merged = components(spark, links)
     more = _between(spark, members.select("bucket", "rep", "size"), merged, classes, sets, percent)
     extra = confirmed(more, sets, percent)
-    several = versions.select("doc_id", F.explode(F.array("a", "b")).alias("b")).select(F.col("doc_id").alias("a"), "b")
+    several = versions.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return components(spark, links.unionByName(extra).unionByName(several))
 
 

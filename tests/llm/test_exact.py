@@ -63,6 +63,14 @@ def _groups(sets, percent):
     return {k: root(k) for k in sets}
 
 
+def test_all_versions_of_an_id_are_linked(spark):
+    """A repeated id with three different texts links the documents equal to any of them."""
+    texts = [prose(k, 40) for k in range(4)]
+    rows = [(k, texts[k], "en", "s") for k in range(4)] + [(9, text, "en", "s") for text in texts[:3]]
+    found = neardup.near_duplicates(spark, documents(spark, rows), shingle=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 0, 2: 0, 3: 3, 9: 0}
+
+
 @pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, shingle, percent):
     """Stars, chains and dense groups, with classes on both sides of the threshold."""
