@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from decimal import Decimal
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -33,6 +37,7 @@ class JdbcTables:
 
     url: str
     ranges: dict[str, KeyRange] = field(default_factory=dict)
+    writers: int = 16
 
     def properties(self) -> dict[str, str]:
         return {
@@ -54,7 +59,9 @@ class JdbcTables:
         return options
 
     def write_options(self, table: str) -> dict[str, str]:
-        return {**self.properties(), "url": self.url, "dbtable": table, "batchsize": str(BATCH_SIZE)}
+        return {
+            **self.properties(), "url": self.url, "dbtable": table, "batchsize": str(BATCH_SIZE), "numPartitions": str(self.writers)
+        }
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return spark.read.format("jdbc").options(**self.read_options(table)).load()
@@ -63,15 +70,48 @@ class JdbcTables:
         df.write.format("jdbc").options(**self.write_options(table)).mode(mode).save()
 
     def write_batch(self, df: DataFrame, table: str, query: str, batch: int) -> None:
-        """Append a micro-batch in one transaction, unless it is there already.
+        """Write a micro-batch on many connections; it counts from its commit on.
 
-        One task writes the batch, so the database commits all or nothing of it; the test for
-        it reaches the database as a filter on the two columns, which want an index.
+        The rows of a try carry its number, and a single row in a table of commits makes the
+        try the batch. A try that fails half-way has no commit, so its rows don't count; a batch
+        that is committed is not written again. If two writers of one batch both commit, the
+        smaller number counts. Read with :meth:`read_committed`.
         """
         spark = df.sparkSession
-        if self.exists(spark, table) and not _of_batch(self.read(spark, table), query, batch).isEmpty():
+        commits = commits_of(table)
+        if self.exists(spark, commits) and not _of_batch(self.read(spark, commits), query, batch).isEmpty():
             return
-        self.write(_marked(df, query, batch).coalesce(1), table)
+        attempt = uuid.uuid4().hex
+        self.write(_marked(df, query, batch).withColumn("attempt", F.lit(attempt)), table)
+        self.write(_marked(spark.range(1), query, batch).select("query_id", "batch_id", F.lit(attempt).alias("attempt")), commits)
+
+    def read_committed(self, spark: SparkSession, table: str) -> DataFrame:
+        """The rows of all committed batches of a table that :meth:`write_batch` fills."""
+        return self.read(spark, table).join(self._counting(spark, table), ["query_id", "batch_id", "attempt"], "left_semi")
+
+    def abandoned(self, spark: SparkSession, table: str) -> DataFrame:
+        """(query_id, batch_id, attempt) of tries without a commit that counts, for deletion."""
+        tries = self.read(spark, table).select("query_id", "batch_id", "attempt").distinct()
+        if not self.exists(spark, commits_of(table)):
+            return tries
+        return tries.join(self._counting(spark, table), ["query_id", "batch_id", "attempt"], "left_anti")
+
+    def _counting(self, spark: SparkSession, table: str) -> DataFrame:
+        commits = self.read(spark, commits_of(table))
+        return commits.groupBy("query_id", "batch_id").agg(F.min("attempt").alias("attempt"))
+
+    def read_sliced(self, spark: SparkSession, table: str, column: str, parts: int, split_by: str | None = None) -> DataFrame:
+        """A table in about equal parts, cut at quantiles that the database computes.
+
+        No bounds are set by hand and no part depends on how the values of the column are spread.
+        A value that fills more than one part is a part alone, cut by ``split_by``, a column of
+        whole numbers, if that is given. Missing values have a part of their own.
+        """
+        query = borders_query(table, column, parts)
+        borders = spark.read.format("jdbc").options(**self.properties(), url=self.url, dbtable=query).load()
+        values = [row[0] for row in borders.collect()]  # at most ``parts``
+        predicates = slice_predicates(column, values, split_by)
+        return spark.read.jdbc(self.url, table, predicates=predicates, properties={**self.properties(), "fetchsize": str(FETCH_SIZE)})
 
     def exists(self, spark: SparkSession, table: str) -> bool:
         """Whether the table is there; a failing connection is an error, not an answer."""
@@ -87,6 +127,49 @@ class JdbcTables:
             raise
 
 
+def commits_of(table: str) -> str:
+    return f"{table}_commits"
+
+
+def borders_query(table: str, column: str, parts: int) -> str:
+    """The values at the ends of ``parts`` equal parts, as a query of the database; frequent ones repeat."""
+    shares = ", ".join(repr(k / parts) for k in range(1, parts))
+    return (
+        f"(SELECT unnest(percentile_disc(ARRAY[{shares}]::double precision[]) WITHIN GROUP (ORDER BY {column})) AS border "
+        f"FROM {table}) AS borders"
+    )
+
+
+def _sql_value(value: object) -> str:
+    if isinstance(value, bool) or not isinstance(value, int | float | Decimal):
+        return "'" + str(value).replace("'", "''") + "'"
+    return str(value)
+
+
+def slice_predicates(column: str, borders: Sequence[object], split_by: str | None = None) -> list[str]:
+    """Conditions of which exactly one holds for every row, whatever its value.
+
+    ``borders`` are quantiles in any order, repeated where a value is frequent. A part goes from
+    above one border up to the next; a value that is a border ``m`` times, twice or more, is
+    apart, in ``m`` parts if ``split_by`` is given.
+    """
+    counts = Counter(border for border in borders if border is not None)
+    ends = sorted(counts)
+    out, low = [f"{column} IS NULL"], None
+    for end in ends:
+        value, frequent = _sql_value(end), counts[end] > 1
+        above = [] if low is None else [f"{column} > {low}"]
+        out.append(" AND ".join([*above, f"{column} {'<' if frequent else '<='} {value}"]))
+        if frequent and split_by is not None:
+            rest = f"abs(mod({split_by}, {counts[end]}))"
+            out += [f"{column} = {value} AND coalesce({rest}, 0) = {k}" for k in range(counts[end])]
+        elif frequent:
+            out.append(f"{column} = {value}")
+        low = value
+    out.append(f"{column} IS NOT NULL" if low is None else f"{column} > {low}")
+    return out
+
+
 def _not_found(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 

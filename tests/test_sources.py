@@ -1,6 +1,7 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,83 @@ def test_jdbc_options(monkeypatch):
     options = store.read_options("votes")
     assert options["numPartitions"] == "16" and options["partitionColumn"] == "vote_id" and options["fetchsize"] == "1000"
     assert options["user"] == "reader" and "numPartitions" not in store.read_options("ideas")
-    assert store.write_options("t")["batchsize"] == "1000"
+    assert store.write_options("t")["batchsize"] == "1000" and store.write_options("t")["numPartitions"] == "16"
+
+
+class LocalTables(tables.JdbcTables):
+    """The database's part played by folders; ``fails`` breaks a write after some of its rows."""
+
+    folder, fails = "", False
+
+    def read(self, spark, table):
+        return spark.read.parquet(f"{self.folder}/{table}")
+
+    def write(self, df, table, mode="append"):
+        if self.fails and not table.endswith("_commits"):
+            df.where("id % 2 = 0").write.mode(mode).parquet(f"{self.folder}/{table}")
+            raise OSError("connection lost")
+        df.write.mode(mode).parquet(f"{self.folder}/{table}")
+
+
+def test_batches_count_from_their_commit(spark, tmp_path):
+    """Parallel writes; a half-failed try doesn't count and can be found; a repeated batch is written once."""
+    class Store(LocalTables):
+        folder = str(tmp_path)
+
+    class Broken(Store):
+        fails = True
+
+    store, rows = Store("jdbc:none"), spark.range(0, 40, 1, 8)
+    with pytest.raises(OSError):
+        Broken("jdbc:none").write_batch(rows, "votes", "q", 0)
+    assert store.read(spark, "votes").count() == 20 and store.abandoned(spark, "votes").count() == 1
+    store.write_batch(rows, "votes", "q", 0)
+    store.write_batch(rows, "votes", "q", 0)
+    store.write_batch(spark.range(3), "votes", "q", 1)
+    store.write_batch(spark.range(5), "votes", "other", 0)
+    got = {tuple(r)[:2]: r["count"] for r in store.read_committed(spark, "votes").groupBy("query_id", "batch_id").count().collect()}
+    assert got == {("q", 0): 40, ("q", 1): 3, ("other", 0): 5}
+    assert store.abandoned(spark, "votes").count() == 1
+    files = store.read(spark, "votes").where("batch_id = 0 AND query_id = 'q'").select("attempt", F.input_file_name()).distinct()
+    assert max(r["count"] for r in files.groupBy("attempt").count().collect()) == 8  # a file for each task
+    # Two writers of one batch that both got through: one of them counts.
+    again = spark.range(2).withColumns({"query_id": F.lit("q"), "batch_id": F.lit(1).cast("long"), "attempt": F.lit("z")})
+    store.write(again, "votes")
+    store.write(again.select("query_id", "batch_id", "attempt").limit(1), "votes_commits")
+    assert store.read_committed(spark, "votes").where("query_id = 'q' AND batch_id = 1").count() == 3
+
+
+@pytest.mark.parametrize("split", [None, "k"])
+@pytest.mark.parametrize("column", ["n", "s", "d"])
+def test_slices_cover_every_row_once(column, split):
+    """A third of the rows have one value, some none; the parts are even but for what can't be cut."""
+    engine = duckdb.connect()
+    engine.execute(
+        """CREATE TABLE t AS SELECT i AS k, CASE WHEN i % 20 = 0 THEN NULL WHEN i % 3 = 0 THEN 500 ELSE (i * i) % 6007 END AS n,
+                  'it''s ' || n AS s, DATE '2024-01-01' + CAST(n AS INTEGER) AS d FROM range(12000) r(i)"""
+    )
+    shares = [k / 12 for k in range(1, 12)]
+    borders = engine.execute(f"SELECT quantile_disc({column}, {shares}) FROM t").fetchone()[0]
+    predicates = tables.slice_predicates(column, borders, split)
+    counts = [engine.execute(f"SELECT count(*) FROM t WHERE {p}").fetchone()[0] for p in predicates]
+    assert sum(counts) == 12_000
+    once = " + ".join(f"CASE WHEN {p} THEN 1 ELSE 0 END" for p in predicates)
+    assert engine.execute(f"SELECT min({once}), max({once}) FROM t").fetchone() == (1, 1)
+    assert max(counts) < (2_000 if split else 4_100)
+
+
+def test_slices_of_odd_borders():
+    assert tables.slice_predicates("c", []) == ["c IS NULL", "c IS NOT NULL"]
+    assert tables.slice_predicates("c", [None, date(2024, 1, 2)]) == ["c IS NULL", "c <= '2024-01-02'", "c > '2024-01-02'"]
+    assert tables.slice_predicates("c", [3, 3, 1]) == ["c IS NULL", "c <= 1", "c > 1 AND c < 3", "c = 3", "c > 3"]
+    query = tables.borders_query("votes", "vote_id", 4)
+    assert "ARRAY[0.25, 0.5, 0.75]" in query and "percentile_disc" in query and "FROM votes" in query
+
+
+def test_topics_are_read_together():
+    options = kafka.Broker("a:9092", group="g").read_options("interactions", "thoughts", "metrics", "recommendations")
+    assert options["subscribe"] == "interactions,thoughts,metrics,recommendations" and options["kafka.group.id"] == "g"
+    assert options["startingOffsets"] == "latest" and options["failOnDataLoss"] == "false"
 
 
 def test_kafka_options():
