@@ -5,14 +5,16 @@ segments, in at least one of them: that segment occurs in the longer line, near
 place. Every distinct line is indexed by its segments, and probes the index of every length
 it may match with the substrings that can be such a segment (the places that all other
 segments allow, as in Pass-Join). Lines that meet are compared by a banded bit-parallel edit
-distance. Lines shorter than ``least`` code points match exactly only: in them a few edits
-make another line.
+distance. Lines shorter than ``least`` code points match within one edit, those of fewer than
+``SHORT`` exactly only: in them a few edits make another line.
 
 Only hashes travel for the search, and with them the parities of a line's characters, dealt
 to 64 places: an edit changes two at most, so pairs of lines that share a segment but differ
-in more are dropped where they meet. Keys with one line are dropped where they are gathered,
-and what is left is dealt to blocks, so a segment that very many lines share is spread.
-Linked lines are classes; the first line of a class, by document id and line number, is kept.
+in more are dropped where they meet. Keys with one line are dropped where they are gathered.
+Lines that share a key first meet one of them only; classes follow from the links found. Then
+lines of different classes meet, dealt to blocks, so many copies of one line make few pairs
+and a segment that very many lines share is spread. Linked lines are classes; the first line
+of a class, by document id and line number, is kept.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from agora.llm.common import Memo, stored
+from agora.llm.common import stored
 from agora.llm.components import components
 
 EDITS = 2
 LEAST = 20
+SHORT = 8
 BLOCK = 1024
 #: White space that is cut from both ends of a line.
 EDGES = " \t\x0b\x0c\r"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Lines that a task remembers in order to emit their keys once.
 REMEMBERED = 500_000
 
@@ -44,6 +48,11 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return [(int(start), size) for start, size in zip(starts, sizes)]
 
 
+def allowed(length: int, edits: int, least: int) -> int:
+    """The edits within which a line of that length matches a longer one."""
+    return edits if length >= least else min(edits, int(length >= SHORT))
+
+
 def probes(length: int, edits: int, least: int) -> list[tuple[int, int, int, int]]:
     """(indexed length, segment, start, size) of the substrings that a line probes with.
 
@@ -52,10 +61,12 @@ def probes(length: int, edits: int, least: int) -> list[tuple[int, int, int, int
     there are segments before it; seen from the end, the same holds for those after it.
     """
     out = []
-    for other in range(max(least, length - edits), length + 1):
-        gap = length - other
-        for number, (start, size) in enumerate(segments(other, edits)):
-            after = edits - number
+    for other in range(max(SHORT, length - edits), length + 1):
+        gap, here = length - other, allowed(other, edits, least)
+        if gap > here:
+            continue
+        for number, (start, size) in enumerate(segments(other, here)):
+            after = here - number
             first = max(0, start - number, start + gap - after)
             last = min(length - size, start + number, start + gap + after)
             out += [(other, number, place, size) for place in range(first, last + 1)]
@@ -117,12 +128,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.btrim("line", F.lit(EDGES))).where("line <> ''")
 
 
-def parities(line: str, places: Memo) -> int:
-    """Bit k says whether the characters that fall to place k are odd in number."""
-    bits = 0
-    for char in line:
-        bits ^= places[char]
-    return bits
+def parities(lines: list[str]) -> np.ndarray:
+    """Bit k of a line says whether its characters that fall to place k are odd in number."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    bits = np.uint64(1) << ((codes * _SPREAD) >> np.uint64(58))
+    ends = np.cumsum([len(line) for line in lines])
+    return np.bitwise_xor.reduceat(bits, np.concatenate([[0], ends[:-1]]))
 
 
 def _handle(line: Column) -> Column:
@@ -140,14 +151,13 @@ def keys_of_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
         done: set[int] = set()
         plans: dict[int, tuple[list, list]] = {}
         hashed = xxhash.xxh3_64_intdigest
-        places = Memo(lambda char: 1 << (hashed(char.encode()) & 63))
         for batch in batches:
-            keys, handles, odd, sizes, marks = [], [], [], [], []
+            keys, handles, found, sizes, marks = [], [], [], [], []
             for text in batch.column(0):
                 for line in text.as_py().split("\n"):
                     line = line.strip(EDGES)
                     length = len(line)
-                    if length < least:
+                    if length < SHORT:
                         continue
                     handle = xxhash.xxh64_intdigest(line.encode(), 42)
                     if handle in done:
@@ -158,21 +168,24 @@ def keys_of_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
                     if length not in plans:
                         if len(plans) > 20_000:
                             plans.clear()
-                        cuts = [(start, start + size, length * 8 + n) for n, (start, size) in enumerate(segments(length, edits))]
+                        own = segments(length, allowed(length, edits, least))
+                        cuts = [(start, start + size, length * 8 + n) for n, (start, size) in enumerate(own)]
                         tries = [(at, at + size, other * 8 + n) for other, n, at, size in probes(length, edits, least)]
                         plans[length] = cuts, tries
                     cuts, tries = plans[length]
                     keys += [hashed(line[a:b].encode(), seed) for a, b, seed in cuts]
                     keys += [hashed(line[a:b].encode(), seed) for a, b, seed in tries]
                     handles.append(handle)
-                    odd.append(parities(line, places))
+                    found.append(line)
                     sizes.append(len(cuts) + len(tries))
                     marks += [True] * len(cuts) + [False] * len(tries)
+            if not found:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
                     pa.array(np.repeat(np.array(handles, dtype=np.uint64), sizes).view(np.int64)),
-                    pa.array(np.repeat(np.array(odd, dtype=np.uint64), sizes).view(np.int64)),
+                    pa.array(np.repeat(parities(found), sizes).view(np.int64)),
                     pa.array(marks, pa.bool_()),
                 ],
                 ["key", "handle", "parity", "indexed"],
@@ -183,53 +196,95 @@ def keys_of_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """(a, b): handles of lines that meet under a key, a probing and b indexed."""
+def shared_keys(spark: SparkSession, docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, handle, parity, indexed, centre) of the keys that several lines have.
+
+    The centre is the indexed line of the smallest handle, with its parity.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by key once; repeated emissions and keys of one line go where they are gathered.
     dealt = keys_of_lines(docs, edits, least).repartition(parts, "key").dropDuplicates(["key", "handle", "indexed"])
     one_key = Window.partitionBy("key")
-    shared = dealt.withColumn("low", F.min("handle").over(one_key)).withColumn(
-        "high", F.max("handle").over(one_key)
+    shared = dealt.withColumns(
+        {
+            "low": F.min("handle").over(one_key),
+            "high": F.max("handle").over(one_key),
+            "centre": F.min(F.when(F.col("indexed"), F.struct("handle", "parity"))).over(one_key),
+        }
+    )
+    shared = shared.where("low <> high AND centre IS NOT NULL").drop("low", "high")
+    return stored(spark, shared, "shared-keys")
+
+
+def _alike(one: Column | str, other: Column | str, edits: int) -> Column:
+    one, other = (F.col(c) if isinstance(c, str) else c for c in (one, other))
+    return F.bit_count(one.bitwiseXOR(other)) <= 2 * edits
+
+
+def stars(shared: DataFrame, edits: int) -> DataFrame:
+    """(a, b): lines and the centre of a key they probe with."""
+    probing = shared.where(~F.col("indexed") & (F.col("handle") != F.col("centre.handle")))
+    near = probing.where(_alike("parity", "centre.parity", edits))
+    return near.select(F.col("handle").alias("a"), F.col("centre.handle").alias("b")).distinct()
+
+
+def between(spark: SparkSession, shared: DataFrame, named: DataFrame, edits: int) -> DataFrame:
+    """(a, b): lines of different classes that meet under a key, a probing and b indexed."""
+    rows = shared.drop("centre").join(named, shared.handle == named.node, "left").select(
+        "key", "handle", "parity", "indexed", F.coalesce("component", "handle").alias("label")
+    )
+    rows = stored(spark, rows, "labelled-keys")
+    sizes = rows.groupBy("key").agg(
+        F.ceil(F.count_if("indexed") / BLOCK).cast("bigint").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    placed = rows.join(sizes.where("low <> high AND blocks > 0").drop("low", "high"), "key")
+    index = placed.where("indexed").select(
+        "key", F.pmod(F.xxhash64("handle"), F.col("blocks")).alias("block"), F.col("handle").alias("b"), F.col("parity").alias("parity_b"), F.col("label").alias("label_b")
     )
-    shared = stored(spark, shared.where("low <> high").select("key", "handle", "parity", "indexed"), "shared-keys")
-    sizes = shared.where("indexed").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
-    placed = shared.join(sizes, "key")
-    index = placed.where("indexed").select("key", F.pmod(F.xxhash64("handle"), F.col("blocks")).alias("block"), F.col("handle").alias("b"), F.col("parity").alias("parity_b"))
     probe = placed.where("NOT indexed").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("handle").alias("a"), F.col("parity").alias("parity_a")
+        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("handle").alias("a"), F.col("parity").alias("parity_a"), F.col("label").alias("label_a")
     )
-    alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * edits
-    met = (probe.key == index.key) & (probe.block == index.block) & (F.col("a") != F.col("b")) & alike
-    return probe.join(index, met).select("a", "b").distinct()
+    met = (probe.key == index.key) & (probe.block == index.block) & (F.col("label_a") != F.col("label_b"))
+    return probe.join(index, met & _alike("parity_a", "parity_b", edits)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): digests of the line pairs within ``edits`` edits."""
-    left = lines.select(F.col("handle").alias("a"), F.col("line").alias("la"))
-    right = lines.select(F.col("handle").alias("b"), F.col("line").alias("lb"))
+def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """(a, b, da, db): handles and digests of the line pairs within the edits they may have."""
+    pairs = stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("handle")).union(pairs.select("b")).distinct()
+    lines = occurrences(docs).select(_handle(F.col("line")).alias("handle"), "line").where(F.length("line") >= SHORT)
+    # Dealt out at any size, so that the plan for a large corpus is the one for a small one.
+    lines = lines.join(wanted.hint("merge"), "handle", "left_semi").dropDuplicates(["handle", "line"])
+    lines = stored(spark, lines, "lines")
+
+    def near(x: str, y: str) -> bool:
+        most = allowed(min(len(x), len(y)), edits, least)
+        return edit_distance(x, y, most) <= most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [edit_distance(x.as_py(), y.as_py(), edits) <= edits for x, y in zip(batch.column(0), batch.column(1))]
-            yield batch.filter(pa.array(near, pa.bool_()))
+            found = [near(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
-    texts = pairs.join(right, "b").join(left, "a").select("la", "lb")
-    near = texts.mapInArrow(run, "la string, lb string")
-    return near.select(_digest(F.col("la")).alias("a"), _digest(F.col("lb")).alias("b")).distinct()
+    left = lines.select(F.col("handle").alias("a"), F.col("line").alias("la"))
+    right = lines.select(F.col("handle").alias("b"), F.col("line").alias("lb"))
+    texts = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb")
+    found = texts.mapInArrow(run, "a bigint, b bigint, la string, lb string")
+    return stored(spark, found.select("a", "b", _digest(F.col("la")).alias("da"), _digest(F.col("lb")).alias("db")), "near-lines")
 
 
 def line_links(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b), each pair once: digests of different lines within ``edits`` edits."""
+    """(a, b): digests of different lines within ``edits`` edits, enough of them for all classes.
+
+    Every pair of near lines is joined by a path of these links; pairs that lie in one class by
+    the links to a centre are not listed.
+    """
     docs = docs.select("doc_id", "text")
-    pairs = candidates(spark, docs, edits, least)
-    pairs = stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("handle")).union(pairs.select("b")).distinct()
-    lines = occurrences(docs).select(_handle(F.col("line")).alias("handle"), "line").where(F.length("line") >= least)
-    # Dealt out at any size, so that the plan for a large corpus is the one for a small one.
-    lines = lines.join(wanted.hint("merge"), "handle", "left_semi").dropDuplicates(["handle", "line"])
-    found = verified(pairs, stored(spark, lines, "lines"), edits)
-    return stored(spark, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-links")
+    shared = shared_keys(spark, docs, edits, least)
+    links = verified(spark, stars(shared, edits), docs, edits, least)
+    rest = between(spark, shared, components(spark, links.select("a", "b")), edits)
+    both = links.unionByName(verified(spark, rest, docs, edits, least))
+    return both.select(F.col("da").alias("a"), F.col("db").alias("b")).where("a <> b").distinct()
 
 
 def _firsts(spark: SparkSession, docs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,22 +310,18 @@ def _kept(firsts: DataFrame) -> DataFrame:
 
 
 def line_duplicates(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Per document ``doc_id, n_lines, n_exact, n_near, n_kept, n_links``.
+    """Per document ``doc_id, n_lines, n_exact, n_near, n_kept``.
 
     ``n_lines`` counts lines that are not blank, ``n_exact`` those that stand somewhere
-    before, ``n_near`` the other ones whose class has a line before, ``n_kept`` the rest;
-    ``n_links`` are the links of the lines that stand here first, to different lines. Before
-    is by document id, null last, and line number. Lines are compared without the white
+    before, ``n_near`` the other ones whose class has a line before, ``n_kept`` the rest.
+    Before is by document id, null last, and line number. Lines are compared without the white
     space at their ends. Rows that repeat an id make one row. A null or empty text has no
-    lines. No rows give no rows; other columns are ignored.
+    lines, lines of any length are compared as a whole. No rows give no rows; other columns are
+    ignored.
     """
     docs = docs.select("doc_id", "text")
-    links = line_links(spark, docs, edits, least)
-    firsts, lines = _firsts(spark, docs, links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("links"))
-    first = firsts.join(ends, "digest", "left").groupBy(F.col("place.doc_id").alias("f_id")).agg(
-        F.count(F.lit(1)).alias("first"), F.coalesce(F.sum("links"), F.lit(0)).alias("links")
-    )
+    firsts, lines = _firsts(spark, docs, line_links(spark, docs, edits, least))
+    first = firsts.groupBy(F.col("place.doc_id").alias("f_id")).agg(F.count(F.lit(1)).alias("first"))
     kept = _kept(firsts).groupBy(F.col("place.doc_id").alias("k_id")).agg(F.count(F.lit(1)).alias("kept"))
     out = lines.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")), "left").join(
         kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left"
@@ -283,7 +334,6 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, edits: int = EDITS, le
         (F.col("n_lines") - first_here).alias("n_exact"),
         (first_here - kept_here).alias("n_near"),
         kept_here.alias("n_kept"),
-        F.coalesce("links", zero).alias("n_links"),
     )
 
 
