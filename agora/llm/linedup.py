@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from agora.llm.common import stored
+from agora.llm.common import let, stored
 from agora.llm.components import components
 
 EDITS = 2
@@ -347,9 +347,11 @@ def without_duplicate_lines(spark: SparkSession, docs: DataFrame, edits: int = E
     firsts, _ = _firsts(spark, slim, line_links(spark, slim, edits, least))
     places = _kept(firsts).groupBy(F.col("place.doc_id").alias("_id")).agg(F.collect_list("place.line_no").alias("_kept"))
     joined = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"]), "left")
-    numbered = F.transform(F.split("text", "\n"), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
-    wanted = F.filter(
-        numbered, lambda x: (F.btrim(x["line"], F.lit(EDGES)) == "") | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), x["k"])
-    )
-    text = F.array_join(F.transform(wanted, lambda x: x["line"]), "\n")
+
+    def wanted(lines: Column) -> Column:  # in time that grows with the lines only, however many are kept
+        blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.btrim(F.get(lines, k), F.lit(EDGES)) == "")
+        kept = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda k: k < F.size(lines))
+        return F.transform(F.array_sort(F.array_union(blank, kept)), lambda k: F.get(lines, k))
+
+    text = F.array_join(let(F.split("text", "\n"), wanted), "\n")
     return joined.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)

@@ -83,3 +83,10 @@ def test_line_filter_of_odd_rows(spark):
     assert found.columns == docs.columns
     assert found.count() == len(rows)
     assert binary.read_tokens is not None
+
+
+def test_line_filter_of_very_many_lines(spark):
+    """A text of 60,000 lines, each second one a repetition."""
+    text = "\n".join(f"line number {k // 2} of a long text" for k in range(60_000))
+    row = linedup.without_duplicate_lines(spark, documents(spark, [(1, text, "en", "s")]), edits=0).first()
+    assert row["text"] == "\n".join(f"line number {k} of a long text" for k in range(30_000))
