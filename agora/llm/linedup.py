@@ -36,6 +36,8 @@ BLOCK = 1024
 #: White space that is cut from both ends of a line.
 EDGES = " \t\x0b\x0c\r"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters whose parities are found at once.
+TOGETHER = 200_000
 #: Lines that a task remembers in order to emit their keys once.
 REMEMBERED = 500_000
 
@@ -130,10 +132,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def parities(lines: list[str]) -> np.ndarray:
     """Bit k of a line says whether its characters that fall to place k are odd in number."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    bits = np.uint64(1) << ((codes * _SPREAD) >> np.uint64(58))
-    ends = np.cumsum([len(line) for line in lines])
-    return np.bitwise_xor.reduceat(bits, np.concatenate([[0], ends[:-1]]))
+    parts, start, size = [], 0, 0
+    for place, line in enumerate(lines, 1):
+        size += len(line)
+        if size >= TOGETHER or place == len(lines):  # some ten bytes for each character at a time
+            group = lines[start:place]
+            codes = np.frombuffer("".join(group).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+            bits = np.uint64(1) << ((codes * _SPREAD) >> np.uint64(58))
+            ends = np.cumsum([len(one) for one in group])
+            parts.append(np.bitwise_xor.reduceat(bits, np.concatenate([[0], ends[:-1]])))
+            start, size = place, 0
+    return np.concatenate(parts)
 
 
 def _handle(line: Column) -> Column:
