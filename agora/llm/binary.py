@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from agora.llm.common import stored
-from agora.llm.tokens import encoder, proven_tokens
+from agora.llm.tokens import proven_tokens
 
 LONGEST = 20
 BLOCK = 1024
@@ -127,10 +127,9 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = encoder(path, whole.value)
-        stop = np.array([end], dtype="<u2").tobytes()
+        coded = whole.value.encoder(path)
         for batch in batches:
-            rows = [coded(text) + stop for text in batch.column(1).to_pylist()]
+            rows = list(coded.encode((text.as_py() for text in batch.column(1)), end))
             ties = pa.array(map(zlib.crc32, rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(rows, pa.binary())], ["doc_id", "tie", "ids"])
 

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,6 +37,8 @@ _LAST_PLAIN = "\u024f"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A word and marks behind it: two pre-tokens, whatever the word.
 _TAILED = re.compile(r"([a-zA-Zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_MARKS = "".join(chr(code) for code in range(0x21, 0x7F) if not chr(code).isalnum() and chr(code) != "'")
+_ID = attrgetter("id")
 #: Chunks that a worker remembers.
 REMEMBERED = 600_000
 
@@ -71,7 +75,7 @@ def whole_tokens(path: str) -> dict[str, int]:
     return proven
 
 
-def proven_tokens(spark: SparkSession, path: str) -> dict[str, int]:
+def proven_tokens(spark: SparkSession, path: str) -> WholeTokens:
     """:func:`whole_tokens`, found by one task, so that the library's tables don't stay with the driver."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +84,7 @@ def proven_tokens(spark: SparkSession, path: str) -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.string()), pa.array(list(whole.values()), pa.int32())], ["text", "id"])
 
     rows = spark.range(1).coalesce(1).mapInArrow(found, "text string, id int").toArrow()  # at most the vocabulary
-    return dict(zip(rows.column("text").to_pylist(), rows.column("id").to_pylist()))
+    return WholeTokens(zip(rows.column("text").to_pylist(), rows.column("id").to_pylist()))
 
 
 class Coder:
@@ -103,7 +107,7 @@ class Coder:
         return self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.alphabet))
 
     @staticmethod
-    def _pieces(chunk: str) -> list[str] | None:
+    def plain_pieces(chunk: str) -> list[str] | None:
         """The pre-tokens of a chunk; None if they are left to the library."""
         if chunk.isprintable() and (chunk.isascii() or max(chunk) <= _LAST_PLAIN):
             if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
@@ -113,24 +117,21 @@ class Coder:
         return PRE_TOKENS.findall(chunk)
 
     def count(self, chunk: str) -> int:
-        pieces = self._pieces(chunk)
+        pieces = self.plain_pieces(chunk)
         if pieces is None:
             return len(self.library.encode(chunk, add_special_tokens=False).ids)
         whole = self.whole
         return sum(1 if piece in whole else len(self._merged(piece)) for piece in pieces)
 
     def ids(self, chunk: str) -> list[int]:
-        pieces = self._pieces(chunk)
+        pieces = self.plain_pieces(chunk)
         if pieces is None:
             return self.library.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in pieces:
-            number = self.whole.get(piece)
-            if number is None:
-                out += [token.id for token in self._merged(piece)]
-            else:
-                out.append(number)
-        return out
+        return [number for piece in pieces for number in self.piece_ids(piece)]
+
+    def piece_ids(self, piece: str) -> list[int]:
+        number = self.whole.get(piece)
+        return [token.id for token in self._merged(piece)] if number is None else [number]
 
     def pieces(self, text: str) -> Iterator[tuple[str | None, int]]:
         """The text between special strings, each with 0, and for each of these None with its id."""
@@ -189,35 +190,198 @@ def counter(path: str, whole: dict[str, int]):
     return lambda text: sum(1 if piece is None else of_piece(piece) for piece, _ in coder.pieces(text) if piece != "")
 
 
-def encoder(path: str, whole: dict[str, int]):
-    """A function from a text to its ids, as little-endian two-byte integers."""
-    coder = Coder(path, whole)
+class Numbered(dict):
+    """Numbers of keys in the order in which they were first asked for; new keys wait in ``fresh``."""
 
-    def packed(chunk: str) -> bytes:
-        return array("H", coder.ids(chunk)).tobytes()
+    def __init__(self, keys: Iterable = ()):
+        super().__init__((key, number) for number, key in enumerate(keys))
+        self.fresh: list = []
 
-    first, later = _remembered(packed, _NOT_ALONE, Memo(packed).__getitem__)
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        self.fresh.append(key)
+        return number
 
-    def of_piece(piece: str) -> bytes:
-        chunks = piece.split(" ")
-        try:
-            return b"".join([first[chunks[0]], *map(later.__getitem__, chunks[1:])])
-        except TypeError:  # a chunk is not alone
-            begin, *rest = _SAFE_CUT.split(piece)
-            return b"".join([packed(begin), *(packed(" " + chunk) for chunk in rest)])
 
-    def encode(text: str) -> bytes:
-        return b"".join(
-            array("H", [number]).tobytes() if piece is None else of_piece(piece)
-            for piece, number in coder.pieces(text)
-            if piece != ""
-        )
+class Encoder:
+    """Ids of texts as little-endian two-byte integers, many texts at a time.
 
-    return encode
+    All chunks met so far are numbered, and the ids of each lie in one flat array. A group of
+    texts is looked up number by number, the new chunks are coded, and the ids of all texts are
+    gathered at once. Chunks after a space go by their own name, a text's first one has a space
+    appended, ids of special strings go by their digits after a space. Beyond ``most`` chunks, or
+    8 ids for each, those met in one group only and long ones are forgotten.
+    """
 
+    #: Chunks and characters of a group of texts, and chunks that a worker remembers.
+    GROUP, GROUP_CHARS, MOST = 200_000, 4_000_000, 1_200_000
+
+    def __init__(self, path: str, whole: dict[str, int], most: int = MOST):
+        self.coder, self.most = Coder(path, whole), most
+        self.marks = Memo(self.coder.piece_ids)
+        self._begin([], np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u2"))
+
+    def _begin(self, keys: list, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remember these chunks only."""
+        self.numbers = Numbered(keys)
+        self.starts, self.sizes = array("i", starts.tobytes()), array("i", sizes.tobytes())  # a size of -1: not alone
+        self.ids, self.again = array("H", ids.tobytes()), bytearray(len(keys))
+
+    def _forget(self) -> None:
+        again = np.frombuffer(self.again, np.uint8)
+        starts, sizes, ids = np.array(self.starts), np.array(self.sizes), np.array(self.ids)
+        kept = np.flatnonzero((again != 0) & (sizes <= 16))
+        if 2 * len(kept) > self.most:
+            kept = kept[:0]
+        keys = list(self.numbers)
+        places, ends = _runs(starts[kept], np.maximum(sizes[kept], 0))
+        self._begin([keys[k] for k in kept.tolist()], ends[:-1].astype(np.int32), sizes[kept], ids[places])
+
+    def _word(self, key: str, piece: str, ready: dict) -> Iterable[int]:
+        """Ids of a word inside a chunk; the word is numbered as a chunk of its own."""
+        number = self.numbers.get(key)
+        if number is not None and number < len(self.starts):
+            return self.ids[self.starts[number] : self.starts[number] + self.sizes[number]]
+        if key not in ready:
+            ready[key] = self.coder.piece_ids(piece)
+            self.numbers[key]  # in line to be stored
+        return ready[key]
+
+    def _code(self, key: str, ready: dict) -> list[int] | None:
+        """Ids of a chunk; None if they depend on its neighbours."""
+        if key[0] == " " != key:
+            return [int(key)]
+        space, chunk, mark = ("", key[:-1], " ") if key[-1] == " " else (" ", key, "")
+        if chunk.isalpha():
+            return self.coder.piece_ids(space + chunk) if max(chunk) <= _LAST_PLAIN else self.coder.ids(space + chunk)
+        tailed = _TAILED.fullmatch(chunk)
+        if tailed is not None:
+            return [*self._word(tailed[1] + mark, space + tailed[1], ready), *self.marks[tailed[2]]]
+        if joins_a_gap(chunk):
+            return None
+        pieces = self.coder.plain_pieces(space + chunk)
+        if pieces is None:
+            return self.coder.ids(space + chunk)
+        out: list[int] = []
+        for piece in pieces:
+            spaced = piece[0] == " " and piece[1:].isalpha()
+            out += self._word(piece[1:], piece, ready) if spaced else self.marks[piece]
+        return out
+
+    def _store(self) -> None:
+        """Code the chunks that wait."""
+        ready: dict[str, list[int]] = {}
+        starts, sizes, ids, marks = self.starts, self.sizes, self.ids, self.marks
+        whole, tokenize, space = self.coder.whole, self.coder.model.tokenize, self.coder.space
+        before = len(starts)
+        for key in self.numbers.fresh:  # grows meanwhile
+            at, alone = len(ids), True
+            if key in ready:
+                ids.extend(ready[key])
+            elif key.isascii() and key.isalpha():
+                if " " + key in whole:
+                    ids.append(whole[" " + key])
+                else:
+                    ids.extend(map(_ID, tokenize(space + key)))
+            elif key.isascii() and (word := key.rstrip(_MARKS)).isalpha():
+                ids.extend(self._word(word, " " + word, ready))
+                ids.extend(marks[key[len(word) :]])
+            else:
+                found = self._code(key, ready) if key else None
+                alone = found is not None
+                ids.extend(found or ())
+            starts.append(at)
+            sizes.append(len(ids) - at if alone else -1)
+        self.again.extend(bytes(len(starts) - before))
+        self.numbers.fresh = []
+
+    def _apart(self, text: str, end: int) -> bytes:
+        """A text with chunks that depend on their neighbours."""
+        out = array("H")
+        for piece, number in self.coder.pieces(text):
+            if piece is None:
+                out.append(number)
+            elif piece:
+                begin, *rest = _SAFE_CUT.split(piece)
+                out.extend(self.coder.ids(begin))
+                for chunk in rest:
+                    out.extend(self.coder.ids(" " + chunk))
+        out.append(end)
+        return out.tobytes()
+
+    def _group(self, texts: list[str], end: int, asked: list[int], bounds: list[int]) -> list[bytes]:
+        """The ids of texts whose chunks have the numbers ``asked``, up to a bound each."""
+        before = len(self.starts)
+        self._store()
+        chosen = np.array(asked, np.int32)
+        np.frombuffer(self.again, np.uint8)[chosen[chosen < before]] = 1
+        sizes = np.frombuffer(self.sizes, np.int32)[chosen]
+        gaps = sizes < 0
+        places, ends = _runs(np.frombuffer(self.starts, np.int32)[chosen], np.maximum(sizes, 0))
+        data = np.frombuffer(self.ids, "<u2")[places].tobytes()
+        cuts = (2 * ends[[0, *bounds]]).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        if gaps.any():
+            rows = np.searchsorted(bounds, np.flatnonzero(gaps), "right")
+            for row in np.unique(rows).tolist():
+                out[row] = self._apart(texts[row], end)
+        return out
 
-#: Stands for the ids of a chunk that depends on its neighbours; joining it fails.
-_NOT_ALONE = 0
+    def encode(self, texts: Iterable[str], end: int) -> Iterator[bytes]:
+        """The ids of each text, with the end id behind them."""
+        here: list[str] = []
+        asked: list[int] = []
+        bounds: list[int] = []
+        chars, last = 0, f" {end}"
+        for text in texts:
+            number_of = self.numbers.__getitem__
+            for piece, special in self.coder.pieces(text):
+                if piece is None:
+                    asked.append(number_of(f" {special}"))
+                elif piece:
+                    first, *chunks = piece.split(" ")
+                    asked.append(number_of(first + " "))
+                    asked += map(number_of, chunks)
+            asked.append(number_of(last))
+            here.append(text)
+            bounds.append(len(asked))
+            chars += len(text)
+            if len(asked) >= self.GROUP or chars >= self.GROUP_CHARS:
+                yield from self._group(here, end, asked, bounds)
+                here, asked, bounds, chars = [], [], [], 0
+                if len(self.numbers) > self.most or len(self.ids) > 8 * self.most:
+                    self._forget()
+        if here:
+            yield from self._group(here, end, asked, bounds)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of runs, one run after the other, and where each run begins in that list, with the end."""
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    return np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1]), ends
+
+
+class WholeTokens(dict):
+    """The proven whole tokens, by text; broadcast, with what a worker has learnt from them.
+
+    A worker keeps a broadcast value from task to task of a stage and drops it when a task
+    without it begins.
+    """
+
+    learnt: Encoder | None = None
+
+    def encoder(self, path: str) -> Encoder:
+        """One encoder for all tasks of a worker."""
+        if self.learnt is None:
+            self.learnt = Encoder(path, self)
+        return self.learnt
+
+
+def encoder(path: str, whole: dict[str, int]):
+    """A function from a text to its ids, as little-endian two-byte integers."""
+    coded = Encoder(path, whole)
+    return lambda text: next(coded.encode([text], 0))[:-2]
 
 
 def token_counts(docs: DataFrame, path: str, over: int = OVER) -> DataFrame:

@@ -245,6 +245,28 @@ def test_chunks_match_the_library():
         assert count(text) == len(wanted) and np.frombuffer(encode(text), "<u2").tolist() == wanted, text
 
 
+def test_a_worker_codes_a_chunk_once(monkeypatch):
+    """Tasks share one encoder; groups, forgotten chunks, long chunks, special strings and gaps change no id."""
+    from tokenizers import Tokenizer
+
+    library, whole = Tokenizer.from_file(VOCABULARY), tokens.WholeTokens(tokens.whole_tokens(VOCABULARY))
+    rows = [prose(k % 40, 30, "fr" if k % 3 else "en").replace(". ", ".\n") for k in range(120)]
+    rows += ["", " ", "two  gaps", "a <|endoftext|>b", "x" * 500, "wordone wordone. wordone,\nwordone"]
+    wanted = [np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u2").tobytes() for text in rows]
+    coded = whole.encoder(VOCABULARY)
+    assert list(coded.encode(rows, 2)) == wanted
+    met = len(coded.starts)
+    again = whole.encoder(VOCABULARY)
+    assert again is coded and list(again.encode(rows, 2)) == wanted and len(coded.starts) == met
+    for group, chars, most in ((100, 10**6, 300), (10**6, 400, 300), (50, 50, 20)):
+        monkeypatch.setattr(tokens.Encoder, "GROUP", group)
+        monkeypatch.setattr(tokens.Encoder, "GROUP_CHARS", chars)
+        small = tokens.Encoder(VOCABULARY, whole, most)
+        for _ in range(2):
+            assert list(small.encode(rows, 2)) == wanted
+        assert len(small.starts) < met
+
+
 def test_code_lengths():
     pick = np.random.default_rng(2)
     for size, longest in ((1, 20), (2, 20), (300, 9), (300, 20), (5000, 14)):
