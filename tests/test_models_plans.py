@@ -1,12 +1,14 @@
+import heapq
 import json
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from agora.ml import features, selection, success, topics
+from agora.ml import features, selection, success, topics, wordvectors
 from agora.operators import ideas as idea_jobs
 from agora.plans import batch, daily, models
 from agora.sources.adapter import AS_OF
@@ -229,3 +231,102 @@ def test_cluster_hierarchy(metrics):
     assert set(found.silhouettes) == {1, 2} and all(-1 <= s <= 1 for s in found.silhouettes.values())
     with pytest.raises(ValueError):
         topics.cluster_hierarchy(metrics, levels=0)
+
+
+@pytest.fixture
+def rare_words(spark):
+    """Ideas of which each has fifty words of its own."""
+    rows = [(k, f"Idea {k}", " ".join(["energy office" if k % 2 else "robot code"] + [f"w{k}x{j}" for j in range(50)])) for k in range(80)]
+    frame = spark.createDataFrame(rows, "idea_id int, title string, description string")
+    numbers = {name: F.lit(1.0) * (F.col("idea_id") % 5) for name in features.NUMBERS}
+    return frame.withColumns({"category": F.lit("innovation"), **numbers})
+
+
+def test_clusters_do_not_gather_the_vocabulary(spark, rare_words):
+    """Four thousand words have 1.6 MB of vectors; the driver takes 1 MB from a job's tasks."""
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1m")
+    # So small a table would be broadcast; a large one is not.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = topics.cluster_ideas(rare_words, k=2)
+        assert found.assignments.count() == 80
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Every word counts, also one that occurs once.
+    vectors = next(s for s in found.model.stages if isinstance(s, wordvectors.WordVectorsModel)).getVectors()
+    assert vectors.where("word like 'w%x%'").count() == 4000
+
+
+def test_huffman_tree_by_runs():
+    """The same weight as a plain Huffman tree, a path of its own for every word, also if words of one count lie in two runs."""
+    random = np.random.default_rng(3)
+    for words in (1, 2, 3, 10, 57):
+        counts = np.sort(random.integers(1, 9, words))[::-1]
+        cuts = np.flatnonzero(np.append(True, (counts[1:] != counts[:-1]) | (random.random(words - 1) < 0.2)))
+        sizes = np.diff(np.append(cuts, words))
+        tree = wordvectors.huffman(1000 + 7 * np.arange(len(cuts)) * words, counts[cuts], sizes)
+        assert tree.leaf(1000 + 7 * np.repeat(np.arange(len(cuts)), sizes) * words + np.arange(words) - np.repeat(cuts, sizes)).tolist() == list(range(words))
+        paths = wordvectors.paths_of(tree, np.arange(words), np.full(words, 2))
+        codes = [tuple(zip(*(x[paths.starts[k] : paths.starts[k + 1]].tolist() for x in (paths.nodes, paths.left)), strict=True)) for k in range(words)]
+        assert len(set(codes)) == words and paths.size == words - 1
+        heap, weight = counts.tolist(), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            weight += both
+            heapq.heappush(heap, both)
+        assert sum(len(c) * n for c, n in zip(codes, counts, strict=True)) == weight
+
+
+def test_paths_leave_out_what_moves_nothing():
+    """Nodes over one place of a part are left out; the others keep their order and sides."""
+    tree = wordvectors.huffman(np.array([0]), np.array([1]), np.array([8]))
+    whole = wordvectors.paths_of(tree, np.arange(8), np.ones(8))
+    assert np.diff(whole.starts).tolist() == [3] * 8 and whole.size == 7
+    some = wordvectors.paths_of(tree, np.array([0, 1, 7]), np.array([1, 1, 1]))
+    assert np.diff(some.starts).tolist() == [3, 3, 1] and some.size == 3
+    often = wordvectors.paths_of(tree, np.array([0, 7]), np.array([1, 2]))
+    assert np.diff(often.starts).tolist() == [1, 3]
+
+
+def test_word_vectors_and_means(spark, metrics, tmp_path, monkeypatch):
+    """Words of a theme lie together; means are those of a plain computation, in batches and parts of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        words = features.tokens(metrics).select("idea_id", F.flatten(F.array_repeat("filtered_words", 20)).alias("filtered_words"))
+        one = wordvectors.WordVectors(inputCol="filtered_words", outputCol="mean", vectorSize=20, minCount=1, numPartitions=4, seed=1)
+        first, again = (one.fit(words.repartition(n)).getVectors() for n in (2, 5))
+        plain = {r.word: np.array(r.vector) for r in first.collect()}
+        assert plain.keys() == {w for r in words.collect() for w in r.filtered_words}
+        assert all((plain[r.word] == np.array(r.vector)).all() for r in again.collect())
+        monkeypatch.setattr(wordvectors, "PART_WORDS", 9000)
+        model = one.fit(words)
+        model.write().save(str(tmp_path / "vectors"))
+        loaded = wordvectors.WordVectorsModel.load(str(tmp_path / "vectors"))
+        plain = {r.word: np.array(r.vector) for r in loaded.getVectors().collect()}
+        themes = [[w for w in theme.split() if w in plain] for theme in THEMES.values()]
+        near = [np.mean([[plain[a] @ plain[b] / np.linalg.norm(plain[a]) / np.linalg.norm(plain[b]) for a in x] for b in y]) for x, y in ((themes[0], themes[0]), (themes[1], themes[1]), themes)]
+        assert min(near[:2]) > near[2] + 0.3
+        odd = [(1, ["energy", "unheard", "energy"]), (2, []), (3, None), (4, ["unheard"]), (5, ["energy", "unheard", "energy"]), (6, ["robot"])]
+        odd += [(k, themes[0] + themes[1][: k % 3]) for k in range(7, 40)]
+        rows = loaded.transform(spark.createDataFrame(odd, "id int, filtered_words array<string>").repartition(3)).collect()
+        assert sorted(r.id for r in rows) == [k for k, _ in odd]
+        for r in rows:
+            known = [plain[w] for w in r.filtered_words or () if w in plain]
+            expected = np.sum(known, axis=0) / len(r.filtered_words) if known else np.zeros(20)
+            assert r["mean"].toArray() == pytest.approx(expected, abs=1e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_word_vectors_of_few_words(spark):
+    """A word without neighbours keeps its first vector; rarer words than asked for have none; no word at all is an error."""
+    rows = spark.createDataFrame([(["a", "a", "b"],), (["c"],), (["c"],), ([],), (None,)], "words array<string>")
+    fit = lambda least: wordvectors.WordVectors(inputCol="words", outputCol="v", vectorSize=4, minCount=least).fit(rows)
+    found = {r.word: np.array(r.vector) for r in fit(1).getVectors().collect()}
+    assert found.keys() == {"a", "b", "c"} and 0 < np.abs(found["c"]).max() <= 0.125
+    assert {r.word for r in fit(2).getVectors().collect()} == {"a", "c"}
+    with pytest.raises(ValueError):
+        fit(3)
